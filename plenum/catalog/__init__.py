@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["voting", "people"]
+MODULES = ["voting", "people", "matters", "debates", "disclosure", "quality"]
 
 
 def registry() -> dict:
