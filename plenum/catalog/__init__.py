@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["voting", "people", "matters", "debates", "disclosure", "quality"]
+MODULES = ["voting", "people", "matters", "debates", "disclosure", "quality", "search"]
 
 
 def registry() -> dict:
