@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["voting", "people", "matters", "debates", "disclosure", "quality", "search"]
+MODULES = ["voting", "people", "matters", "debates", "disclosure", "quality", "search", "register", "markup"]
 
 
 def registry() -> dict:

@@ -61,7 +61,12 @@ def text_of(col: str | Column) -> Column:
 
 def own_text(col: str | Column) -> Column:
     """Text before the first child element, trimmed; '' when there is none."""
-    return F.trim(unescape(F.regexp_extract(_c(col), r"(?s)^<[^>]*[^/]>([^<]*)", 1)))
+    return strip(unescape(F.regexp_extract(_c(col), r"(?s)^<[^>]*[^/]>([^<]*)", 1)))
+
+
+def strip(col: str | Column) -> Column:
+    """Trim white space of any kind."""
+    return F.regexp_replace(_c(col), r"(?U)\A\s+|\s+\z", "")
 
 
 def child_text(col: str | Column, tag: str) -> Column:
