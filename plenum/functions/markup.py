@@ -9,14 +9,14 @@ A tag the rules do not know is reported in an error column; its text is kept.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions.xmltext import (
-    PREFIX, attribute, child_text, subtree, subtrees, text_of, unescape, without,
+    PREFIX, child_text, raw_attribute, subtree, subtrees, text_of, unescape, without,
 )
 
 
@@ -47,7 +47,7 @@ _XML_ROLES = {
     "chapter": ["PerusteluLuku", "VireilletuloAsia"],
     "plain": [
         "LukuOtsikko", "PerusteluOsa", "SisaltoKuvaus", "AsiaKuvaus", "PaatosOsa", "PaatosToimenpide", "PonsiOsa",
-        "PykalaViite", "Kuva", "KuvaTiedosto", "tgroup", "colspec", "thead", "tbody", "Alkio", "ListaAlkio",
+        "PykalaViite", "Kuva", "tgroup", "colspec", "thead", "tbody", "Alkio", "ListaAlkio",
         "SaadoskokoelmaViiteTunnus", "AsiakirjaViiteTunnus", "SopimussarjaViiteTunnus", "ViiteTunnus",
     ],
     "skip": [
@@ -106,35 +106,98 @@ TOKEN = (
     r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(?i:script|style)\b[^>]*>.*?</(?i:script|style)\s*>|<[^>]*>|[^<]+"
 )
+LEVELS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 MARKS = {"italic": "*", "bold": "**", "bolditalic": "***"}
-STATE = (
-    "struct<out:array<string>,notes:array<string>,n:int,depth:int,skip:int,skipped:string,chapters:int,"
-    "lists:array<struct<kind:string,n:int,depth:int>>,mark:string,heading:boolean,url:string,"
-    "rows:int,cols:int,width:int,blocks:int>"
-)
+# What a token does, decided once per token before the fold.
+(NOTHING, TEXT, HEADING, HEADING_END, BLOCK, BLOCK_END, LIST, LIST_END, ITEM, TABLE, TABLE_END, ROW, ROW_END, CELL,
+ CELL_END, MARK, MARK_END, WRAP, WRAP_END, LINK, LINK_END, ASIDE, ASIDE_END, BREAK, GAP, IMAGE, CHAPTER, CHAPTER_END,
+ SKIP) = range(29)
+STRINGS, LISTS = "array<string>", "array<struct<kind:string,n:int,depth:int>>"
 
 
 def _literal_map(mapping: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for all its uses in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _token_structs(markup: Column, rules: Rules) -> Column:
-    """Tokens as (kind, tag, role, raw): kind is open, close, empty, text or none."""
+    """Tokens as (op, d, tag, arg, role): what to do, change of depth, tag name, text or attribute."""
 
     def one(t: Column) -> Column:
-        tag = F.regexp_extract(t, rf"^</?{PREFIX}([\w.-]+)", 1)
-        tag = F.lower(tag) if rules.fold_case else tag
         kind = (
-            F.when(t.startswith("<![CDATA["), "text")
-            .when(t.rlike(r"^<[!?]|^<(?i:script|style)\b"), "none")
+            F.when(~t.startswith("<") | t.startswith("<![CDATA["), "text")
+            .when(t.startswith("<!") | t.startswith("<?") | t.rlike(r"^<(?i:script|style)\b"), "none")
             .when(t.startswith("</"), "close")
-            .when(t.startswith("<") & t.endswith("/>"), "empty")
-            .when(t.startswith("<"), "open")
-            .otherwise("text")
+            .when(t.endswith("/>"), "empty")
+            .otherwise("open")
+        )
+        tag = F.regexp_extract(t, rf"^</?{PREFIX}([\w.-]+)", 1)
+        tag = F.when(kind == "text", "").otherwise(F.lower(tag) if rules.fold_case else tag)
+        return let(F.struct(kind.alias("kind"), tag.alias("tag"), t.alias("raw")), lambda x: with_role(x))
+
+    def with_role(x: Column) -> Column:
+        role = F.when(x["kind"].isin("text", "none"), x["kind"]).otherwise(
+            F.try_element_at(_literal_map(rules.roles), x["tag"])
+        )
+        if rules.any_child_is_item:  # the file name may sit on a child of any name
+            role = F.when(x["raw"].contains(f'{rules.image_attribute}="'), "picture").otherwise(role)
+        return let(
+            F.struct(x["kind"].alias("kind"), x["tag"].alias("tag"), x["raw"].alias("raw"), role.alias("role")), decide
+        )
+
+    def decide(x: Column) -> Column:
+        kind, role, raw = x["kind"], x["role"], x["raw"]
+        opens, closes, empty = kind == "open", kind == "close", kind == "empty"
+
+        def pair(start: int, end: int) -> Column:
+            return F.when(opens, start).when(closes, end).otherwise(NOTHING)
+
+        style = raw_attribute(raw, rules.style_attribute) if rules.style_attribute else F.lit("")
+        image = raw_attribute(raw, rules.image_attribute)
+        content = F.when(raw.startswith("<!["), F.substring(raw, 10, F.length(raw) - 12)).otherwise(
+            F.when(F.contains(raw, F.lit("&")), unescape(raw)).otherwise(raw)
+        )
+        words = F.regexp_replace(content, r"\s+", " ")
+        arg = (
+            F.when(role == "text", words)
+            .when(role.isin(LEVELS), F.substring(role, 2, 1))
+            .when(role == "ul", "-").when(role == "ol", "1")
+            .when((role == "list") & opens, F.when(style.isin(list(rules.ordered)), "1").when(style == "Tyhja", "").otherwise("-"))
+            .when(role == "link", raw_attribute(raw, rules.link_attribute))
+            .when((role == "image") | (role == "picture"), image)
+            .when(role == "quote", "> ")
+            .when(role.isin(list(MARKS)), _pick(role, MARKS))
+            .otherwise("")
+        )
+        op = (
+            F.when(role == "text", TEXT)
+            .when(role.isNull() | role.isin("none", "plain"), NOTHING)
+            .when(role.isin("image", "picture"), F.when((opens | empty) & (image != ""), IMAGE).otherwise(NOTHING))
+            .when(role == "break", F.when(closes, NOTHING).otherwise(BREAK))
+            .when(role == "gap", F.when(closes, NOTHING).otherwise(GAP))
+            .when(role.isin("para", "quote"), pair(BLOCK, BLOCK_END))
+            .when(role.isin("ul", "ol", "list"), F.when((role == "list") & opens & (style == "Tyhja"), SKIP)
+                  .otherwise(pair(LIST, LIST_END)))
+            .when(role == "item", pair(ITEM, NOTHING))
+            .when(role.isin(list(MARKS)), pair(MARK, MARK_END))
+            .when(role.isin("sup", "sub", "footnote"), pair(WRAP, WRAP_END))
+            .when(role.isin("heading", *LEVELS), pair(HEADING, HEADING_END))
+            .when(role == "link", pair(LINK, LINK_END))
+            .when(role == "table", pair(TABLE, TABLE_END))
+            .when(role == "row", pair(ROW, ROW_END))
+            .when(role == "cell", pair(CELL, CELL_END))
+            .when(role == "aside", pair(ASIDE, ASIDE_END))
+            .when(role == "chapter", pair(CHAPTER, CHAPTER_END))
+            .when(role == "skip", F.when(opens, SKIP).otherwise(NOTHING))
+            .otherwise(NOTHING)
         )
         return F.struct(
-            kind.alias("kind"), tag.alias("tag"), F.try_element_at(_literal_map(rules.roles), tag).alias("role"),
-            t.alias("raw"),
+            op.alias("op"), F.when(opens, 1).when(closes, -1).otherwise(0).alias("d"), x["tag"].alias("tag"),
+            arg.alias("arg"), role.alias("role"),
         )
 
     return F.transform(F.regexp_extract_all(markup, F.lit(TOKEN), 0), one)
@@ -163,145 +226,111 @@ def _drop_empty_marks(markup: Column, rules: Rules) -> Column:
 
 
 def _step(s: Column, t: Column, rules: Rules) -> Column:
-    kind, raw = t["kind"], t["raw"]
-    role = F.coalesce(t["role"], F.lit("plain"))
-    opens, closes, empty, text = kind == "open", kind == "close", kind == "empty", kind == "text"
-    is_tag = opens | closes | empty
+    """The state after one token: one branch per kind of token."""
+    op, role, arg, depth = t["op"], t["role"], t["arg"], s["depth"] + t["d"]
     in_list, in_cell = F.size(s["lists"]) > 0, s["cols"] > 0
-    top = F.try_element_at(s["lists"], F.lit(-1))
 
-    # Lists: kind by tag or by a style attribute; a list without a visible style is skipped.
-    style = attribute(raw, rules.style_attribute) if rules.style_attribute else F.lit(None).cast("string")
-    list_kind = (
-        F.when(role == "ul", "-").when(role == "ol", "1")
-        .when((role == "list") & style.isin(list(rules.ordered)), "1")
-        .when((role == "list") & (style == "Tyhja"), "skip")
-        .when(role == "list", "-")
-    )
-    opens_list = opens & list_kind.isNotNull() & (list_kind != "skip")
-    closes_list = closes & role.isin("ul", "ol", "list")
-    item = opens & in_list & (
-        (s["depth"] == top["depth"] + 1) if rules.any_child_is_item else (role == "item")
-    )
+    def then(piece: Column | str | None = None, **changed: Column) -> Column:
+        out = s.withField("depth", depth)
+        if piece is not None:
+            text = F.lit(piece) if isinstance(piece, str) else piece
+            out = out.withField("out", F.concat(s["out"], F.array(text)))
+        for name, value in changed.items():
+            out = out.withField(name, value)
+        return out
 
-    # Skipped subtrees: count the open elements of the name that began it.
-    hidden = s["skip"] > 0
     same = t["tag"] == s["skipped"]
-    begins_skip = ~hidden & opens & ((role == "skip") | F.coalesce(list_kind == "skip", F.lit(False)))
-    skip = (
-        F.when(hidden & opens & same, s["skip"] + 1)
-        .when(hidden & closes & same, s["skip"] - 1)
-        .when(begins_skip, F.lit(1))
-        .otherwise(s["skip"])
-    )
-    shown = ~hidden & ~begins_skip
+    skip = F.when(same, s["skip"] + t["d"]).otherwise(s["skip"])
 
-    level = F.when(role.rlike("^h[1-6]$"), F.substring(role, 2, 1).cast("int")).otherwise(
-        F.least(s["chapters"] + 1, F.lit(6))
-    )
-    heading = role.rlike("^(heading|h[1-6])$")
-    block = role.isin("para", "quote")
-    url = F.coalesce(attribute(raw, rules.link_attribute), F.lit(""))
-    image = F.when(opens | empty, attribute(raw, rules.image_attribute))
-    if rules.image_attribute == "src":
-        image = F.when(role == "image", image)
-
-    words = F.regexp_replace(
-        unescape(F.regexp_replace(raw, r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1")), r"(?U)\s+", " "
-    )
-    bare = F.trim(words)
+    bare = F.trim(arg)
+    number = (s["notes_made"] + 1).cast("string")
     said = (
-        F.when(s["mark"] == "sup", F.coalesce(_pick(bare, rules.superscripts), F.concat(F.lit("<sup>"), bare, F.lit("</sup>"))))
+        F.when(s["mark"] == "", F.when(
+            s["heading"] & F.lit(rules.capitalize_headings),
+            F.concat(F.upper(F.left(bare, F.lit(1))), F.lower(F.substring(bare, 2, 1_000_000_000))),
+        ).otherwise(arg))
+        .when(s["mark"] == "sup", F.coalesce(_pick(bare, rules.superscripts), F.concat(F.lit("<sup>"), bare, F.lit("</sup>"))))
         .when(s["mark"] == "sub", F.coalesce(_pick(bare, rules.subscripts), F.concat(F.lit("<sub>"), bare, F.lit("</sub>"))))
-        .when(s["mark"] == "footnote", F.concat(F.lit("[^"), (s["n"] + 1).cast("string"), F.lit("]")))
-        .when(s["mark"].isNotNull(), bare)
-        .when(s["heading"] & F.lit(rules.capitalize_headings),
-              F.concat(F.upper(F.left(bare, F.lit(1))), F.lower(F.substring(bare, 2, 1_000_000_000))))
-        .otherwise(words)
+        .when(s["mark"] == "footnote", F.concat(F.lit("[^"), number, F.lit("]")))
+        .otherwise(bare)
     )
     said = F.when(in_cell, F.replace(said, F.lit("|"), F.lit("\\|"))).otherwise(said)
-    blank = bare == ""
-
-    bullet = F.when(top["kind"] == "1", F.concat((top["n"] + 1).cast("string"), F.lit(". "))).otherwise(F.lit("- "))
-    indent = F.repeat(F.lit("  "), F.size(s["lists"]) - 1)
-    first_row_ends = closes & (role == "row") & (s["rows"] == 0)
+    footnote = (s["mark"] == "footnote") & (bare != "")
+    text = F.when((bare == "") & ((s["mark"] != "") | s["heading"]), then()).when(
+        footnote,
+        then(said, notes=F.concat(s["notes"], F.array(F.concat(F.lit("[^"), number, F.lit("]: "), bare))),
+             notes_made=s["notes_made"] + 1),
+    ).otherwise(then(said))
+
+    level = F.when(arg != "", arg.cast("int")).otherwise(F.least(s["chapters"] + 1, F.lit(6)))
+    no_notes = F.array().cast(STRINGS)
+    notes = F.when(F.size(s["notes"]) > 0, F.concat(F.lit("\n\n"), F.array_join(s["notes"], "\n\n"))).otherwise("")
+    after_block = F.concat(notes, F.when(in_list, "\n").otherwise("\n\n"))
+    before_block = F.when(in_cell, F.when(s["blocks"] > 0, " <br> ").otherwise("")).when(in_list, "").otherwise(
+        F.concat(F.lit("\n\n"), arg)
+    )
+    header_rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.greatest(s["width"], s["cols"])))
     pad = F.repeat(F.lit("  |"), F.greatest(s["width"] - s["cols"], F.lit(0)))
-    notes = F.when(F.size(s["notes"]) > 0, F.concat(F.lit("\n\n"), F.array_join(s["notes"], "\n\n"))).otherwise(F.lit(""))
-    mark = _pick(role, MARKS)
-
-    piece = (
-        F.when(text, F.when(blank & (s["mark"].isNotNull() | s["heading"]), "").otherwise(said))
-        .when(image.isNotNull(), F.concat(F.lit("![]("), image, F.lit(")")))
-        .when(role == "break", F.when(in_cell, " <br> ").otherwise("  \n"))
-        .when(role == "gap", " ")
-        .when(item, F.concat(F.lit("\n"), indent, bullet))
-        .when(opens & heading, F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), level), F.lit(" ")))
-        .when(opens & block & in_cell, F.when(s["blocks"] > 0, " <br> ").otherwise(""))
-        .when(opens & block & in_list, "")
-        .when(opens & (role == "quote"), "\n\n> ")
-        .when(opens & block, "\n\n")
-        .when(opens & (role == "table"), "\n\n")
-        .when(opens & (role == "row"), "\n|")
-        .when(opens & (role == "cell"), " ")
-        .when(closes & (role == "cell"), " |")
-        .when(first_row_ends, F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.greatest(s["width"], s["cols"]))))
-        .when(closes & (role == "row"), pad)
-        .when(closes & block & in_cell, "")
-        .when(closes & (block | heading), F.concat(notes, F.when(in_list, "\n").otherwise("\n\n")))
-        .when(closes & (role == "table"), "\n\n")
-        .when(closes_list, "\n\n")
-        .when(opens & mark.isNotNull(), mark)
-        .when(closes & mark.isNotNull(), F.concat(mark, F.lit(" ")))
-        .when(opens & (role == "link"), "[")
-        .when(closes & (role == "link"), F.concat(F.lit("]("), F.coalesce(s["url"], F.lit("")), F.lit(")")))
-        .when(opens & (role == "aside"), "(")
-        .when(closes & (role == "aside"), ")")
-        .otherwise("")
+    pushed = F.struct(arg.alias("kind"), F.lit(0).alias("n"), s["depth"].alias("depth"))
+    out, lists = _bullet(s)
+
+    branches = [
+        (TEXT, text),
+        (NOTHING, then()),
+        (BLOCK, then(before_block, blocks=s["blocks"] + 1)),
+        (BLOCK_END, F.when(in_cell, then()).otherwise(then(after_block, notes=no_notes))),
+        (MARK, then(arg, mark=role)),
+        (MARK_END, then(F.concat(arg, F.lit(" ")), mark=F.lit(""))),
+        (LINK, then("[", url=arg)),
+        (LINK_END, then(F.concat(F.lit("]("), s["url"], F.lit(")")))),
+        (ITEM, F.when(in_list, s.withField("out", out).withField("lists", lists)).otherwise(then("\n\n"))),
+        (LIST, then(lists=F.concat(s["lists"], F.array(pushed)))),
+        (LIST_END, F.when(in_list, then("\n\n", lists=F.slice(s["lists"], 1, F.size(s["lists"]) - 1))).otherwise(then())),
+        (SKIP, then(skip=F.lit(1), skipped=t["tag"])),
+        (HEADING, then(F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), level), F.lit(" ")), heading=F.lit(True))),
+        (HEADING_END, then(after_block, heading=F.lit(False), notes=no_notes)),
+        (WRAP, then(mark=role)),
+        (WRAP_END, then(mark=F.lit(""))),
+        (BREAK, then(F.when(in_cell, " <br> ").otherwise("  \n"))),
+        (IMAGE, then(F.concat(F.lit("![]("), arg, F.lit(")")))),
+        (CHAPTER, then(chapters=s["chapters"] + 1)),
+        (CHAPTER_END, then(chapters=s["chapters"] - 1)),
+        (TABLE, then("\n\n", rows=F.lit(0), cols=F.lit(0), width=F.lit(0))),
+        (TABLE_END, then("\n\n", cols=F.lit(0))),
+        (ROW, then("\n|", cols=F.lit(0))),
+        (ROW_END, F.when(s["rows"] == 0, then(header_rule, rows=F.lit(1), width=s["cols"], cols=F.lit(0)))
+         .otherwise(then(pad, rows=s["rows"] + 1, cols=F.lit(0)))),
+        (CELL, then(" ", cols=s["cols"] + 1, blocks=F.lit(0))),
+        (CELL_END, then(" |", blocks=F.lit(0))),
+        (ASIDE, then("(")),
+        (ASIDE_END, then(")")),
+        (GAP, then(" ")),
+    ]
+    chosen = F.when(s["skip"] > 0, s.withField("depth", depth).withField("skip", skip))
+    for code, state in branches:
+        chosen = chosen.when(op == code, state)
+    return chosen.otherwise(s)
+
+
+def _bullet(s: Column) -> tuple[Column, Column]:
+    """Output and list stack once an item of the innermost list begins."""
+    top = F.try_element_at(s["lists"], F.lit(-1))
+    bullet = F.when(top["kind"] == "1", F.concat((top["n"] + 1).cast("string"), F.lit(". "))).otherwise("- ")
+    indent = F.repeat(F.lit("  "), F.size(s["lists"]) - 1)
+    counted = F.struct(top["kind"].alias("kind"), (top["n"] + 1).alias("n"), top["depth"].alias("depth"))
+    return (
+        F.concat(s["out"], F.array(F.concat(F.lit("\n"), indent, bullet))),
+        F.concat(F.slice(s["lists"], 1, F.size(s["lists"]) - 1), F.array(counted)),
     )
-    note = text & s["mark"].eqNullSafe("footnote") & ~blank & shown
-    emits = shown & (piece != "")
-    flushes = closes & (block | heading) & ~in_cell
-
-    counted = F.when(
-        item & shown,
-        F.transform(
-            s["lists"],
-            lambda x, i: F.struct(
-                x["kind"].alias("kind"),
-                F.when(i == F.size(s["lists"]) - 1, x["n"] + 1).otherwise(x["n"]).alias("n"),
-                x["depth"].alias("depth"),
-            ),
-        ),
-    ).otherwise(s["lists"])
-    pushed = F.struct(list_kind.alias("kind"), F.lit(0).alias("n"), s["depth"].alias("depth"))
-    lists = (
-        F.when(shown & opens_list, F.concat(counted, F.array(pushed)))
-        .when(shown & closes_list & in_list, F.slice(s["lists"], 1, F.size(s["lists"]) - 1))
-        .otherwise(counted)
+
+
+def _begin_item(s: Column, t: Column) -> Column:
+    """In the XML every direct child of a list is an item, whatever its name."""
+    out, lists = _bullet(s)
+    item = (t["d"] == 1) & (F.size(s["lists"]) > 0) & (s["skip"] == 0) & (
+        F.coalesce(F.try_element_at(s["lists"], F.lit(-1))["depth"], F.lit(-9)) + 1 == s["depth"]
     )
-    sets_mark = role.isin(*MARKS, "sup", "sub", "footnote")
-    return F.struct(
-        F.when(emits, F.concat(s["out"], F.array(piece))).otherwise(s["out"]).alias("out"),
-        F.when(
-            note, F.concat(s["notes"], F.array(F.concat(F.lit("[^"), (s["n"] + 1).cast("string"), F.lit("]: "), bare)))
-        ).when(shown & flushes, F.array().cast("array<string>")).otherwise(s["notes"]).alias("notes"),
-        F.when(note, s["n"] + 1).otherwise(s["n"]).alias("n"),
-        F.when(opens, s["depth"] + 1).when(closes, s["depth"] - 1).otherwise(s["depth"]).alias("depth"),
-        skip.alias("skip"),
-        F.when(begins_skip, t["tag"]).otherwise(s["skipped"]).alias("skipped"),
-        F.when(shown & opens & (role == "chapter"), s["chapters"] + 1)
-        .when(shown & closes & (role == "chapter"), s["chapters"] - 1)
-        .otherwise(s["chapters"]).alias("chapters"),
-        lists.alias("lists"),
-        F.when(shown & opens & sets_mark, role).when(is_tag & sets_mark, F.lit(None)).otherwise(s["mark"]).alias("mark"),
-        F.when(opens & heading, True).when(closes & heading, False).otherwise(s["heading"]).alias("heading"),
-        F.when(opens & (role == "link"), url).otherwise(s["url"]).alias("url"),
-        F.when(opens & (role == "table"), 0).when(closes & (role == "row"), s["rows"] + 1).otherwise(s["rows"]).alias("rows"),
-        F.when(opens & (role == "cell"), s["cols"] + 1).when((role == "row") | (role == "table"), 0)
-        .otherwise(s["cols"]).alias("cols"),
-        F.when(opens & (role == "table"), 0).when(first_row_ends, s["cols"]).otherwise(s["width"]).alias("width"),
-        F.when(role == "cell", 0).when(opens & block, s["blocks"] + 1).otherwise(s["blocks"]).alias("blocks"),
-    ).cast(STATE)
+    return F.when(item, s.withField("out", out).withField("lists", lists)).otherwise(s)
 
 
 def _pick(key: Column, mapping: Mapping[str, str]) -> Column:
@@ -314,37 +343,58 @@ def _tidy(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\A\s+|\s+\z", ""), r"(?m)(?<! ) $", "")
 
 
-def to_markdown(df: DataFrame, col: str, out: str = "markdown", rules: Rules = XML, error: str | None = "error") -> DataFrame:
-    """Add the Markdown of a markup column, and the unknown tags in it (NULL when all are known)."""
-    source = F.coalesce(F.col(col), F.lit(""))
-    if rules.any_child_is_item:
-        source = _drop_title_blocks(source)
-    tokens = _token_structs(_drop_empty_marks(source, rules), rules)
+def sections_to_markdown(
+    df: DataFrame, sections: Mapping[str, Column], rules: Rules = XML, error: str | None = "error"
+) -> DataFrame:
+    """Add the Markdown of several markup columns, all converted by one fold expression.
+
+    ``error`` names a column with the unknown tags (NULL when all are known).
+    """
+    names = list(sections)
+
+    def source(markup: Column) -> Column:
+        text = F.coalesce(markup, F.lit(""))
+        if rules.any_child_is_item:
+            text = _drop_title_blocks(text)
+        return _token_structs(_drop_empty_marks(text, rules), rules)
+
     start = F.struct(
-        F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("notes"),
-        *[F.lit(0).alias(f) for f in ("n", "depth", "skip")], F.lit("").alias("skipped"), F.lit(0).alias("chapters"),
-        F.array().cast("array<struct<kind:string,n:int,depth:int>>").alias("lists"),
-        F.lit(None).cast("string").alias("mark"), F.lit(False).alias("heading"), F.lit("").alias("url"),
-        *[F.lit(0).alias(f) for f in ("rows", "cols", "width", "blocks")],
-    ).cast(STATE)
-    keep = [c for c in df.columns if c != out]
-    df = df.withColumn("_tokens", tokens)
-    folded = F.aggregate("_tokens", start, lambda s, t: _step(s, t, rules), lambda s: F.array_join(s["out"], ""))
-    cols = [F.when(F.col(col).isNotNull(), _tidy(folded)).alias(out)]
+        F.array().cast(STRINGS).alias("out"), F.array().cast(STRINGS).alias("notes"), F.lit(0).alias("notes_made"),
+        F.lit(0).alias("depth"), F.lit(0).alias("skip"), F.lit("").alias("skipped"), F.lit(0).alias("chapters"),
+        F.array().cast(LISTS).alias("lists"), F.lit("").alias("mark"), F.lit(False).alias("heading"),
+        F.lit("").alias("url"), *[F.lit(0).alias(f) for f in ("rows", "cols", "width", "blocks")],
+    )
+
+    def step(s: Column, t: Column) -> Column:
+        if rules.any_child_is_item:
+            return let(_begin_item(s, t), lambda x: _step(x, t, rules))
+        return _step(s, t, rules)
+
+    def fold(tokens: Column) -> Column:
+        return _tidy(F.aggregate(tokens, start, step, lambda s: F.array_join(s["out"], "")))
+
+    keep = [c for c in df.columns if c not in (*names, error)]
+    df = df.withColumn("_markup", F.array(*sections.values()))
+    df = df.withColumn("_tokens", F.transform("_markup", source))
+    df = df.withColumn("_markdown", F.transform("_tokens", fold))
+    cols = [F.when(F.get("_markup", i).isNotNull(), F.get("_markdown", i)).alias(n) for i, n in enumerate(names)]
     if error:
         unknown = F.array_sort(
             F.array_distinct(
                 F.transform(
-                    F.filter("_tokens", lambda t: t["role"].isNull() & t["kind"].isin("open", "empty")),
-                    lambda t: t["tag"],
+                    F.filter(F.flatten("_tokens"), lambda t: t["role"].isNull() & (t["d"] >= 0)), lambda t: t["tag"]
                 )
             )
         )
         cols.append(F.nullif(F.array_join(unknown, ","), F.lit("")).alias(error))
-        keep = [c for c in keep if c != error]
     return df.select(*keep, *cols)
 
 
+def to_markdown(df: DataFrame, col: str, out: str = "markdown", rules: Rules = XML, error: str | None = "error") -> DataFrame:
+    """Add the Markdown of a markup column, and the unknown tags in it (NULL when all are known)."""
+    return sections_to_markdown(df, {out: F.col(col)}, rules, error)
+
+
 def statute_to_markdown(col: str | Column) -> Column:
     """One statute: header, preamble, then per section a bold head, its moments and its item lists."""
     c = F.col(col) if isinstance(col, str) else col
@@ -396,5 +446,6 @@ def page_sections(df: DataFrame, col: str) -> DataFrame:
 
 
 __all__ = [
-    "HTML", "XML", "Rules", "law_changes", "page_sections", "statute_to_markdown", "subtree", "to_markdown", "without",
+    "HTML", "XML", "Rules", "law_changes", "page_sections", "sections_to_markdown", "statute_to_markdown",
+    "subtree", "to_markdown", "without",
 ]

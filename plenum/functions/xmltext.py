@@ -28,20 +28,28 @@ def subtrees(col: str | Column, *tags: str) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(element_pattern(*tags)), 0)
 
 
+def cut(col: str | Column, *tags: str) -> Column:
+    """The first such element, '' without one."""
+    return F.regexp_extract(_c(col), element_pattern(*tags), 0)
+
+
 def subtree(col: str | Column, *tags: str) -> Column:
     """The first such element, NULL without one."""
-    return F.nullif(F.regexp_extract(_c(col), element_pattern(*tags), 0), F.lit(""))
+    return F.nullif(cut(col, *tags), F.lit(""))
 
 
 def without(col: str | Column, *tags: str) -> Column:
     return F.regexp_replace(_c(col), element_pattern(*tags), "")
 
 
+def raw_attribute(col: str | Column, name: str) -> Column:
+    """Attribute of the outermost element of a cut piece, '' without one."""
+    return unescape(F.regexp_extract(_c(col), rf'^<[^>]*?[\s:]{name}="([^"]*)"', 1))
+
+
 def attribute(col: str | Column, name: str) -> Column:
-    """Attribute of the outermost element of a cut piece, NULL without one."""
-    c = _c(col)
-    value = F.regexp_extract(c, rf'^<[^>]*?[\s:]{name}="([^"]*)"', 1)
-    return F.when(c.rlike(rf'^<[^>]*?[\s:]{name}="'), unescape(value))
+    """The same, a missing or empty one being NULL."""
+    return F.nullif(raw_attribute(col, name), F.lit(""))
 
 
 def unescape(col: str | Column) -> Column:

@@ -9,7 +9,7 @@ from plenum import schemas
 from plenum.functions.clean import (
     blank_to_null, date_prefix, drop_empty_twins, lower_id, map_status, numeric_id,
 )
-from plenum.functions.markup import law_changes, to_markdown
+from plenum.functions.markup import law_changes, sections_to_markdown
 from plenum.functions.xmltext import attribute, child_text, subtree, subtrees, text_of
 from plenum.operators.resolve import assign_key, exists_flag, lookup_first, resolve_signers
 from plenum.plans.minutes import metadata
@@ -32,30 +32,30 @@ def with_body(raw: DataFrame, kind: str, xml: str = "XmlData") -> DataFrame:
     ).withColumn("id", lower_id("doc_id"))
 
 
-def _sections(df: DataFrame, parts: dict[str, Column]) -> DataFrame:
-    """Each markup column -> Markdown under its own name, blank ones NULL."""
-    for name, markup in parts.items():
-        df = to_markdown(df.withColumn("_markup", markup), "_markup", name, error=f"{name}_error").drop("_markup")
-        df = df.withColumn(name, blank_to_null(name))
-    return df
+def extract_sections(
+    df: DataFrame, wanted: tuple[str, ...] = ("summary", "reasoning"), body: str = "body", whole: str | None = None
+) -> DataFrame:
+    """Title, law changes and the wanted sections of a document body, blank ones NULL.
 
-
-def extract_sections(df: DataFrame, body: str = "body", whole: str | None = None) -> DataFrame:
-    """Title, summary, reasoning, opinion, motion and law changes of a document body."""
+    Sections: summary, reasoning, opinion, motion. ``markup_error`` lists tags
+    that are not understood.
+    """
+    parts = {
+        "summary": F.array_join(subtrees(body, "AsiaKuvaus", "SisaltoKuvaus"), "\n"),
+        "reasoning": subtree(body, "PerusteluOsa"),
+        "opinion": F.array_join(subtrees(whole or body, "PaatosOsa"), "\n"),
+        "motion": subtree(body, "PonsiOsa"),
+    }
     titles = F.transform(
         F.flatten(F.transform(subtrees(body, "Nimeke"), lambda n: subtrees(n, "NimekeTeksti"))), text_of
     )
-    df = df.withColumn("title", blank_to_null(F.array_join(titles, "\n\n"))).withColumn(
-        "law_changes", law_changes(whole or body)
-    )
-    return _sections(
-        df,
+    df = sections_to_markdown(df, {n: parts[n] for n in wanted}, error="markup_error")
+    return df.withColumns(
         {
-            "summary": F.array_join(subtrees(body, "AsiaKuvaus", "SisaltoKuvaus"), "\n"),
-            "reasoning": subtree(body, "PerusteluOsa"),
-            "opinion": F.array_join(subtrees(whole or body, "PaatosOsa"), "\n"),
-            "motion": subtree(body, "PonsiOsa"),
-        },
+            "title": blank_to_null(F.array_join(titles, "\n\n")),
+            "law_changes": law_changes(whole or body),
+            **{n: blank_to_null(n) for n in wanted},
+        }
     )
 
 
@@ -134,7 +134,7 @@ def build_petitions(raw: DataFrame, agenda_items: DataFrame, persons: DataFrame)
 
 def build_interpellations(raw: DataFrame, handling: DataFrame, persons: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = drop_empty_twins(with_body(raw, "interpellation"), "id", "body")
-    coded = lookup_first(extract_sections(docs), status_of(handling), "doc_id", "code", [F.col("seq")])
+    coded = lookup_first(extract_sections(docs, ("reasoning", "motion")), status_of(handling), "doc_id", "code", [F.col("seq")])
     out = coded.withColumn("status", map_status("code"))
     return (
         out.select("id", "date", "title", "reasoning", "motion", "status"),
@@ -152,7 +152,7 @@ def build_committee_reports(raw: DataFrame, persons: DataFrame) -> dict[str, Dat
     actors = subtrees(ident, "Toimija")
     author = F.get(F.filter(actors, lambda a: attribute(a, "rooliKoodi") == "Laatija"), 0)
     named = F.get(F.filter(actors, lambda a: subtree(a, "YhteisoTeksti").isNotNull()), 0)
-    reports = extract_sections(docs, whole="xml").select(
+    reports = extract_sections(docs, ("summary", "opinion", "reasoning"), whole="xml").select(
         "id",
         F.lower(child_text(subtree(ident, "Vireilletulo"), "EduskuntaTunnus")).alias("proposal_id"),
         "date",
@@ -163,7 +163,7 @@ def build_committee_reports(raw: DataFrame, persons: DataFrame) -> dict[str, Dat
         F.col("id").alias("committee_report_id"), F.posexplode(subtrees("body", "JasenMielipideOsa")).alias("i", "body")
     ).withColumn("objection_index", F.col("i") + 1)
     objections = assign_key(objections, ["committee_report_id", "objection_index"])
-    texts = _sections(objections, {"reasoning": subtree("body", "PerusteluOsa"), "motion": subtree("body", "PonsiOsa")})
+    texts = extract_sections(objections, ("reasoning", "motion"))
     signed = resolve_signers(extract_signers(objections), persons)[0]
     return {
         "committee_reports": reports,

@@ -48,8 +48,13 @@ def _retired(xml: str) -> Column:
 def build_persons(raw: DataFrame, photos: DataFrame | None = None, xml: str = "XmlDataFi") -> DataFrame:
     """Persons; the register's fields are known by their place only."""
 
+    # One XPath call, so one parse per document, returns all wanted children.
+    wanted = [2, 3, *CHILDREN.values()]
+    path = "concat(" + ", '\x1f', ".join(f"string(/*/*[{n}])" for n in wanted) + ")"
+    raw = raw.withColumn("_children", F.split(F.xpath_string(xml, F.lit(path)), "\x1f"))
+
     def child(n: int) -> Column:
-        return blank_to_null(F.xpath_string(xml, F.lit(f"/*/*[{n}]")))
+        return blank_to_null(F.get("_children", wanted.index(n)))
 
     rows = raw.select(
         F.col("personId").cast("int").alias("id"),
