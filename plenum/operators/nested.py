@@ -99,7 +99,7 @@ def nest_sorted(
         .agg(collected)
         .select(
             *keys,
-            (F.col("_range") * F.lit(RANGE_STRIDE) + F.col("_chunk")).cast("long").alias(part),
+            (F.col("_range").cast("long") * F.lit(RANGE_STRIDE) + F.col("_chunk")).alias(part),
             into,
         )
     )
