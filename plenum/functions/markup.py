@@ -339,7 +339,7 @@ def _pick(key: Column, mapping: Mapping[str, str]) -> Column:
 
 def _tidy(text: Column) -> Column:
     text = F.regexp_replace(text, r"[ \t]*\n[ \t]*\n\s*", "\n\n")
-    text = F.regexp_replace(text, r"(?m)(?<=\S) +(?=\*\*? )", " ")
+    text = F.regexp_replace(text, r"(?<=[^\s|]) {2,}(?=[^\s|])", " ")
     return F.regexp_replace(F.regexp_replace(text, r"\A\s+|\s+\z", ""), r"(?m)(?<! ) $", "")
 
 
