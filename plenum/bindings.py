@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plenum import schemas
 from plenum.functions.clean import map_codes
 from plenum.operators.temporal import latest_per_key
+from plenum.sources.readers import widen
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -160,7 +161,7 @@ def speeches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return widen(table(spark, folder, "documents")).select(
         F.col("doc_id").alias("id"),
         F.get(F.split("text", "\n"), 0).alias("title"),
         F.col("text").alias("summary"),
@@ -180,7 +181,7 @@ def documents_with_twins(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return widen(table(spark, folder, "documents")).select(
         "doc_id",
         F.concat(
             F.lit("<Siirto><Tyyppi>VASKI_JULKVP_"), "source", F.lit("_"), "lang", F.lit("</Tyyppi><Teksti>"),

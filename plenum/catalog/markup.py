@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plenum import bindings as b
 from plenum.functions import markup as m
+from plenum.sources.readers import widen
 from plenum.functions.xmltext import child_text, text_of
 
 QUERIES = {
@@ -24,7 +25,7 @@ QUERIES = {
         UNION ALL SELECT page_id, NULL FROM pages WHERE html NOT LIKE '%<h1%'""",
     ),
     "markup_to_markdown": (
-        lambda s, d: m.to_markdown(b.table(s, d, "pages").select("page_id", "html"), "html", rules=m.HTML).drop("html"),
+        lambda s, d: m.to_markdown(widen(b.table(s, d, "pages").select("page_id", "html")), "html", rules=m.HTML).drop("html"),
         None,
     ),
     "markup_plain_text": (

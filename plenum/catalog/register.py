@@ -10,7 +10,7 @@ from plenum.operators.resolve import resolve_signers
 from plenum.plans import documents as doc
 from plenum.plans import minutes, people
 from plenum.plans.chamber import build_absences
-from plenum.sources.readers import xml_path
+from plenum.sources.readers import widen, xml_path
 
 
 def _iso(col):
@@ -67,7 +67,7 @@ def member_xml(s, d):
             _el("Jasenyys", _el("Nimi", "Minister ", prio), _el("Ministeriys", _if(k % 5 == 0, F.lit("Ministry"))),
                 _el("Hallitus", "Cabinet"), _el("AlkuPvm", "1995"), _el("LoppuPvm", day)))),
     )
-    return b.table(s, d, "orders").select(
+    return widen(b.table(s, d, "orders")).select(
         k.cast("int").alias("personId"), F.concat(F.lit(" "), prio).alias("lastname"),
         F.concat(F.lit("F"), number, F.lit(" ")).alias("firstname"), xml.alias("XmlDataFi"),
     )
@@ -188,7 +188,7 @@ def proposal_xml(s, d, body="eka:EduskuntaAloite"):
 def handling_xml(s, d):
     number = F.col("o_orderkey").cast("string")
     code = F.when(F.col("o_orderstatus") == "F", "PassedUrgent").when(F.col("o_orderstatus") == "P", "Resting")
-    return b.table(s, d, "orders").select(
+    return widen(b.table(s, d, "orders")).select(
         number.alias("Id"), F.concat(F.lit("LA "), number, F.lit("/2024 vp")).alias("Eduskuntatunnus"),
         F.concat(
             F.lit("<x>"),
@@ -227,7 +227,7 @@ def report_xml(s, d):
               "</vas:JasenMielipideOsa>"),
     )
     tag = F.when(k % 8 == 0, "TalousarvioMietinto").otherwise("Mietinto")
-    return b.table(s, d, "orders").select(
+    return widen(b.table(s, d, "orders")).select(
         F.concat(
             F.lit('<ns11:Siirto><jme:JulkaisuMetatieto met1:laadintaPvm="2024-02-03" met1:eduskuntaTunnus="HaVM '), number,
             F.lit('/2024 vp"/><vml:'), tag, F.lit(">"), body, F.lit("</vml:"), tag, F.lit("></ns11:Siirto>"),

@@ -128,6 +128,13 @@ def helsinki_ts(col: str | Column) -> Column:
     return F.concat(F.nullif(F.trim(local), F.lit("")), F.lit(" Europe/Helsinki")).try_cast("timestamp")
 
 
+# Every character with the property White_Space (fixed values).
+WHITE_SPACE = (
+    "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 # --- numbers -------------------------------------------------------------------------
 
 
@@ -141,12 +148,12 @@ def parse_money(col: str | Column, empty: str | None = "0", to: str = "decimal(1
     ``empty`` is the text an empty amount counts as; None leaves it NULL. Text
     that is no number even then (a second comma) is NULL.
     """
-    bare = F.regexp_replace(strip_quotes(col), r"(?U)\s", "")
+    bare = F.translate(strip_quotes(col), WHITE_SPACE, "")
     amount = F.nullif(bare, F.lit(""))
     if empty is not None:
         amount = F.when(bare == "", F.lit(empty)).otherwise(bare)
-    dotted = F.regexp_replace(amount, r"^([^,]*),", "$1.")
-    return F.when(dotted.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), dotted).try_cast(to)
+    # Only the first comma is decimal; with a second one this is no number either.
+    return F.translate(amount, ",", ".").try_cast(to)
 
 
 def numeric_id(col: str | Column) -> Column:

@@ -25,6 +25,18 @@ def explode_keep(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.explode_outer(col))
 
 
+def spread(
+    df: DataFrame, keep: Sequence[str | Column], elements: Column, out: str, pos: str | None = None
+) -> DataFrame:
+    """One row per non-null element of an array that is costly to compute.
+
+    An inner explode lets the optimizer test the array before it explodes it,
+    which computes it three times; an outer one with a filter after does not.
+    """
+    rows = F.posexplode_outer(elements).alias(pos, out) if pos else F.explode_outer(elements).alias(out)
+    return df.select(*keep, rows).where(F.col(out).isNotNull())
+
+
 def unnest(df: DataFrame, col: str, drop: Sequence[str] = ()) -> DataFrame:
     """Lift the fields of a struct next to the other columns."""
     fields = [f for f in df.schema[col].dataType.names if f not in drop]

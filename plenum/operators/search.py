@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from plenum.functions.clean import boost_score, ilike_match, text_concat
 from plenum.operators.aggregate import agg_names, page, with_total
-from plenum.operators.nested import NEST_LIMIT
+from plenum.operators.nested import NEST_LIMIT, spread
 from plenum.operators.temporal import latest_interval
 
 SEPARATORS = r"[^\p{L}\p{N}]+"
@@ -117,7 +117,7 @@ def proposal_docs(
 
 def build_postings(docs: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
     """Postings of documents (doc_id, segment, text). Dropped stop words keep their position."""
-    exploded = docs.select("doc_id", "segment", F.posexplode(tokens("text")).alias("pos", "term"))
+    exploded = spread(docs, ["doc_id", "segment"], tokens("text"), "term", "pos")
     if stop_words:
         exploded = exploded.where(~F.col("term").isin(list(stop_words)))
     return exploded.groupBy("doc_id", "segment", "term").agg(

@@ -11,6 +11,7 @@ from plenum.functions.clean import (
 )
 from plenum.functions.markup import law_changes, sections_to_markdown
 from plenum.functions.xmltext import attribute, child_text, subtree, subtrees, text_of
+from plenum.operators.nested import spread
 from plenum.operators.resolve import assign_key, exists_flag, lookup_first, resolve_signers
 from plenum.plans.minutes import metadata
 
@@ -62,7 +63,7 @@ def extract_sections(
 def extract_signers(df: DataFrame, body: str = "body", keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """One row per signature with a first-name element."""
     return (
-        df.select(*keys, F.explode(subtrees(body, "Allekirjoittaja")).alias("s"))
+        spread(df, keys, subtrees(body, "Allekirjoittaja"), "s")
         .where(subtree("s", "EtuNimi").isNotNull())
         .select(
             *keys,
@@ -87,7 +88,7 @@ def extract_participants(df: DataFrame, xml: str = "xml") -> DataFrame:
     """(committee_report_id, person_id) of numbered participants, each once."""
     people = F.flatten(F.transform(subtrees(xml, "OsallistujaOsa"), lambda o: subtrees(o, "Henkilo")))
     return (
-        df.select(F.col("id").alias("committee_report_id"), F.explode(people).alias("p"))
+        spread(df, [F.col("id").alias("committee_report_id")], people, "p")
         .select("committee_report_id", numeric_id(attribute("p", "muuTunnus")).alias("person_id"))
         .dropna()
         .distinct()
@@ -159,8 +160,8 @@ def build_committee_reports(raw: DataFrame, persons: DataFrame) -> dict[str, Dat
         F.coalesce(child_text(author, "YhteisoTeksti"), child_text(named, "YhteisoTeksti")).alias("committee_name"),
         F.col("summary").alias("proposal_summary"), "opinion", "reasoning", "law_changes",
     )
-    objections = docs.select(
-        F.col("id").alias("committee_report_id"), F.posexplode(subtrees("body", "JasenMielipideOsa")).alias("i", "body")
+    objections = spread(
+        docs, [F.col("id").alias("committee_report_id")], subtrees("body", "JasenMielipideOsa"), "body", "i"
     ).withColumn("objection_index", F.col("i") + 1)
     objections = assign_key(objections, ["committee_report_id", "objection_index"])
     texts = extract_sections(objections, ("reasoning", "motion"))

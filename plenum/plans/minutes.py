@@ -11,6 +11,7 @@ from plenum.functions.clean import (
     numeric_id, speech_id,
 )
 from plenum.functions.xmltext import attribute, child_text, own_text, subtree, subtrees
+from plenum.operators.nested import spread
 from plenum.operators.temporal import thread_roots
 
 KEY = ["record_assembly_code", "record_number", "record_year"]
@@ -57,7 +58,7 @@ def build_records(raw: DataFrame, xml: str = "XmlData") -> DataFrame:
 
 
 def _items(raw: DataFrame, xml: str) -> DataFrame:
-    items = keyed(raw, xml).select(*KEY, F.posexplode(subtrees("xml", "Asiakohta")).alias("item_pos", "item"))
+    items = spread(keyed(raw, xml), KEY, subtrees("xml", "Asiakohta"), "item", "item_pos")
     own_id = F.coalesce(attribute("item", "eduskuntaTunnus"), attribute("item", "muuTunnus"))
     return items.withColumn("parliament_id", lower_id(own_id))
 
@@ -90,9 +91,9 @@ def _body(speech: str) -> Column:
 
 def build_speeches(raw: DataFrame, xml: str = "XmlData") -> DataFrame:
     """Speeches of members and ministers; a response points to the last root speech before it."""
-    spoken = _items(raw, xml).select(
-        *KEY, "item_pos", F.col("parliament_id").alias("agenda_item_parliament_id"),
-        F.posexplode(subtrees("item", "PuheenvuoroToimenpide")).alias("speech_pos", "speech"),
+    spoken = spread(
+        _items(raw, xml), [*KEY, "item_pos", F.col("parliament_id").alias("agenda_item_parliament_id")],
+        subtrees("item", "PuheenvuoroToimenpide"), "speech", "speech_pos",
     )
     role = child_text("speech", "AsemaTeksti")
     started = attribute("speech", "puheenvuoroAloitusHetki")
@@ -116,7 +117,7 @@ def build_speeches(raw: DataFrame, xml: str = "XmlData") -> DataFrame:
 def extract_absentees(raw: DataFrame, id_col: str = "Eduskuntatunnus", xml: str = "XmlData") -> DataFrame:
     """(id, person_id, work_related) per person named in a roll-call report."""
     people = F.flatten(F.transform(subtrees(xml, "Toimija"), lambda t: subtrees(t, "Henkilo")))
-    return raw.select(F.col(id_col).alias("id"), F.explode(people).alias("p")).select(
+    return spread(raw, [F.col(id_col).alias("id")], people, "p").select(
         "id",
         numeric_id(attribute("p", "muuTunnus")).alias("person_id"),
         has_note(F.transform(subtrees("p", "LisatietoTeksti"), own_text)).alias("work_related"),

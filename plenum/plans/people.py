@@ -13,7 +13,7 @@ from plenum import schemas
 from plenum.functions.clean import blank_to_null, complete_date, drop_sentinels, harmonize, map_role, parse_dmy
 from plenum.functions.xmltext import subtree
 from plenum.operators.aggregate import union_fill
-from plenum.operators.nested import concat_lists
+from plenum.operators.nested import concat_lists, spread
 from plenum.operators.resolve import assign_key, lookup_values, not_in
 from plenum.operators.temporal import distinct_values
 
@@ -70,7 +70,7 @@ def build_persons(raw: DataFrame, photos: DataFrame | None = None, xml: str = "X
 
 def build_ministers(raw: DataFrame, xml: str = "XmlDataFi") -> tuple[DataFrame, DataFrame]:
     """(ministers, minister_positions); only posts with a ministry."""
-    posts = raw.select("personId", F.explode(_part(xml, "ValtioneuvostonJasenyydet", POSTS)["Jasenyys"]).alias("p"))
+    posts = spread(raw, ["personId"], _part(xml, "ValtioneuvostonJasenyydet", POSTS)["Jasenyys"], "p")
     ministers = posts.where(F.coalesce("p.Ministeriys", F.lit("")) != "").select(
         F.col("personId").cast("int").alias("person_id"),
         F.col("p.Nimi").alias("minister_position"),
@@ -82,9 +82,7 @@ def build_ministers(raw: DataFrame, xml: str = "XmlDataFi") -> tuple[DataFrame,
 
 
 def build_interests(raw: DataFrame, xml: str = "XmlDataFi") -> DataFrame:
-    rows = raw.select(
-        "personId", F.posexplode(_part(xml, "Sidonnaisuudet", INTERESTS)["Sidonnaisuus"]).alias("pos", "s")
-    ).select(
+    rows = spread(raw, ["personId"], _part(xml, "Sidonnaisuudet", INTERESTS)["Sidonnaisuus"], "s", "pos").select(
         F.col("personId").cast("int").alias("person_id"), "pos",
         F.col("s.RyhmaOtsikko").alias("category"), blank_to_null("s.Sidonta").alias("interest"),
     )
@@ -111,7 +109,7 @@ def _groups(raw: DataFrame, xml: str) -> DataFrame:
         ),
     )
     both = concat_lists(current, F.col("g.EdellisetEduskuntaryhmat.Eduskuntaryhma"))
-    return g.select(F.col("personId").cast("int").alias("person_id"), F.explode(both).alias("x")).select(
+    return spread(g, [F.col("personId").cast("int").alias("person_id")], both, "x").select(
         "person_id", blank_to_null("x.Nimi").alias("name"), F.col("x.Jasenyys").alias("periods")
     ).where(F.col("name").isNotNull())
 
@@ -135,8 +133,8 @@ def _committees(raw: DataFrame, xml: str) -> DataFrame:
         _part(xml, "NykyisetToimielinjasenyydet", BODIES)["Toimielin"],
         _part(xml, "AiemmatToimielinjasenyydet", BODIES)["Toimielin"],
     )
-    return raw.select(
-        F.col("personId").cast("int").alias("person_id"), _retired(xml).alias("retired"), F.explode(both).alias("c")
+    return spread(
+        raw, [F.col("personId").cast("int").alias("person_id"), _retired(xml).alias("retired")], both, "c"
     ).where((F.coalesce("c.Nimi", F.lit("")) != "") & (F.col("c._OnkoValiokunta") == "true"))
 
 

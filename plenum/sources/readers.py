@@ -39,6 +39,16 @@ def read_quoted_csv(spark: SparkSession, path: str, columns: Mapping[str, str],
     return df.select(*[F.btrim(F.col(c), F.lit("'")).alias(c) for c in columns.values()])
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores when it has fewer splits than that.
+
+    For costly work per row (parsing, tokenising) on a small or badly split
+    file. A large input has splits enough and is left alone, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_json(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """One array of nested records per file."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
