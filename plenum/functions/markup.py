@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions.xmltext import (
-    PREFIX, child_text, raw_attribute, subtree, subtrees, text_of, unescape, without,
+    PREFIX, child_or_blank, child_text, raw_attribute, subtree, subtrees, text_of, unescape, without,
 )
 
 
@@ -395,21 +395,21 @@ def to_markdown(df: DataFrame, col: str, out: str = "markdown", rules: Rules = X
     return sections_to_markdown(df, {out: F.col(col)}, rules, error)
 
 
+def _spaced(c: Column, *tags: str) -> Column:
+    """Texts of the children that have any, joined by blanks."""
+    return F.array_join(F.filter(F.array(*[child_or_blank(c, t) for t in tags]), lambda x: x != ""), " ")
+
+
 def statute_to_markdown(col: str | Column) -> Column:
     """One statute: header, preamble, then per section a bold head, its moments and its item lists."""
     c = F.col(col) if isinstance(col, str) else col
-    header = F.concat_ws(
-        " ",
-        *[F.nullif(child_text(c, t), F.lit("")) for t in ("LakiehdotusNumeroKooste", "SaadostyyppiKooste", "SaadosNimekeKooste")],
-    )
+    header = _spaced(c, "LakiehdotusNumeroKooste", "SaadostyyppiKooste", "SaadosNimekeKooste")
     preamble = F.transform(
         F.flatten(F.transform(subtrees(c, "Johtolause"), lambda j: subtrees(j, "SaadosKappaleKooste"))), text_of
     )
 
     def section(p: Column) -> Column:
-        head = F.concat_ws(
-            " ", *[F.nullif(child_text(p, t), F.lit("")) for t in ("PykalaTunnusKooste", "SaadosOtsikkoKooste")]
-        )
+        head = _spaced(p, "PykalaTunnusKooste", "SaadosOtsikkoKooste")
         moments = F.transform(subtrees(p, "MomenttiKooste"), text_of)
         lists = F.flatten(
             F.transform(
@@ -422,12 +422,16 @@ def statute_to_markdown(col: str | Column) -> Column:
                 ),
             )
         )
-        bold = F.when(head != "", F.concat(F.lit("**"), head, F.lit("**"))).otherwise(F.lit(""))
-        return F.concat(F.array(bold), moments, lists)
+        bold = F.transform(
+            F.array(head), lambda h: F.when(h != "", F.concat(F.lit("**"), h, F.lit("**"))).otherwise(F.lit(""))
+        )
+        return F.concat(bold, moments, lists)
 
     sections = F.flatten(F.transform(subtrees(c, "Pykala"), section))
-    title = F.when(header != "", F.concat(F.lit("# "), header, F.lit("\n"))).otherwise(F.lit(""))
-    blocks = F.filter(F.concat(F.array(title), preamble, sections), lambda b: ~b.isin("", "- "))
+    title = F.transform(
+        F.array(header), lambda h: F.when(h != "", F.concat(F.lit("# "), h, F.lit("\n"))).otherwise(F.lit(""))
+    )
+    blocks = F.filter(F.concat(title, preamble, sections), lambda b: ~b.isin("", "- "))
     return F.array_join(blocks, "\n\n")
 
 

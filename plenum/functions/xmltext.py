@@ -77,5 +77,10 @@ def strip(col: str | Column) -> Column:
     return F.regexp_replace(_c(col), r"(?U)\A\s+|\s+\z", "")
 
 
+def child_or_blank(col: str | Column, tag: str) -> Column:
+    """Like ``child_text`` but '' without such a child; one cut only, so fit for use inside lambdas."""
+    return text_of(cut(col, tag))
+
+
 def child_text(col: str | Column, tag: str) -> Column:
     return text_of(subtree(col, tag))

@@ -1,7 +1,7 @@
 """The member register (one XML document per person) -> typed tables.
 
 Input: one row per person with person_id, first name, last name and the XML.
-Repeated elements are declared as arrays, so one child or many read the same.
+Repeated elements are cut as arrays, so one child or many read the same.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plenum import schemas
 from plenum.functions.clean import blank_to_null, complete_date, drop_sentinels, harmonize, map_role, parse_dmy
-from plenum.functions.xmltext import subtree
+from plenum.functions.xmltext import child_or_blank, cut, raw_attribute, subtrees
 from plenum.operators.aggregate import union_fill
 from plenum.operators.nested import concat_lists, spread
 from plenum.operators.resolve import assign_key, lookup_values, not_in
@@ -21,15 +21,6 @@ MEMBER_RAW = (
     "personId int, lastname string, firstname string, party string, minister string, phone string, email string, "
     "XmlDataFi string"
 )
-PERIOD = "array<struct<AlkuPvm:string,LoppuPvm:string,Rooli:string>>"
-BODIES = f"Toimielin array<struct<_OnkoValiokunta:string,Nimi:string,Jasenyys:{PERIOD}>>"
-GROUPS = (
-    "NykyinenEduskuntaryhma struct<Nimi:string,AlkuPvm:string>, "
-    f"EdellisetEduskuntaryhmat struct<Eduskuntaryhma:array<struct<Nimi:string,Jasenyys:{PERIOD}>>>"
-)
-INTERESTS = "Sidonnaisuus array<struct<RyhmaOtsikko:string,Sidonta:string>>"
-POSTS = "Jasenyys array<struct<Nimi:string,Ministeriys:string,Hallitus:string,AlkuPvm:string,LoppuPvm:string>>"
-
 # Place of each field among the children of the root (fixed values).
 CHILDREN = {
     "phone_number": 7, "email": 8, "occupation": 10, "year_of_birth": 11, "place_of_birth": 12,
@@ -37,8 +28,14 @@ CHILDREN = {
 }
 
 
-def _part(xml: str, tag: str, schema: str) -> Column:
-    return F.from_xml(subtree(xml, tag), schema)
+def _children(col: str | Column, tag: str, fields: tuple[str, ...]) -> Column:
+    """Repeated elements as array<struct> of their children's texts, '' for a missing one."""
+    return F.transform(
+        subtrees(col, tag), lambda x: F.struct(*[child_or_blank(x, f).alias(f) for f in fields])
+    )
+
+
+PERIOD = ("AlkuPvm", "LoppuPvm", "Rooli")
 
 
 def _retired(xml: str) -> Column:
@@ -70,11 +67,17 @@ def build_persons(raw: DataFrame, photos: DataFrame | None = None, xml: str = "X
 
 def build_ministers(raw: DataFrame, xml: str = "XmlDataFi") -> tuple[DataFrame, DataFrame]:
     """(ministers, minister_positions); only posts with a ministry."""
-    posts = spread(raw, ["personId"], _part(xml, "ValtioneuvostonJasenyydet", POSTS)["Jasenyys"], "p")
-    ministers = posts.where(F.coalesce("p.Ministeriys", F.lit("")) != "").select(
+    posts = spread(
+        raw, ["personId"],
+        _children(
+            cut(xml, "ValtioneuvostonJasenyydet"), "Jasenyys", ("Ministeriys", "Nimi", "Hallitus", "AlkuPvm", "LoppuPvm")
+        ),
+        "p",
+    )
+    ministers = posts.where(F.col("p.Ministeriys") != "").select(
         F.col("personId").cast("int").alias("person_id"),
-        F.col("p.Nimi").alias("minister_position"),
-        F.col("p.Hallitus").alias("cabinet_id"),
+        blank_to_null("p.Nimi").alias("minister_position"),
+        blank_to_null("p.Hallitus").alias("cabinet_id"),
         complete_date("p.AlkuPvm", "start").alias("start_date"),
         complete_date("p.LoppuPvm", "end").alias("end_date"),
     )
@@ -82,9 +85,11 @@ def build_ministers(raw: DataFrame, xml: str = "XmlDataFi") -> tuple[DataFrame,
 
 
 def build_interests(raw: DataFrame, xml: str = "XmlDataFi") -> DataFrame:
-    rows = spread(raw, ["personId"], _part(xml, "Sidonnaisuudet", INTERESTS)["Sidonnaisuus"], "s", "pos").select(
+    rows = spread(
+        raw, ["personId"], _children(cut(xml, "Sidonnaisuudet"), "Sidonnaisuus", ("RyhmaOtsikko", "Sidonta")), "s", "pos"
+    ).select(
         F.col("personId").cast("int").alias("person_id"), "pos",
-        F.col("s.RyhmaOtsikko").alias("category"), blank_to_null("s.Sidonta").alias("interest"),
+        blank_to_null("s.RyhmaOtsikko").alias("category"), blank_to_null("s.Sidonta").alias("interest"),
     )
     kept = drop_sentinels(rows, "interest", schemas.NOTHING_TO_DECLARE)
     return assign_key(kept, ["person_id", "pos"]).select("id", "person_id", "category", "interest")
@@ -92,26 +97,29 @@ def build_interests(raw: DataFrame, xml: str = "XmlDataFi") -> DataFrame:
 
 def _groups(raw: DataFrame, xml: str) -> DataFrame:
     """(person_id, name, periods): the current group and the former ones."""
-    g = raw.select("personId", _part(xml, "Eduskuntaryhmat", GROUPS).alias("g"))
-    now = F.col("g.NykyinenEduskuntaryhma")
-    current = F.when(
-        now["Nimi"].isNotNull(),
-        F.array(
+    groups = cut(xml, "Eduskuntaryhmat")
+
+    def named(tag: str, periods) -> Column:
+        return F.transform(
+            subtrees(groups, tag),
+            lambda g: F.struct(child_or_blank(g, "Nimi").alias("name"), periods(g).alias("periods")),
+        )
+
+    # The current group has its start next to the name, a former one has periods.
+    current = named(
+        "NykyinenEduskuntaryhma",
+        lambda g: F.array(
             F.struct(
-                now["Nimi"].alias("Nimi"),
-                F.array(
-                    F.struct(
-                        now["AlkuPvm"].alias("AlkuPvm"), F.lit(None).cast("string").alias("LoppuPvm"),
-                        F.lit(None).cast("string").alias("Rooli"),
-                    )
-                ).alias("Jasenyys"),
+                child_or_blank(g, "AlkuPvm").alias("AlkuPvm"), F.lit("").alias("LoppuPvm"), F.lit("").alias("Rooli")
             )
         ),
     )
-    both = concat_lists(current, F.col("g.EdellisetEduskuntaryhmat.Eduskuntaryhma"))
-    return spread(g, [F.col("personId").cast("int").alias("person_id")], both, "x").select(
-        "person_id", blank_to_null("x.Nimi").alias("name"), F.col("x.Jasenyys").alias("periods")
-    ).where(F.col("name").isNotNull())
+    former = named("Eduskuntaryhma", lambda g: _children(g, "Jasenyys", PERIOD))
+    return (
+        spread(raw, [F.col("personId").cast("int").alias("person_id")], concat_lists(current, former), "x")
+        .select("person_id", "x.name", "x.periods")
+        .where("name <> ''")
+    )
 
 
 def build_parliamentary_groups(raw: DataFrame, xml: str = "XmlDataFi", parity: bool = False) -> DataFrame:
@@ -129,20 +137,28 @@ def build_group_memberships(raw: DataFrame, xml: str = "XmlDataFi") -> DataFrame
 
 def _committees(raw: DataFrame, xml: str) -> DataFrame:
     """(person_id, retired, committee): current and former seats in real committees."""
-    both = concat_lists(
-        _part(xml, "NykyisetToimielinjasenyydet", BODIES)["Toimielin"],
-        _part(xml, "AiemmatToimielinjasenyydet", BODIES)["Toimielin"],
+
+    def seats(tag: str) -> Column:
+        return F.transform(
+            subtrees(cut(xml, tag), "Toimielin"),
+            lambda c: F.struct(
+                raw_attribute(c, "OnkoValiokunta").alias("real"), child_or_blank(c, "Nimi").alias("name"),
+                _children(c, "Jasenyys", PERIOD).alias("periods"),
+            ),
+        )
+
+    both = F.concat(seats("NykyisetToimielinjasenyydet"), seats("AiemmatToimielinjasenyydet"))
+    keep = [F.col("personId").cast("int").alias("person_id"), _retired(xml).alias("retired")]
+    return spread(raw, keep, both, "c").where("c.name <> '' AND c.real = 'true'").select(
+        "person_id", "retired", "c.name", "c.periods"
     )
-    return spread(
-        raw, [F.col("personId").cast("int").alias("person_id"), _retired(xml).alias("retired")], both, "c"
-    ).where((F.coalesce("c.Nimi", F.lit("")) != "") & (F.col("c._OnkoValiokunta") == "true"))
 
 
 def build_assemblies(spark: SparkSession, raw: DataFrame, xml: str = "XmlDataFi") -> DataFrame:
     """The assemblies that keep records, and the committees of members who retired since the cut-off."""
     fixed = spark.createDataFrame(schemas.ASSEMBLIES, "code string, name string")
     seen = _committees(raw, xml).where(F.col("retired") >= F.lit(schemas.ASSEMBLY_RETIREMENT_CUTOFF).cast("date"))
-    found = distinct_values(seen.select(F.col("c.Nimi").alias("name")), "name")
+    found = distinct_values(seen, "name")
     return union_fill(fixed, not_in(found, fixed, ["name"]))
 
 
@@ -150,8 +166,8 @@ def build_committee_memberships(raw: DataFrame, xml: str = "XmlDataFi") -> DataF
     cutoff = F.lit(schemas.COMMITTEE_RETIREMENT_CUTOFF).cast("date")
     seats = _committees(raw, xml).where(F.col("retired").isNull() | (F.col("retired") >= cutoff))
     return (
-        seats.select("person_id", F.col("c.Nimi").alias("committee_name"), F.explode("c.Jasenyys").alias("m"))
-        .where(F.coalesce("m.AlkuPvm", F.lit("")) != "")
+        seats.select("person_id", F.col("name").alias("committee_name"), F.explode("periods").alias("m"))
+        .where(F.col("m.AlkuPvm") != "")
         .select(
             "person_id", "committee_name", complete_date("m.AlkuPvm", "start").alias("start_date"),
             complete_date("m.LoppuPvm", "end").alias("end_date"), map_role("m.Rooli").alias("role"),
