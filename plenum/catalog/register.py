@@ -399,6 +399,10 @@ QUERIES = {
         .withColumn("first", F.col("first").cast("int")),
         SIGNED.format(key="interpellation_id"),
     ),
+    "xml_without_twin": (
+        lambda s, d: doc.without_twin(proposal_xml(s, d), "mp_law"),
+        "SELECT 'la ' || o_orderkey || '/2024 vp' AS id FROM orders WHERE o_orderkey % 9 = 0",
+    ),
     "xml_unresolved_signers": (
         lambda s, d: resolve_signers(
             doc.extract_signers(doc.with_body(proposal_xml(s, d), "mp_law")), b.supplier_persons(s, d)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plenum import schemas
 from plenum.functions.clean import (
-    blank_to_null, date_prefix, drop_empty_twins, lower_id, map_status, numeric_id,
+    blank_to_null, date_prefix, lonely_empties, lower_id, map_status, numeric_id,
 )
 from plenum.functions.markup import law_changes, sections_to_markdown
 from plenum.functions.xmltext import attribute, child_text, subtree, subtrees, text_of
@@ -23,14 +23,33 @@ BODIES = {
 }
 
 
-def with_body(raw: DataFrame, kind: str, xml: str = "XmlData") -> DataFrame:
-    """(doc_id, id, date, body): id as printed and in lower case, drafting date, body element or NULL."""
-    tag = BODIES[kind]
-    body = F.nullif(F.regexp_extract(xml, rf"(?s)<(?:[\w.-]+:)?{tag}(?=[\s>]).*</(?:[\w.-]+:)?{tag}\s*>", 0), F.lit(""))
-    return raw.select(
+def _identified(raw: DataFrame, xml: str) -> list[Column]:
+    return [
         metadata(xml, "eduskuntaTunnus").alias("doc_id"), date_prefix(metadata(xml, "laadintaPvm")).alias("date"),
-        body.alias("body"), F.col(xml).alias("xml"),
-    ).withColumn("id", lower_id("doc_id"))
+        F.col(xml).alias("xml"),
+    ]
+
+
+def _bodies(kind: str, xml: str) -> Column:
+    tag = BODIES[kind]
+    return F.regexp_extract_all(
+        F.col(xml), F.lit(rf"(?s)<(?:[\w.-]+:)?{tag}(?=[\s>]).*</(?:[\w.-]+:)?{tag}\s*>"), 0
+    )
+
+
+def with_body(raw: DataFrame, kind: str, xml: str = "XmlData") -> DataFrame:
+    """(doc_id, id, date, xml, body) of the documents that have a body; empty twins are left out.
+
+    ``id`` is the printed ``doc_id`` in lower case. The body is cut once, with
+    no filter that the optimizer could push below it and compute again.
+    """
+    return spread(raw, _identified(raw, xml), _bodies(kind, xml), "body").withColumn("id", lower_id("doc_id"))
+
+
+def without_twin(raw: DataFrame, kind: str, xml: str = "XmlData") -> DataFrame:
+    """Ids of documents that exist only without a body: faults of the source."""
+    rows = raw.select(*_identified(raw, xml), F.get(_bodies(kind, xml), 0).alias("body"))
+    return lonely_empties(rows.withColumn("id", lower_id("doc_id")), "id", "body")
 
 
 def extract_sections(
@@ -112,14 +131,14 @@ def _proposal_columns(df: DataFrame, kind: str) -> DataFrame:
 
 def build_government_proposals(raw: DataFrame, handling: DataFrame, persons: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(proposals, signatures); Swedish twins and documents without a body are left out."""
-    docs = with_body(raw, "government").where(~F.startswith("doc_id", F.lit("RP")) & F.col("body").isNotNull())
+    docs = with_body(raw, "government").where(~F.startswith("doc_id", F.lit("RP")))
     coded = lookup_first(extract_sections(docs), status_of(handling), "doc_id", "code", [F.col("seq")])
     out = coded.withColumn("status", map_status("code"))
     return _proposal_columns(out, "government"), signatures(docs, persons, "proposal_id")[0]
 
 
 def build_law_proposals(raw: DataFrame, handling: DataFrame, persons: DataFrame) -> tuple[DataFrame, DataFrame]:
-    docs = drop_empty_twins(with_body(raw, "mp_law"), "id", "body")
+    docs = with_body(raw, "mp_law")
     coded = lookup_first(extract_sections(docs), status_of(handling), "doc_id", "code", [F.col("seq")])
     out = coded.withColumn("status", map_status("code"))
     return _proposal_columns(out, "mp_law"), signatures(docs, persons, "proposal_id")[0]
@@ -127,14 +146,14 @@ def build_law_proposals(raw: DataFrame, handling: DataFrame, persons: DataFrame)
 
 def build_petitions(raw: DataFrame, agenda_items: DataFrame, persons: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A petition counts as handled once it has been on an agenda."""
-    docs = drop_empty_twins(with_body(raw, "mp_petition"), "id", "body")
+    docs = with_body(raw, "mp_petition")
     seen = agenda_items.select(F.col("parliament_id").alias("id")).where(F.startswith("id", F.lit("tpa")))
     out = exists_flag(extract_sections(docs), seen, "id", "handled", "open", "status")
     return _proposal_columns(out, "mp_petition"), signatures(docs, persons, "proposal_id")[0]
 
 
 def build_interpellations(raw: DataFrame, handling: DataFrame, persons: DataFrame) -> tuple[DataFrame, DataFrame]:
-    docs = drop_empty_twins(with_body(raw, "interpellation"), "id", "body")
+    docs = with_body(raw, "interpellation")
     coded = lookup_first(extract_sections(docs, ("reasoning", "motion")), status_of(handling), "doc_id", "code", [F.col("seq")])
     out = coded.withColumn("status", map_status("code"))
     return (
@@ -148,7 +167,7 @@ def build_committee_reports(raw: DataFrame, persons: DataFrame) -> dict[str, Dat
 
     Reports on the budget have another body and are left out.
     """
-    docs = with_body(raw, "committee_report").where(F.col("body").isNotNull())
+    docs = with_body(raw, "committee_report")
     ident = subtree("body", "IdentifiointiOsa")
     actors = subtrees(ident, "Toimija")
     author = F.get(F.filter(actors, lambda a: attribute(a, "rooliKoodi") == "Laatija"), 0)

@@ -135,8 +135,11 @@ def build_group_memberships(raw: DataFrame, xml: str = "XmlDataFi") -> DataFrame
     )
 
 
-def _committees(raw: DataFrame, xml: str) -> DataFrame:
-    """(person_id, retired, committee): current and former seats in real committees."""
+def _committees(raw: DataFrame, xml: str, members: Column) -> DataFrame:
+    """(person_id, name, periods): current and former seats in real committees.
+
+    The documents of other persons than ``members`` are not looked into.
+    """
 
     def seats(tag: str) -> Column:
         return F.transform(
@@ -148,23 +151,24 @@ def _committees(raw: DataFrame, xml: str) -> DataFrame:
         )
 
     both = F.concat(seats("NykyisetToimielinjasenyydet"), seats("AiemmatToimielinjasenyydet"))
-    keep = [F.col("personId").cast("int").alias("person_id"), _retired(xml).alias("retired")]
-    return spread(raw, keep, both, "c").where("c.name <> '' AND c.real = 'true'").select(
-        "person_id", "retired", "c.name", "c.periods"
+    keep = [F.col("personId").cast("int").alias("person_id")]
+    return spread(raw, keep, F.when(members, both), "c").where("c.name <> '' AND c.real = 'true'").select(
+        "person_id", "c.name", "c.periods"
     )
 
 
 def build_assemblies(spark: SparkSession, raw: DataFrame, xml: str = "XmlDataFi") -> DataFrame:
     """The assemblies that keep records, and the committees of members who retired since the cut-off."""
     fixed = spark.createDataFrame(schemas.ASSEMBLIES, "code string, name string")
-    seen = _committees(raw, xml).where(F.col("retired") >= F.lit(schemas.ASSEMBLY_RETIREMENT_CUTOFF).cast("date"))
+    cutoff = F.lit(schemas.ASSEMBLY_RETIREMENT_CUTOFF).cast("date")
+    seen = _committees(raw, xml, _retired(xml) >= cutoff)
     found = distinct_values(seen, "name")
     return union_fill(fixed, not_in(found, fixed, ["name"]))
 
 
 def build_committee_memberships(raw: DataFrame, xml: str = "XmlDataFi") -> DataFrame:
     cutoff = F.lit(schemas.COMMITTEE_RETIREMENT_CUTOFF).cast("date")
-    seats = _committees(raw, xml).where(F.col("retired").isNull() | (F.col("retired") >= cutoff))
+    seats = _committees(raw, xml, F.coalesce(_retired(xml) >= cutoff, F.lit(True)))
     return (
         seats.select("person_id", F.col("name").alias("committee_name"), F.explode("periods").alias("m"))
         .where(F.col("m.AlkuPvm") != "")
