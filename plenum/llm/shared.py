@@ -4,11 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """`df.mapInArrow(run, schema)`; the first time in an application, this package is sent to the executors."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="plenum-package-")) / "plenum.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(path))
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(run, schema)
 
 
 def shared_root(spark: SparkSession) -> str:

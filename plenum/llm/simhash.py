@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.llm.components import components
-from plenum.llm.shared import written
+from plenum.llm.shared import mapped, written
 
 SEED = 42
 RADIUS = 4
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=["id", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, bits long")
+    found = mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {kind}, bits long")
     return found.select(F.col("id").alias(id_col), "bits")
 
 
@@ -130,7 +130,7 @@ def _bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
             a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return keyed.repartition("key").sortWithinPartitions("key", "bits").mapInArrow(run, "a long, b long")
+    return mapped(keyed.repartition("key").sortWithinPartitions("key", "bits"), run, "a long, b long")
 
 
 def _dense_links(bits: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def _dense_links(bits: DataFrame) -> DataFrame:
                 )
 
     before = F.lag("bits").over(Window.partitionBy("key").orderBy("bits"))
-    near = bits.mapInArrow(ball, "key long, bits long").select(F.col("bits").alias("b"), before.alias("a"))
+    near = mapped(bits, ball, "key long, bits long").select(F.col("bits").alias("b"), before.alias("a"))
     return near.where("a is not null").select("a", "b").distinct()
 
 
