@@ -5,8 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontaminate, simhash
-from plenum.llm.shared import table
+from plenum.llm import decontaminate, packing, simhash, tokenfiles
+from plenum.llm.shared import new_folder, table
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = tokenfiles.write_tokens(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), vocabulary("word_bpe_49k.json"))
+    back = tokenfiles.read_tokens(index)
+    return back.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +39,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": (op1_packing, None),
+    "op3_token_files": (op3_token_files, None),
     "op4_decontaminate": (op4_decontaminate, None),
     "op9_simhash": (op9_simhash, None),
 }
