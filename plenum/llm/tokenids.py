@@ -45,7 +45,8 @@ class Encoder:
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer"):
             return _SPACED.findall
         steps = pre.get("pretokenizers") or []
-        if steps and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and r"[^\s" in str(steps[0].get("pattern")):
+        pattern = steps[0].get("pattern", {}).get("Regex", "") if steps else ""
+        if steps and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and pattern.endswith(r"[^\s\p{L}\p{N}]+"):
             return _WORDS.findall
         return lambda text: [text]
 
