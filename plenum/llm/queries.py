@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontaminate, packing, simhash, tokenfiles
+from plenum.llm import decontaminate, packing, simhash, tokenfiles, toxicity
 from plenum.llm.shared import new_folder, table
 
 
@@ -38,9 +38,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op3_token_files": (op3_token_files, None),
     "op4_decontaminate": (op4_decontaminate, None),
     "op9_simhash": (op9_simhash, None),
+    "op10_toxicity": (op10_toxicity, None),
 }
