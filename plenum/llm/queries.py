@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontaminate, packing, simhash, tokenfiles, toxicity
+from plenum.llm import decontaminate, linededup, packing, simhash, tokenfiles, toxicity
 from plenum.llm.shared import new_folder, table
 
 
@@ -20,6 +20,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = tokenfiles.write_tokens(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), vocabulary("word_bpe_49k.json"))
     back = tokenfiles.read_tokens(index)
@@ -44,6 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": (op1_packing, None),
+    "op2_line_dedup": (op2_line_dedup, linededup.ORACLE),
     "op3_token_files": (op3_token_files, None),
     "op4_decontaminate": (op4_decontaminate, None),
     "op9_simhash": (op9_simhash, None),
