@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontaminate, linededup, packing, simhash, tokenfiles, toxicity
+from plenum.llm import decontaminate, licenses, linededup, packing, quality, simhash, tokenfiles, toxicity
 from plenum.llm.shared import new_folder, table
 
 
@@ -39,6 +39,15 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +61,8 @@ QUERIES = {
     "op2_line_dedup": (op2_line_dedup, linededup.ORACLE),
     "op3_token_files": (op3_token_files, None),
     "op4_decontaminate": (op4_decontaminate, None),
+    "op7_quality": (op7_quality, None),
+    "op8_licenses": (op8_licenses, licenses.ORACLE),
     "op9_simhash": (op9_simhash, None),
     "op10_toxicity": (op10_toxicity, None),
 }
