@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontaminate, licenses, linededup, packing, quality, simhash, tokenfiles, toxicity
+from plenum.llm import decontaminate, licenses, linededup, packing, pagetext, quality, simhash, tokenfiles, toxicity, warc
 from plenum.llm.shared import new_folder, table
 
 
@@ -39,6 +39,15 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -61,6 +70,8 @@ QUERIES = {
     "op2_line_dedup": (op2_line_dedup, linededup.ORACLE),
     "op3_token_files": (op3_token_files, None),
     "op4_decontaminate": (op4_decontaminate, None),
+    "op5_page_text": (op5_page_text, None),
+    "op6_warc": (op6_warc, None),
     "op7_quality": (op7_quality, None),
     "op8_licenses": (op8_licenses, licenses.ORACLE),
     "op9_simhash": (op9_simhash, None),
