@@ -26,6 +26,9 @@ CUTOFF = 33.4
 #: Least standard deviation of each transformed statistic, so that a group that is all alike does not reject the slightest difference.
 FLOORS = (0.1, 0.3, 0.05, 0.05)
 P = len(FLOORS)
+#: Parts of each group in joins, so that a language and source with a third of all texts is not one task.
+SALTS = 16
+KEYS = ("_lang", "_source")
 _PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
@@ -91,15 +94,20 @@ def _distance() -> Column:
     return sum((r * r for r in rows), F.lit(0.0))
 
 
+def _salted(groups: DataFrame) -> DataFrame:
+    """Each row of a table by group once for each part; texts have the number of their part in `_salt`."""
+    return groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _measured(points: DataFrame, groups: DataFrame) -> DataFrame:
-    return points.join(groups, ["_lang", "_source"]).select(*points.columns, _distance().alias("distance"))
+    return points.join(_salted(groups), [*KEYS, "_salt"]).select(*points.columns, _distance().alias("distance"))
 
 
 def estimates(points: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(_lang, _source, m0.., w00..) of `points` (_lang, _source, x0..): the robust mean and whitening of each group."""
-    keys = ["_lang", "_source"]
+    """(_lang, _source, m0.., w00..) of `points` (_lang, _source, _salt, x0..): the robust mean and whitening of each group."""
+    keys = list(KEYS)
     middle = written(points.groupBy(*keys).agg(*(F.percentile_approx(f"x{i}", 0.5).alias(f"m{i}") for i in range(P))), "medians")
-    spread = points.join(middle, keys).groupBy(*keys).agg(
+    spread = points.join(_salted(middle), [*keys, "_salt"]).groupBy(*keys).agg(
         *(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i in range(P))
     )
     start = spread.select(*keys, *(f"m{i}" for i in range(P)), *((F.pow(1.4826 * F.col(f"d{i}"), 2) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in _PAIRS))
@@ -107,7 +115,7 @@ def estimates(points: DataFrame, steps: int = STEPS) -> DataFrame:
     for _ in range(steps):
         measured = _measured(points, groups)
         cuts = written(measured.groupBy(*keys).agg(F.percentile_approx("distance", SUPPORT, 10_000).alias("cut")), "cuts")
-        moments = written(measured.join(cuts, keys).where("distance <= cut").groupBy(*keys).agg(*_moments()), "moments")
+        moments = written(measured.join(_salted(cuts), [*keys, "_salt"]).where("distance <= cut").groupBy(*keys).agg(*_moments()), "moments")
         n = F.col("n")
         total = moments.agg(
             *(F.coalesce(F.sum(n * F.col(f"m{i}")) / F.sum(n), F.lit(0.0)).alias(f"m{i}") for i in range(P)),
@@ -137,9 +145,10 @@ def quality(
     )
     stats = base_statistics(source, "_text").drop("_text")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    ready = written(stats.select("*", failed.alias("base_failed"), *(x.alias(f"x{i}") for i, x in enumerate(vector()))), "statistics")
-    groups = estimates(ready.where("n_words > 0").select("_lang", "_source", *(f"x{i}" for i in range(P))))
-    found = ready.join(groups, ["_lang", "_source"], "left").withColumn("distance", F.coalesce(_distance(), F.lit(0.0)))
+    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int").alias("_salt")
+    ready = written(stats.select("*", salt, failed.alias("base_failed"), *(x.alias(f"x{i}") for i, x in enumerate(vector()))), "statistics")
+    groups = estimates(ready.where("n_words > 0").select(*KEYS, "_salt", *(f"x{i}" for i in range(P))))
+    found = ready.join(_salted(groups), [*KEYS, "_salt"], "left").withColumn("distance", F.coalesce(_distance(), F.lit(0.0)))
     return found.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & (F.col("distance") <= cutoff)).alias("kept"),
