@@ -5,7 +5,8 @@ Whole documents where they fit, else pieces. What goes where depends only on how
 pieces of its length. No piece goes through the driver.
 
 The plan looks for exact complements: for the gap that a piece leaves, a single length, then a pair, then a triple that fills it to
-the last token, as often as the available counts allow. What is left is packed best-fit, longest first.
+the last token, as often as the available counts allow. What is left is packed best-fit, longest first. Few pieces may be worth
+more in the best-fit part than in triples or pairs, so plans with up to three, two and one lengths are made, and the shortest counts.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ PARTS = 256
 Pattern = tuple[dict[int, int], int]
 
 
-def _fill(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
-    """One, two or three available lengths that add up to `gap`, the longest first."""
+def _fill(gap: int, free: np.ndarray, most: int) -> tuple[int, ...] | None:
+    """One, two or three available lengths, `most` at most, that add up to `gap`, the longest first."""
     if free[gap] > 0:
         return (gap,)
+    if most == 1:
+        return None
     there = free[: gap + 1] > 0
     twice = free[: gap + 1] > 1
 
@@ -49,6 +52,8 @@ def _fill(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
 
     if (two := pair(gap)) is not None:
         return two
+    if most == 2:
+        return None
     for a in np.flatnonzero(there)[::-1].tolist():
         if 1 <= a <= gap - 2 and 3 * a >= gap and (two := pair(gap - a, a)) is not None:
             return (a, *two)
@@ -56,10 +61,15 @@ def _fill(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Patterns ({length: copies}, sequences filled so) that use up `counts` ({length: pieces}).
+    """Patterns ({length: copies}, sequences filled so) that use up `counts` ({length: pieces}): the best of three plans.
 
-    Every step uses up a length or all but two of it, so there are at most a few times `capacity` patterns.
+    Every step of a plan uses up a length or all but two of it, so there are at most a few times `capacity` patterns.
     """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda found: sum(times for _, times in found))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[Pattern]:
+    """Gaps filled by up to `most` lengths, and the rest best-fit."""
     free = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         free[length] = n
@@ -69,7 +79,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     for length in range(capacity - 1, 0, -1):
         while free[length] > 0:
             free[length] -= 1
-            found = _fill(capacity - length, free)
+            found = _fill(capacity - length, free, most)
             free[length] += 1
             if found is None:
                 break
