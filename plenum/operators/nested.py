@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A nested list never grows past this many items; longer groups become several parts.
+# Items of a nested list; a key with more has several rows.
 NEST_LIMIT = 100_000
-# How many ranges a group above the limit is spread over.
-HOT_RANGES = 256
-# Part number = range * RANGE_STRIDE + chunk inside the range.
-RANGE_STRIDE = 1 << 24
+# One sort key in so many, chosen by hash, may become a bound between ranges.
+SAMPLE = 4096
+# Ranges that a key's rows are sorted in, at most.
+RANGES = 256
+# Parts in which a key's rows meet its bounds.
+SALTS = 16
 
 
 def explode_drop(df: DataFrame, col: str) -> DataFrame:
@@ -57,10 +60,23 @@ def concat_lists(*cols: str | Column) -> Column:
     return F.concat(*[F.coalesce(F.col(c) if isinstance(c, str) else c, F.array()) for c in cols])
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group: one combinable count, one number to the driver."""
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return row[0] or 0
+def _same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
+    """Equality of all columns, NULL being equal to NULL; the right ones have a leading ``r_``."""
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[f"r_{c}"]) for c in cols])
+
+
+def _bounds(rows: DataFrame, keys: Sequence[str], sample: int) -> DataFrame:
+    """Per key the sort keys that bound its ranges, repeated for each salt; keys without a sampled row have none."""
+    found = rows.where(F.pmod(F.xxhash64("_item._k"), F.lit(sample)) == 0).select(*keys, F.col("_item._k").alias("_k")).distinct()
+    whole = Window.partitionBy(*keys)
+    every = F.ceil(F.count(F.lit(1)).over(whole) / F.lit(RANGES))
+    picked = found.select(*keys, "_k", F.row_number().over(whole.orderBy("_k")).alias("_nth"), every.alias("_every"))
+    return (
+        picked.where(F.col("_nth") % F.col("_every") == 0)
+        .groupBy(*[F.col(k).alias(f"r_{k}") for k in keys])
+        .agg(F.array_sort(F.collect_list("_k")).alias("_bounds"))
+        .withColumn("r__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
 
 
 def nest_sorted(
@@ -71,49 +87,40 @@ def nest_sorted(
     into: str = "items",
     part: str = "part",
     limit: int = NEST_LIMIT,
+    sample: int = SAMPLE,
 ) -> DataFrame:
-    """Ordered list of structs per key, in parts of at most ``limit`` items.
+    """Ordered list of structs per key, in parts of ``limit`` items, the last one taking what is left.
 
     ``order`` is a total order given as ascending sort keys (negate to turn one
-    around). Groups are measured first. When all of them fit, this is a single
-    grouping and every key has the one part 0. Otherwise each group above the
-    limit is cut into ranges of its order by a hash sample of its own rows, the
-    ranges are numbered and chunked separately, and the key gets several rows
-    whose part numbers ascend with the order (they need not be consecutive).
+    around). An item at place ``n`` of its key, from 0, is in part ``n div limit``,
+    so parts are consecutive from 0 and the same at every size. The place is the
+    count of the ranges before plus the row number inside a range; ranges are cut
+    at sampled sort keys, so that no key is sorted by one task.
     """
     sort_key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     item = F.struct(
         sort_key.alias("_k"),
         F.struct(*[F.col(f) if isinstance(f, str) else f for f in fields]).alias("_v"),
     )
-    collected = F.transform(F.array_sort(F.collect_list("_item")), lambda x: x["_v"]).alias(into)
-    rows = df.select(*keys, item.alias("_item"))
-
-    if largest_group(df, keys) <= limit:
-        return rows.groupBy(*keys).agg(F.lit(0).cast("long").alias(part), collected)
-
-    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    step = F.greatest(F.ceil(F.col("_n") / F.lit(HOT_RANGES)), F.lit(1))
-    bounds = (
-        rows.join(hot, list(keys))
-        .where(F.pmod(F.xxhash64("_item._k"), step) == 0)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set("_item._k")).alias("_bounds"))
-    )
-    ranged = rows.join(bounds, list(keys), "left").withColumn(
-        "_range",
-        F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("_item._k"))), F.lit(0)),
+    rows = df.select(*keys, item.alias("_item")).withColumn("_salt", F.pmod(F.xxhash64("_item._k"), F.lit(SALTS)).cast("int"))
+    bounds = _bounds(rows, keys, sample)
+    number = F.size(F.filter("_bounds", lambda b: b < F.col("_item._k")))
+    joined = rows.join(bounds, _same(rows, bounds, [*keys, "_salt"]), "left")
+    ranged = joined.select(*keys, "_item", F.when(F.col("_bounds").isNull(), 0).otherwise(number).alias("_range"))
+
+    # Only keys with bounds have rows in more than one range.
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        joined.where(F.col("_bounds").isNotNull()).select(*keys, number.alias("_range"))
+        .groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        .select(*[F.col(c).alias(f"r_{c}") for c in [*keys, "_range"]], F.sum("_n").over(earlier).alias("_before"))
     )
-    w = Window.partitionBy(*keys, "_range").orderBy("_item._k")
+    numbered = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_item._k")) - 1)
+    place = F.coalesce(F.col("_before"), F.lit(0)) + F.col("_nth")
     return (
-        ranged.withColumn("_chunk", F.floor((F.row_number().over(w) - 1) / F.lit(limit)))
-        .groupBy(*keys, "_range", "_chunk")
-        .agg(collected)
-        .select(
-            *keys,
-            (F.col("_range").cast("long") * F.lit(RANGE_STRIDE) + F.col("_chunk")).alias(part),
-            into,
-        )
+        numbered.join(before, _same(numbered, before, [*keys, "_range"]), "left")
+        .groupBy(*keys, F.floor(place / F.lit(limit)).alias(part))
+        .agg(F.transform(F.array_sort(F.collect_list("_item")), lambda x: x["_v"]).alias(into))
     )
 
 

@@ -74,8 +74,8 @@ def skewed(spark):
     )
 
 
-def nested_rows(df, limit):
-    out = n.nest_sorted(df, ["k"], [F.col("o"), F.col("id")], ["id"], limit=limit)
+def nested_rows(df, limit, **kw):
+    out = n.nest_sorted(df, ["k"], [F.col("o"), F.col("id")], ["id"], limit=limit, **kw)
     return [(r.k, r.part, [x.id for x in r["items"]]) for r in out.collect()]
 
 
@@ -108,6 +108,17 @@ def test_explodes(spark):
         (1, "1"), (1, "None"), (2, "None"), (3, "None")]
 
 
+@pytest.mark.parametrize("sample", [1, 5, n.SAMPLE])
+@pytest.mark.parametrize("limit", [1, 3, 250])
+def test_parts_follow_from_the_place_alone(skewed, limit, sample):
+    df = skewed.withColumn("k", F.when(F.col("k") > 2, F.col("k")))  # many rows of the null key
+    want = {}
+    for r in df.orderBy("o", "id").collect():
+        want.setdefault(r.k, []).append(r.id)
+    cut = {(k, p): ids[p * limit : (p + 1) * limit] for k, ids in want.items() for p in range(-(-len(ids) // limit))}
+    assert {(k, p): ids for k, p, ids in nested_rows(df, limit, sample=sample)} == cut
+
+
 def test_unnest_and_children(spark):
     df = spark.sql("SELECT 7 AS key, named_struct('a', 1, 'b', 2) AS s, array(named_struct('x', 1, 'y', 2)) AS kids")
     assert n.unnest(df, "s", drop=["b"]).columns == ["key", "kids", "a"]
