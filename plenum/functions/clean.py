@@ -88,13 +88,8 @@ def drop_empty_twins(df: DataFrame, id_col: str, body: str) -> DataFrame:
 
 
 def lonely_empties(df: DataFrame, id_col: str, body: str) -> DataFrame:
-    """Ids whose only row has no body: a fault in the source, not a twin."""
-    return (
-        df.groupBy(id_col)
-        .agg(F.count(F.lit(1)).alias("n"), F.count(body).alias("bodies"))
-        .where("n = 1 AND bodies = 0")
-        .select(id_col)
-    )
+    """Ids none of whose rows has a body: a fault in the source, not a twin."""
+    return df.groupBy(id_col).agg(F.count(body).alias("bodies")).where("bodies = 0").select(id_col)
 
 
 # --- dates and times ---------------------------------------------------------------
