@@ -7,14 +7,19 @@ its number of words, as a few words can make a long text toxic. A logistic funct
 not seen, turns these into a score.
 
 A letter is a byte of a word's UTF-8; a gram is `ORDER` = 8 letters within a word, its beginning and end marked, as a 64-bit number.
+
+All gram scores are a Spark table. Distinct words are scored once by joining their grams to it. Documents are dealt into chunks of about
+`CHUNK` bytes; each chunk gets the scores of its own different words, so a common word is one row a chunk and no task holds more.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -26,8 +31,10 @@ from plenum.llm.shared import mapped, written
 ORDER, DISCOUNT = 8, 0.75
 #: Labelled rows that classes are learnt from, at most; the rows of the smallest hashes of their ids. Shared counts use all documents.
 LABELLED = 200_000
-#: Places of the table of gram scores that each task holds (one byte each), whatever the corpus, and the score that one step stands for.
-SLOTS, STEP = 1 << 24, 0.1
+#: Bytes of text of a chunk, about.
+CHUNK = 1 << 21
+#: A gram in more than one of HOT of all (word, gram) rows has its score joined in SALTS parts.
+HOT, SALTS = 2000, 32
 THRESHOLD = 0.3
 #: What a text is judged by, and the weights and the constant where no labels are there to fit them.
 FEATURES = ("normalised", "strongest", "second", "three", "size")
@@ -59,25 +66,66 @@ def _summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     return unique, *(np.bincount(at, weights=w, minlength=len(unique)).astype(np.int64) for w in weights)
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, toxic, ordinary, toxic_kept, ordinary_kept, total) over all of `docs` (text string, label int: 1, 0 or null, kept
-    boolean: the label is kept for fitting and not in the first two counts)."""
+def chunked(docs: DataFrame) -> DataFrame:
+    """`docs` (id, text string, label int: 1, 0 or null, held_out and kept boolean) and the number of each row's chunk, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, done = int.from_bytes(os.urandom(8)) >> 2, 0
+        for batch in batches:
+            upto = done + np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            done = int(upto[-1]) if len(upto) else done
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + upto // CHUNK, pa.int64())], names=[*batch.schema.names, "chunk"])
+
+    own = docs.select("id", "text", "label", "held_out", "kept")
+    kind = own.schema["id"].dataType.simpleString()
+    return written(mapped(own, run, f"id {kind}, text string, label int, held_out boolean, kept boolean, chunk long"), "chunks")
+
+
+def chunk_words(docs: DataFrame) -> DataFrame:
+    """(chunk, word, letters, *COUNTS) of the result of `chunked`: counts of each word by label of its text; kept labels are not in
+    the first two counts. A word of a chunk may have several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).fill_null(4).to_numpy(zero_copy_only=False) + 2 * batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)
-            parts = []
-            for at, end, words in wordscan.scan(batch.column(0)):
-                of_word = np.repeat(label[at:end], np.diff(words.first))
-                _, first, same = np.unique(words.hashes, return_index=True, return_inverse=True)
-                gram, of = _grams(words, first)
-                times = [np.bincount(same, weights=w, minlength=len(first))[of] for w in (of_word == 1, of_word == 0, of_word == 3, of_word == 2, np.ones(len(same)))]
-                parts.append(_summed(gram, *times))
-            gram, *counts = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (gram, *counts)], names=["gram", *COUNTS])
+            chunk = batch.column(3).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(chunk)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                for at, end, words in wordscan.scan(batch.column(0).slice(a, b - a)):
+                    of_word = np.repeat(label[a + at : a + end], np.diff(words.first))
+                    hashes, first, same = np.unique(words.hashes, return_index=True, return_inverse=True)
+                    times = [np.bincount(same, weights=w, minlength=len(first)).astype(np.int64) for w in (of_word == 1, of_word == 0, of_word == 3, of_word == 2, np.ones(len(same)))]
+                    raw = words.data.tobytes()
+                    letters = [raw[x:y] for x, y in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(first), chunk[a] if b > a else 0)), pa.array(hashes.view(np.int64)), pa.array(letters, pa.binary()), *map(pa.array, times)],
+                        names=["chunk", "word", "letters", *COUNTS],
+                    )
+
+    return mapped(docs.select("text", "label", "kept", "chunk"), run, "chunk long, word long, letters binary, " + ", ".join(f"{c} long" for c in COUNTS))
+
+
+def _of_letters(letters: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """`_grams` of each of a column of words."""
+    ends = np.cumsum(pc.binary_length(letters).to_numpy(zero_copy_only=False).astype(np.int64))
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    data = np.frombuffer(b"".join(letters.to_pylist()), np.uint8)
+    return _grams(wordscan.Words(data, starts, ends, ends, ends), np.arange(len(letters)))
+
+
+def gram_counts(words: DataFrame) -> DataFrame:
+    """(gram, *COUNTS, n_words) of distinct words (letters, *COUNTS); n_words: places of the gram in different words."""
 
-    found = mapped(docs.select("text", "label", "kept"), run, "gram long, " + ", ".join(f"{c} long" for c in COUNTS))
-    return found.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gram, of = _of_letters(batch.column(0))
+            gram, *counts = _summed(gram, *(batch.column(1 + i).to_numpy()[of] for i in range(len(COUNTS))), np.ones(len(of)))
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (gram, *counts)], names=["gram", *COUNTS, "n_words"])
+
+    found = mapped(words.select("letters", *COUNTS), run, "gram long, " + ", ".join(f"{c} long" for c in (*COUNTS, "n_words")))
+    return found.groupBy("gram").agg(*(F.sum(c).alias(c) for c in (*COUNTS, "n_words")))
 
 
 def _suffix(letters: int):
@@ -104,72 +152,93 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
 
 
 def gram_scores(grams: DataFrame, backoff: DataFrame) -> DataFrame:
-    """(gram, total, score): the difference of the log-probabilities of a gram's last letter under the toxic and the ordinary model."""
+    """(gram, n_words, fit, score): the difference of the log-probabilities of a gram's last letter under the toxic and the ordinary
+    model; fit without kept labels, score with all."""
     history = F.shiftrightunsigned("gram", 8).alias("history")
-    totals = grams.groupBy(history).agg(
-        *(F.sum(c).alias(f"{c}_all") for c in ("toxic", "ordinary")), *(F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in ("toxic", "ordinary"))
-    )
+    every = grams.withColumns({f"every_{c}": F.col(c) + F.col(f"{c}_kept") for c in ("toxic", "ordinary")})
+    classes = ("toxic", "ordinary", "every_toxic", "every_ordinary")
+    totals = every.groupBy(history).agg(*(F.sum(c).alias(f"{c}_all") for c in classes), *(F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in classes))
     lower = backoff.select(F.col("gram").alias("tail"), "p")
-    known = grams.select("*", history, _suffix(ORDER - 1).alias("tail")).join(totals, "history").join(lower, "tail")
+    known = every.select("*", history, _suffix(ORDER - 1).alias("tail")).join(totals, "history").join(lower, "tail")
 
     def likely(c: str):
         n, everything, kinds = F.col(c), F.col(f"{c}_all"), F.col(f"{c}_kinds")
         return F.when(everything > 0, (F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * F.col("p")) / everything).otherwise(F.col("p"))
 
-    return known.select("gram", "total", F.log(likely("toxic") / likely("ordinary")).alias("score"))
-
+    return known.select("gram", "n_words", *(F.log(likely(f"{x}toxic") / likely(f"{x}ordinary")).alias(name) for x, name in (("", "fit"), ("every_", "score"))))
 
-def _slot(gram: np.ndarray) -> np.ndarray:
-    return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
 
-
-def score_table(scores: DataFrame) -> np.ndarray:
-    """Scores in steps of `STEP`, by the slot of a gram; of grams that share a slot the most frequent counts. SLOTS rows at most."""
+def word_scores(words: DataFrame, scores: DataFrame) -> DataFrame:
+    """(word, fit, score) of distinct words (word, letters): the sums over their grams. Grams of very many words are joined with a salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gram = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            step = np.clip(np.rint(batch.column(2).to_numpy(zero_copy_only=False) / STEP), -127, 127).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(_slot(gram).astype(np.int32)), pa.array(step), batch.column(1), batch.column(0)], names=["slot", "step", "total", "gram"])
-
-    placed = mapped(scores.select("gram", "total", "score"), run, "slot int, step int, total long, gram long")
-    best = placed.groupBy("slot").agg(F.max_by("step", F.struct("total", "gram")).alias("step")).where("step <> 0").toArrow()
-    out = np.zeros(SLOTS, np.int8)
-    out[best["slot"].to_numpy()] = best["step"].to_numpy().astype(np.int8)
-    return out
-
-
-def features(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(id, *FEATURES) of each row of `docs` (id, text): the difference per letter, of the strongest word, of the second, the mean of
-    the first three (below 0 counting as 0), and log(1 + words). All are 0 for a text without words."""
-    held = docs.sparkSession.sparkContext.broadcast(table)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                gram, of = _of_letters(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(gram.view(np.int64))], names=["word", "gram"])
+
+    rows = scores.agg(F.sum("n_words")).first()[0] or 0
+    hot = F.broadcast(written(scores.where(F.col("n_words") > rows / HOT).select("gram", F.lit(SALTS).alias("salts")), "hot"))  # HOT rows at most
+    parts = F.coalesce("salts", F.lit(1))
+    left = mapped(words.select("word", "letters"), run, "word long, gram long").join(hot, "gram", "left").select("word", "gram", F.pmod(F.xxhash64("word"), parts).cast("int").alias("salt"))
+    right = scores.join(hot, "gram", "left").select("gram", "fit", "score", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    return left.join(right, ["gram", "salt"]).groupBy("word").agg(F.sum("fit").alias("fit"), F.sum("score").alias("score"))
+
+
+def _text_features(texts: pa.Array, known: np.ndarray, *scores: np.ndarray) -> list[np.ndarray]:
+    """For each of `scores` of the sorted words `known`, the values of FEATURES of each text."""
+    outs = [np.zeros((len(FEATURES), len(texts))) for _ in scores]
+    for at, end, words in wordscan.scan(texts):
+        if not len(words.hashes):
+            continue
+        n = end - at
+        of_text = np.repeat(np.arange(n), np.diff(words.first))
+        place = np.searchsorted(known, words.hashes.view(np.int64))
+        if not np.array_equal(known[np.minimum(place, len(known) - 1)], words.hashes.view(np.int64)):
+            raise ValueError("a word of a chunk has no score")
+        letters = np.bincount(of_text, weights=words.ends - words.starts + 1, minlength=n)
+        nth = np.arange(len(of_text)) - words.first[of_text]
+        for out, score in zip(outs, scores, strict=True):
+            own = score[place]
+            out[0, at:end] = np.bincount(of_text, weights=own, minlength=n) / np.maximum(1, letters)
+            value = own[np.lexsort((-own, of_text))]  # by text, the strongest first
+            for row, keep in ((1, nth == 0), (2, nth == 1)):
+                out[row, at:end] = np.bincount(of_text[keep], weights=value[keep], minlength=n)
+            keep = nth < 3
+            out[3, at:end] = np.bincount(of_text[keep], weights=np.maximum(value[keep], 0), minlength=n) / 3
+            out[4, at:end] = np.log1p(np.diff(words.first))
+    return outs
+
+
+def features(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, label, held_out, kept, *FEATURES, fit_*) of each row of the result of `chunked`, by the scores `known` (chunk, word, fit,
+    score) of each chunk's words: the difference per letter, of the strongest word, of the second, the mean of the first three (below 0
+    counting as 0), and log(1 + words). All are 0 for a text without words."""
+    own = docs.schema["id"].dataType.simpleString()
+    first = known.selectExpr("chunk", "0 AS kind", "word", "fit", "score", f"CAST(NULL AS {own}) AS id", "CAST(NULL AS INT) AS label", "CAST(NULL AS BOOLEAN) AS held_out", "CAST(NULL AS BOOLEAN) AS kept", "CAST(NULL AS STRING) AS text")
+    then = docs.selectExpr("chunk", "1 AS kind", "0L AS word", "0D AS fit", "0D AS score", "id", "label", "held_out", "kept", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at_chunk = [], None
         for batch in batches:
-            out = np.zeros((len(FEATURES), batch.num_rows))
-            for at, end, words in wordscan.scan(batch.column(1)):
-                if not len(words.hashes):
+            chunk, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(chunk) != 0) | (np.diff(kind) != 0)) + 1), len(chunk)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
                     continue
-                n = end - at
-                of_text = np.repeat(np.arange(n), np.diff(words.first))
-                _, first, same = np.unique(words.hashes, return_index=True, return_inverse=True)
-                gram, of = _grams(words, first)
-                score = np.bincount(of, weights=held.value[_slot(gram)] * STEP, minlength=len(first))
-                letters = np.bincount(of, minlength=len(first))
-                total = np.bincount(of_text, weights=score[same], minlength=n)
-                out[0, at:end] = total / np.maximum(1, np.bincount(of_text, weights=letters[same], minlength=n))
-                own = np.sort(of_text * 1e6 - score[same])  # by text, the strongest first
-                nth = np.arange(len(own)) - words.first[of_text]
-                value = of_text * 1e6 - own
-                for row, keep in ((1, nth == 0), (2, nth == 1)):
-                    out[row, at:end] = np.bincount(of_text[keep], weights=value[keep], minlength=n)
-                keep = nth < 3
-                out[3, at:end] = np.bincount(of_text[keep], weights=np.maximum(value[keep], 0), minlength=n) / 3
-                out[4, at:end] = np.log1p(np.diff(words.first))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], names=["id", *FEATURES])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return mapped(docs.select("id", "text"), run, f"id {kind}, " + ", ".join(f"{c} double" for c in FEATURES))
+                if chunk[a] != at_chunk:
+                    at_chunk, held = chunk[a], []
+                part = batch.slice(a, b - a)
+                if not kind[a]:
+                    held.append([part.column(i).to_numpy() for i in (2, 3, 4)])
+                    continue
+                words, fit, score = (np.concatenate(x) for x in zip(*held, strict=True)) if held else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+                all_, fitted = _text_features(part.column(9), words, score, fit)
+                yield pa.RecordBatch.from_arrays([*part.columns[5:9], *map(pa.array, all_), *map(pa.array, fitted)], names=["id", "label", "held_out", "kept", *FEATURES, *(f"fit_{c}" for c in FEATURES)])
+
+    sorted_rows = first.union(then).repartition("chunk").sortWithinPartitions("chunk", "kind", "word")
+    return mapped(sorted_rows, run, f"id {own}, label int, held_out boolean, kept boolean, " + ", ".join(f"{x}{c} double" for x in ("", "fit_") for c in FEATURES))
 
 
 def _weights(examples: DataFrame) -> tuple[tuple[float, ...], float]:
@@ -198,14 +267,14 @@ def toxicity(
     known = known.where(fold != 2)
     bounded = F.broadcast(written(known.orderBy(F.xxhash64("id"), "id").limit(labelled), "labelled"))  # `labelled` rows at most
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    counted = source.join(bounded, "id", "left").select("text", "label", (fold == 3).alias("kept"))
-    grams = written(gram_counts(counted), "grams")
-    backoff = shared_backoff(grams)
-    unseen = source.where(fold == 3).join(bounded, "id")
-    examples = written(features(unseen, score_table(gram_scores(grams, backoff))).join(bounded, "id"), "examples")
-    weights, constant = _weights(examples)
-    both = grams.select("gram", (F.col("toxic") + F.col("toxic_kept")).alias("toxic"), (F.col("ordinary") + F.col("ordinary_kept")).alias("ordinary"), "total")
-    found = features(source, score_table(gram_scores(both, backoff)))
+    marked = source.join(bounded, "id", "left").select("id", "text", "label", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.coalesce(fold == 3, F.lit(False)).alias("kept"))
+    chunks = chunked(marked)
+    seen = written(chunk_words(chunks), "seen")
+    words = written(seen.groupBy("word").agg(F.first("letters").alias("letters"), *(F.sum(c).alias(c) for c in COUNTS)), "words")
+    grams = written(gram_counts(words), "grams")
+    scores = written(gram_scores(grams, shared_backoff(grams)), "scores")
+    of_word = written(word_scores(words, scores), "word_scores")
+    found = written(features(chunks, seen.select("chunk", "word").join(of_word, "word")), "features")
+    weights, constant = _weights(found.where("kept AND label IS NOT NULL").select("label", *(F.col(f"fit_{c}").alias(c) for c in FEATURES)))
     score = 1 / (1 + F.exp(-sum((w * F.col(c) for w, c in zip(weights, FEATURES, strict=True)), F.lit(constant))))
-    scored = found.select(F.col("id"), F.coalesce(fold == 2, F.lit(False)).alias("held_out"), score.alias("score"))
-    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return found.select(F.col("id").alias(id_col), "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

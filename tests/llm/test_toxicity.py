@@ -85,3 +85,26 @@ def test_each_stage_of_the_pipeline_on_what_is_before_it(spark, tmp_path):
 
     packed = docs.withColumn("ids_crc32", F.crc32("ids")).collect()
     brute.check_packing(packed, dict(zip(ids, brute.token_ids(texts, "byte_bpe_50k.json", 0), strict=True)))
+
+
+def test_every_gram_keeps_its_own_score(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"word{i} vile{i % 7}x{i} common aaaaaaaaaaaaaaaaaaaaaaaa", i % 3 % 2, False, i % 4 == 3) for i in range(300)] + [(900, None, None, False, False)], "id long, text string, label int, held_out boolean, kept boolean")
+    chunks = toxicity.chunked(docs)
+    seen = toxicity.chunk_words(chunks)
+    words = seen.groupBy("word").agg(F.first("letters").alias("letters"), *(F.sum(c).alias(c) for c in toxicity.COUNTS)).cache()
+    grams = toxicity.gram_counts(words).cache()
+    scores = toxicity.gram_scores(grams, toxicity.shared_backoff(grams)).cache()
+    plain = {r["gram"]: (r["fit"], r["score"]) for r in scores.collect()}
+    assert len(plain) == grams.count()
+
+    def grams_of(letters):
+        line = b"\0" * 7 + b" " + letters + b" "
+        return [int.from_bytes(line[i + 1 : i + 9], "big", signed=True) for i in range(len(letters) + 1)]
+
+    letters = {r["word"]: bytes(r["letters"]) for r in words.collect()}
+    got = {letters[r["word"]]: (r["fit"], r["score"]) for r in toxicity.word_scores(words, scores).collect()}
+    assert set(got) == set(letters.values()) and len(got) > 600
+    for w, values in got.items():
+        assert values == pytest.approx([sum(plain[g][k] for g in grams_of(w)) for k in (0, 1)], abs=1e-9)
