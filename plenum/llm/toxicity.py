@@ -29,7 +29,7 @@ from plenum.llm import wordscan
 from plenum.llm.shared import mapped, written
 
 ORDER, DISCOUNT = 8, 0.75
-#: Labelled rows that classes are learnt from, at most; the rows of the smallest hashes of their ids. Shared counts use all documents.
+#: Labelled rows that the logistic function is fitted on, at most; the rows of the smallest hashes of their ids. Counts use all.
 LABELLED = 200_000
 #: Bytes of text of a chunk, about.
 CHUNK = 1 << 21
@@ -259,15 +259,15 @@ def toxicity(
     Rows whose crc32 of the id as text leaves 2 modulo 4 are held out: their labels are never looked at. Of the other labelled rows,
     remainders 0 and 1 are counted and remainder 3 fits the logistic function; then all three are counted. Null and empty texts, and texts without words, have
     a difference of 0 and are scored like any other; a null id is never held out and never labelled; null labels are ignored, and of several labels
-    of an id the largest counts; without labels of both classes the weights are `UNFITTED`; an empty table gives an empty table. Other
+    of an id the largest counts; the fit takes `labelled` rows at most, the counts take all; without labels of both classes the weights are `UNFITTED`; an empty table gives an empty table. Other
     columns are not read.
     """
     fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     known = known.where(fold != 2)
-    bounded = F.broadcast(written(known.orderBy(F.xxhash64("id"), "id").limit(labelled), "labelled"))  # `labelled` rows at most
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = source.join(bounded, "id", "left").select("id", "text", "label", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.coalesce(fold == 3, F.lit(False)).alias("kept"))
+    marked = source.where("id IS NOT NULL").join(known, "id", "left").unionByName(source.where("id IS NULL").withColumn("label", F.lit(None).cast("int")))
+    marked = marked.select("id", "text", "label", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.coalesce(fold == 3, F.lit(False)).alias("kept"))
     chunks = chunked(marked)
     seen = written(chunk_words(chunks), "seen")
     words = written(seen.groupBy("word").agg(F.first("letters").alias("letters"), *(F.sum(c).alias(c) for c in COUNTS)), "words")
@@ -275,6 +275,7 @@ def toxicity(
     scores = written(gram_scores(grams, shared_backoff(grams)), "scores")
     of_word = written(word_scores(words, scores), "word_scores")
     found = written(features(chunks, seen.select("chunk", "word").join(of_word, "word")), "features")
-    weights, constant = _weights(found.where("kept AND label IS NOT NULL").select("label", *(F.col(f"fit_{c}").alias(c) for c in FEATURES)))
+    fitting = found.where("kept AND label IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(labelled)
+    weights, constant = _weights(fitting.select("label", *(F.col(f"fit_{c}").alias(c) for c in FEATURES)))
     score = 1 / (1 + F.exp(-sum((w * F.col(c) for w, c in zip(weights, FEATURES, strict=True)), F.lit(constant))))
     return found.select(F.col("id").alias(id_col), "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -108,3 +108,13 @@ def test_every_gram_keeps_its_own_score(spark):
     assert set(got) == set(letters.values()) and len(got) > 600
     for w, values in got.items():
         assert values == pytest.approx([sum(plain[g][k] for g in grams_of(w)) for k in (0, 1)], abs=1e-9)
+
+
+def test_bound_of_the_fit_does_not_bound_the_counts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"vile{i} words" if i % 2 else f"mill{i} river") for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    sums, count = [], toxicity.gram_counts
+    monkeypatch.setattr(toxicity, "gram_counts", lambda words: sums.append(words.selectExpr("sum(toxic + toxic_kept)", "sum(ordinary + ordinary_kept)").first()) or count(words))
+    assert toxicity.toxicity(docs, labels, labelled=10).count() == 120
+    learnt = [i for i in range(120) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert tuple(sums[0]) == (2 * sum(i % 2 for i in learnt), 2 * sum(1 - i % 2 for i in learnt))
