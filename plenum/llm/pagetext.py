@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from plenum.llm.shared import mapped, written
 
-#: A subtree on this many different pages of a host is part of its template.
-MIN_PAGES = 10
+#: A subtree on this many different pages of a host at least, and on this share of them, is part of its template.
+MIN_PAGES, MIN_SHARE = 10, 0.3
 
 # Elements of HTML and words of classes, ids and roles by what they are for.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,7 +41,8 @@ CLOSES = {
     "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"},
 }
 SCOPES = set("ul ol dl table article main section div body html td th".split())
-CONTENT = set("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+#: In an article or main part any other element may hold content that repeats.
+CONTENT = set("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol li dl dt dd table caption thead tbody tfoot tr figure figcaption details summary address hgroup".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^<>])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -75,7 +76,7 @@ def read_page(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
     """The blocks of a page's main part, and (hash, first block, end block) of each container in it that may be part of a template.
 
     The main part is what stands in `article` and `main` elements, or the whole body if there is none with text. A container that holds more
-    than half of the main part's characters is no template, nor is a paragraph or heading inside an article.
+    than half of the main part's characters is no template, nor is an element of `CONTENT` inside an article or main part.
     """
     stack = [_Open("html", "", 0, False, False)]
     blocks: list[tuple[str, bool]] = []
@@ -202,10 +203,12 @@ def read_pages(pages: DataFrame) -> DataFrame:
     return mapped(pages.select("row", "id", "url", "host", "html"), run, shape)
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+def main_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE
+) -> DataFrame:
     """(`id_col`, `url_col`, text, n_chars, n_template) for every row of `pages`; n_template counts blocks deleted as part of a site's template.
 
-    Blocks are joined by two \\n. Pages of a host with equal text count once for its template, so copies make no template. A null html is
+    A template is on `min_pages` different pages of its host at least, and on `min_share` of them. Blocks are joined by two \\n. Pages of a host with equal text count once for its template, so copies make no template. A null html is
     empty and gives an empty text; pages without a url or host share one host; repeated rows come out as often as they came in; an empty table gives
     an empty table. Other columns are not read.
     """
@@ -214,7 +217,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     source = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), url.alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
     scanned = written(read_pages(source), "pages")
     different = scanned.where(F.size("subtrees") > 0).select("host", "body", F.explode(F.array_distinct(F.col("subtrees.hash"))).alias("hash")).distinct()
-    template = written(different.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "hash"), "template")
+    size = scanned.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("size"))
+    often = different.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    template = written(often.join(size, "host").where(F.col("n") >= min_share * F.col("size")).select("host", "hash"), "template")
     gone = (
         scanned.where(F.size("subtrees") > 0).select("row", "host", F.explode("subtrees").alias("s")).select("row", "host", "s.hash", "s.first", "s.end")
         .join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("gone"))

@@ -66,3 +66,16 @@ def test_selected_records_are_read_alone_and_ranges_are_coalesced(spark):
     some = index.where("url IN ('u7', 'u150')")
     assert {r["page_id"] for r in warc.read_warc(some).collect()} == {7, 150}
     assert warc.byte_ranges(index, gap=0).count() < warc.byte_ranges(index.where("url LIKE '%1' OR url LIKE '%5'"), gap=0).count() + 200
+
+
+def test_shared_items_of_a_large_host_stay(spark):
+    rows = []
+    for i in range(300):
+        own = "<div>Rated good</div>" if i % 5 == 0 else ""
+        rows.append((i, "http://cook.example/", f"<article><div>Cook with us!</div><h1>Dish {i}</h1><ul><li>Salt</li><li>Item {i}</li></ul><table><tr><td>Yes<td>No</table>"
+                     f"<dl><dt>Time<dd>10 min</dl><figure><figcaption>Photo</figcaption></figure>{own}<p>How to make dish number {i} in some longer words.</p></article>"))
+    out = {r["page_id"]: r for r in pagetext.main_text(pages(spark, rows)).collect()}
+    for i in range(300):
+        own = ["Rated good"] if i % 5 == 0 else []
+        blocks = [f"Dish {i}", "Salt", f"Item {i}", "Yes No", "Time", "10 min", "Photo", *own, f"How to make dish number {i} in some longer words."]
+        assert out[i]["text"].split("\n\n") == blocks and out[i]["n_template"] == 1
