@@ -252,9 +252,10 @@ def _weights(examples: DataFrame) -> tuple[tuple[float, ...], float]:
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED,
-    threshold: float = THRESHOLD,
+    threshold: float = THRESHOLD, row_col: str | None = None,
 ) -> DataFrame:
-    """(`id_col`, held_out, score, predicted) for every row of `docs`; score: 0 to 1, higher if toxic is likelier.
+    """(`id_col`, held_out, score, predicted) for every row of `docs`; score: 0 to 1, higher if toxic is likelier. `row_col`, if given, is a
+    column of row numbers that comes out too.
 
     Rows whose crc32 of the id as text leaves 2 modulo 4 are held out: their labels are never looked at. Of the other labelled rows,
     remainders 0 and 1 are counted and remainder 3 fits the logistic function; then all three are counted. Null and empty texts, and texts without words, have
@@ -265,9 +266,10 @@ def toxicity(
     fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     known = known.where(fold != 2)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    row = F.col(row_col) if row_col else F.lit(None).cast("long")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
     marked = source.where("id IS NOT NULL").join(known, "id", "left").unionByName(source.where("id IS NULL").withColumn("label", F.lit(None).cast("int")))
-    marked = marked.select("id", "text", "label", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.coalesce(fold == 3, F.lit(False)).alias("kept"))
+    marked = marked.select(F.struct("id", "row").alias("id"), "text", "label", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.coalesce(fold == 3, F.lit(False)).alias("kept"))
     chunks = chunked(marked)
     seen = written(chunk_words(chunks), "seen")
     words = written(seen.groupBy("word").agg(F.first("letters").alias("letters"), *(F.sum(c).alias(c) for c in COUNTS)), "words")
@@ -275,7 +277,8 @@ def toxicity(
     scores = written(gram_scores(grams, shared_backoff(grams)), "scores")
     of_word = written(word_scores(words, scores), "word_scores")
     found = written(features(chunks, seen.select("chunk", "word").join(of_word, "word")), "features")
-    fitting = found.where("kept AND label IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(labelled)
+    fitting = found.where("kept AND label IS NOT NULL").orderBy(F.xxhash64("id.id"), "id").limit(labelled)
     weights, constant = _weights(fitting.select("label", *(F.col(f"fit_{c}").alias(c) for c in FEATURES)))
     score = 1 / (1 + F.exp(-sum((w * F.col(c) for w, c in zip(weights, FEATURES, strict=True)), F.lit(constant))))
-    return found.select(F.col("id").alias(id_col), "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = [F.col("id.row").alias(row_col)] if row_col else []
+    return found.select(F.col("id.id").alias(id_col), *rows, "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
