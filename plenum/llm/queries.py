@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontaminate, licenses, linededup, packing, pagetext, quality, simhash, tokenfiles, toxicity, warc
+from plenum.llm import conversations, decontaminate, exactdedup, licenses, linededup, packing, pagetext, quality, simhash, tokenfiles, toxicity, warc, whitening
 from plenum.llm.shared import new_folder, table
 
 
@@ -65,6 +65,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_line_dedup": (op2_line_dedup, linededup.ORACLE),
@@ -76,4 +88,7 @@ QUERIES = {
     "op8_licenses": (op8_licenses, licenses.ORACLE),
     "op9_simhash": (op9_simhash, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_exact_dedup": (op11_exact_dedup, exactdedup.ORACLE),
+    "op12_whitening": (op12_whitening, None),
+    "op13_conversations": (op13_conversations, None),
 }
