@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,7 +16,7 @@ _own: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
-def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def mapped(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
     """`df.mapInArrow(run, schema)`; the first time in an application, this package is sent to the executors."""
     context = df.sparkSession.sparkContext
     if context.applicationId not in _shipped:
@@ -30,10 +31,12 @@ def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; only where that is unset (tests on one machine) a folder of our own."""
+    """The folder named by `spark.checkpoint.dir`; only where that is unset and Spark runs in one process (tests) a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="plenum-shared-")

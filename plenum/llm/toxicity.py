@@ -6,239 +6,236 @@ the difference of the two log-likelihoods, normalised by its length in letters,
 its number of words, as a few words can make a long text toxic. A logistic function, fitted on labelled texts that the counts have
 not seen, turns these into a score.
 
-A letter is a byte of a word's UTF-8; a gram is `ORDER` = 8 letters within a word, its beginning and end marked, as a 64-bit number.
-
-All gram scores are a Spark table. Distinct words are scored once by joining their grams to it. Documents are dealt into chunks of about
-`CHUNK` bytes; each chunk gets the scores of its own different words, so a common word is one row a chunk and no task holds more.
+A letter is one of 32: the end of a word, a to z whatever their case, a digit, and four for bytes beyond ASCII. A gram is `ORDER` = 5 letters within a
+word, its beginning filled up with ends, as a 25-bit number. So there are 2^25 grams at most whatever the corpus: every gram has its own
+count and its own score, and the table of scores, 64 MB at most, goes to every task. Texts are shuffled once, to meet their labels; counting grams and
+scoring texts take one pass over the rows each.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plenum.llm import wordscan
 from plenum.llm.shared import mapped, written
 
-ORDER, DISCOUNT = 8, 0.75
+ORDER, BITS, DISCOUNT = 5, 5, 0.75
+GRAMS = 1 << BITS * ORDER
 #: Labelled rows that the logistic function is fitted on, at most; the rows of the smallest hashes of their ids. Counts use all.
 LABELLED = 200_000
-#: Bytes of text of a chunk, about.
-CHUNK = 1 << 21
-#: A gram in more than one of HOT of all (word, gram) rows has its score joined in SALTS parts.
-HOT, SALTS = 2000, 32
+#: Bytes of texts handled together, and grams a task holds before it counts them.
+GROUP, HELD = 1 << 21, 1 << 23
 THRESHOLD = 0.3
 #: What a text is judged by, and the weights and the constant where no labels are there to fit them.
 FEATURES = ("normalised", "strongest", "second", "three", "size")
 UNFITTED = ((20.0, 0.5, 0.0, 0.5, 0.0), -8.0)
 
-COUNTS = ("toxic", "ordinary", "toxic_kept", "ordinary_kept", "total")
-_END = 32  # no byte of a word
+COUNTS = ("toxic", "ordinary", "toxic_kept", "ordinary_kept")
 
+_LETTER = np.array([b - 64 if 65 <= b < 91 else b - 96 if 97 <= b < 123 else 27 if 48 <= b < 58 else 28 + b % 4 if b >= 128 else 0 for b in range(256)], np.uint8)
 
-def _grams(words: wordscan.Words, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, place in `numbers` of its word) for the letters and the end mark of the given words."""
-    starts, sizes = words.starts[numbers], words.ends[numbers] - words.starts[numbers] + 1
-    of = np.repeat(np.arange(len(numbers)), sizes)
-    pos = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
-    letter = np.append(words.data, 0)[starts[of] + pos].astype(np.uint64)
-    letter[pos == sizes[of] - 1] = _END
-    gram = letter.copy()
-    for j in range(1, ORDER):
-        before = np.zeros(len(letter), np.uint64)
-        before[j:] = letter[:-j]
-        before[pos < j] = 0
-        before[pos == j - 1] = _END
-        gram |= before << np.uint64(8 * j)
-    return gram, of
 
+@dataclass
+class Grams:
+    """Grams of a group of texts in order: `gram`, `text` (place of its text in the group) and `end` (is it the end of a word)."""
 
-def _summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    unique, at = np.unique(keys, return_inverse=True)
-    return unique, *(np.bincount(at, weights=w, minlength=len(unique)).astype(np.int64) for w in weights)
+    gram: np.ndarray
+    text: np.ndarray
+    end: np.ndarray
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """`docs` (id, text string, label int: 1, 0 or null, held_out and kept boolean) and the number of each row's chunk, written."""
+def texts_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end text, their bytes, their sizes) for groups of texts of about 2 MB; a null text is empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + GROUP, "right")) - 1)
+        yield at, end, data[bounds[at] : bounds[end]], np.diff(bounds[at : end + 1])
+        at = end
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, done = int.from_bytes(os.urandom(8)) >> 2, 0
-        for batch in batches:
-            upto = done + np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            done = int(upto[-1]) if len(upto) else done
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + upto // CHUNK, pa.int64())], names=[*batch.schema.names, "chunk"])
 
-    own = docs.select("id", "text", "label", "held_out", "kept")
-    kind = own.schema["id"].dataType.simpleString()
-    return written(mapped(own, run, f"id {kind}, text string, label int, held_out boolean, kept boolean, chunk long"), "chunks")
+def grams_of(data: np.ndarray, sizes: np.ndarray) -> Grams:
+    """The grams of texts that stand one after the other in `data`."""
+    n = len(sizes)
+    letters = np.zeros(len(data) + n, np.uint32)  # each text is followed by an end
+    letters[np.arange(len(data)) + np.repeat(np.arange(n), sizes)] = _LETTER[data]
+    gram, within = letters.copy(), np.ones(len(letters), bool)
+    for j in range(1, ORDER):
+        before = np.zeros(len(letters), np.uint32)
+        before[j:] = letters[:-j]
+        within &= before != 0
+        gram |= np.where(within, before << np.uint32(BITS * j), np.uint32(0))
+    real = gram != 0  # an end that follows an end is none
+    return Grams(gram[real], np.repeat(np.arange(n), sizes + 1)[real], letters[real] == 0)
 
 
-def chunk_words(docs: DataFrame) -> DataFrame:
-    """(chunk, word, letters, *COUNTS) of the result of `chunked`: counts of each word by label of its text; kept labels are not in
-    the first two counts. A word of a chunk may have several rows."""
+def grams_seen(docs: DataFrame) -> DataFrame:
+    """(gram int, *COUNTS): the different grams of each task's texts, with counts of 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(GRAMS, bool)
         for batch in batches:
-            label = batch.column(1).fill_null(4).to_numpy(zero_copy_only=False) + 2 * batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)
-            chunk = batch.column(3).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(chunk)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                for at, end, words in wordscan.scan(batch.column(0).slice(a, b - a)):
-                    of_word = np.repeat(label[a + at : a + end], np.diff(words.first))
-                    hashes, first, same = np.unique(words.hashes, return_index=True, return_inverse=True)
-                    times = [np.bincount(same, weights=w, minlength=len(first)).astype(np.int64) for w in (of_word == 1, of_word == 0, of_word == 3, of_word == 2, np.ones(len(same)))]
-                    raw = words.data.tobytes()
-                    letters = [raw[x:y] for x, y in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(first), chunk[a] if b > a else 0)), pa.array(hashes.view(np.int64)), pa.array(letters, pa.binary()), *map(pa.array, times)],
-                        names=["chunk", "word", "letters", *COUNTS],
-                    )
-
-    return mapped(docs.select("text", "label", "kept", "chunk"), run, "chunk long, word long, letters binary, " + ", ".join(f"{c} long" for c in COUNTS))
-
-
-def _of_letters(letters: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """`_grams` of each of a column of words."""
-    ends = np.cumsum(pc.binary_length(letters).to_numpy(zero_copy_only=False).astype(np.int64))
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    data = np.frombuffer(b"".join(letters.to_pylist()), np.uint8)
-    return _grams(wordscan.Words(data, starts, ends, ends, ends), np.arange(len(letters)))
-
-
-def gram_counts(words: DataFrame) -> DataFrame:
-    """(gram, *COUNTS, n_words) of distinct words (letters, *COUNTS); n_words: places of the gram in different words."""
+            for _, _, data, sizes in texts_of(batch.column(0)):
+                seen[grams_of(data, sizes).gram] = True
+        found = np.flatnonzero(seen).astype(np.int32)
+        for a in range(0, len(found), 1 << 16):
+            part = found[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array(np.zeros(len(part), np.int64))] * len(COUNTS)], names=["gram", *COUNTS])
+
+    return mapped(docs.select("text"), run, "gram int, " + ", ".join(f"{c} long" for c in COUNTS))
+
+
+def grams_labelled(labelled: DataFrame) -> DataFrame:
+    """(gram int, *COUNTS) of rows (text, label, kept): counts by label; kept rows are not in the first two. A gram may have several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in COUNTS]
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for place, parts in enumerate(held):
+                if parts:
+                    found, n = np.unique(np.concatenate(parts), return_counts=True)
+                    parts.clear()
+                    for a in range(0, len(found), 1 << 16):
+                        own = found[a : a + (1 << 16)].astype(np.int32)
+                        columns = [n[a : a + (1 << 16)].astype(np.int64) if c == place else np.zeros(len(own), np.int64) for c in range(len(COUNTS))]
+                        yield pa.RecordBatch.from_arrays([pa.array(own), *map(pa.array, columns)], names=["gram", *COUNTS])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            gram, of = _of_letters(batch.column(0))
-            gram, *counts = _summed(gram, *(batch.column(1 + i).to_numpy()[of] for i in range(len(COUNTS))), np.ones(len(of)))
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (gram, *counts)], names=["gram", *COUNTS, "n_words"])
+            places = np.where(batch.column(1).to_numpy() == 1, 0, 1) + 2 * batch.column(2).to_numpy(zero_copy_only=False)
+            for at, end, data, sizes in texts_of(batch.column(0)):
+                grams = grams_of(data, sizes)
+                place = places[at:end][grams.text]
+                for c, parts in enumerate(held):
+                    if len(own := grams.gram[place == c]):
+                        parts.append(own)
+                if sum(len(x) for parts in held for x in parts) > HELD:
+                    yield from counted()
+        yield from counted()
+
+    return mapped(labelled.select("text", "label", "kept"), run, "gram int, " + ", ".join(f"{c} long" for c in COUNTS))
 
-    found = mapped(words.select("letters", *COUNTS), run, "gram long, " + ", ".join(f"{c} long" for c in (*COUNTS, "n_words")))
-    return found.groupBy("gram").agg(*(F.sum(c).alias(c) for c in (*COUNTS, "n_words")))
+
+def gram_counts(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(gram int, *COUNTS) of all grams of `docs` (text) and of labelled rows (text, label, kept)."""
+    return grams_seen(docs).union(grams_labelled(labelled)).groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 def _suffix(letters: int):
-    return F.col("gram").bitwiseAND(F.lit((1 << 8 * letters) - 1).cast("long"))
+    return F.col("gram").bitwiseAND(F.lit((1 << BITS * letters) - 1))
+
+
+def _history():
+    return F.shiftrightunsigned("gram", BITS)
 
 
 def shared_backoff(grams: DataFrame) -> DataFrame:
     """(gram, p) for grams of one letter less: interpolated Kneser-Ney from how many different letters come before each gram."""
-    levels = [grams.groupBy(_suffix(ORDER - 1).alias("gram")).agg(F.count("*").alias("n"))]
+    levels = [written(grams.groupBy(_suffix(ORDER - 1).alias("gram")).agg(F.count("*").alias("n")), "level")]
     for letters in range(ORDER - 2, 0, -1):
         levels.append(levels[-1].groupBy(_suffix(letters).alias("gram")).agg(F.count("*").alias("n")))
+    same = Window.partitionBy("history")
     lower = None
     for letters, level in enumerate(reversed(levels), 1):
-        history = F.shiftrightunsigned("gram", 8).alias("history")
-        totals = level.groupBy(history).agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-        known = level.select("gram", "n", history).join(totals, "history")
-        below = F.lit(1 / 256)
+        known = level.withColumn("history", _history()).withColumns({"all": F.sum("n").over(same), "kinds": F.count("*").over(same)})
+        below = F.lit(1 / (1 << BITS))
         if lower is not None:
             known = known.withColumn("tail", _suffix(letters - 1)).join(lower.select(F.col("gram").alias("tail"), F.col("p").alias("below")), "tail")
             below = F.col("below")
         p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * below) / F.col("all")
-        lower = written(known.select("gram", p.alias("p")), "backoff")
+        lower = known.select("gram", p.alias("p"))
     return lower
 
 
 def gram_scores(grams: DataFrame, backoff: DataFrame) -> DataFrame:
-    """(gram, n_words, fit, score): the difference of the log-probabilities of a gram's last letter under the toxic and the ordinary
-    model; fit without kept labels, score with all."""
-    history = F.shiftrightunsigned("gram", 8).alias("history")
+    """(gram, fit, score): the difference of the log-probabilities of a gram's last letter under the toxic and the ordinary model; fit
+    without kept labels, score with all."""
     every = grams.withColumns({f"every_{c}": F.col(c) + F.col(f"{c}_kept") for c in ("toxic", "ordinary")})
     classes = ("toxic", "ordinary", "every_toxic", "every_ordinary")
-    totals = every.groupBy(history).agg(*(F.sum(c).alias(f"{c}_all") for c in classes), *(F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in classes))
+    same = Window.partitionBy("history")
+    totals = {f"{c}_all": F.sum(c).over(same) for c in classes} | {f"{c}_kinds": F.sum((F.col(c) > 0).cast("long")).over(same) for c in classes}
     lower = backoff.select(F.col("gram").alias("tail"), "p")
-    known = every.select("*", history, _suffix(ORDER - 1).alias("tail")).join(totals, "history").join(lower, "tail")
+    known = every.withColumn("history", _history()).withColumns(totals).withColumn("tail", _suffix(ORDER - 1)).join(lower, "tail")
 
     def likely(c: str):
         n, everything, kinds = F.col(c), F.col(f"{c}_all"), F.col(f"{c}_kinds")
         return F.when(everything > 0, (F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * F.col("p")) / everything).otherwise(F.col("p"))
 
-    return known.select("gram", "n_words", *(F.log(likely(f"{x}toxic") / likely(f"{x}ordinary")).alias(name) for x, name in (("", "fit"), ("every_", "score"))))
+    return known.select("gram", *(F.log(likely(f"{x}toxic") / likely(f"{x}ordinary")).alias(name) for x, name in (("", "fit"), ("every_", "score"))))
 
 
-def word_scores(words: DataFrame, scores: DataFrame) -> DataFrame:
-    """(word, fit, score) of distinct words (word, letters): the sums over their grams. Grams of very many words are joined with a salt."""
+@dataclass
+class Scores:
+    """Scores of grams for every task: as many as there are grams, 2^25 at most, of two bytes each, with their numbers if that is less."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                gram, of = _of_letters(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(gram.view(np.int64))], names=["word", "gram"])
-
-    rows = scores.agg(F.sum("n_words")).first()[0] or 0
-    hot = F.broadcast(written(scores.where(F.col("n_words") > rows / HOT).select("gram", F.lit(SALTS).alias("salts")), "hot"))  # HOT rows at most
-    parts = F.coalesce("salts", F.lit(1))
-    left = mapped(words.select("word", "letters"), run, "word long, gram long").join(hot, "gram", "left").select("word", "gram", F.pmod(F.xxhash64("word"), parts).cast("int").alias("salt"))
-    right = scores.join(hot, "gram", "left").select("gram", "fit", "score", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
-    return left.join(right, ["gram", "salt"]).groupBy("word").agg(F.sum("fit").alias("fit"), F.sum("score").alias("score"))
-
-
-def _text_features(texts: pa.Array, known: np.ndarray, *scores: np.ndarray) -> list[np.ndarray]:
-    """For each of `scores` of the sorted words `known`, the values of FEATURES of each text."""
-    outs = [np.zeros((len(FEATURES), len(texts))) for _ in scores]
-    for at, end, words in wordscan.scan(texts):
-        if not len(words.hashes):
+    packed: Broadcast
+
+    @classmethod
+    def sent(cls, scores: DataFrame, column: str) -> Scores:
+        found = scores.select("gram", F.col(column).cast("float").alias("score")).toArrow()  # GRAMS rows at most
+        gram, score = found.column(0).to_numpy(), found.column(1).to_numpy().astype(np.float16)
+        packed = (gram.tobytes(), score.tobytes()) if 3 * len(gram) < GRAMS else (None, _dense(gram, score).tobytes())
+        return cls(scores.sparkSession.sparkContext.broadcast(packed))
+
+    def table(self) -> np.ndarray:
+        gram, score = self.packed.value
+        values = np.frombuffer(score, np.float16)
+        return values if gram is None else _dense(np.frombuffer(gram, np.int32), values)
+
+
+def _dense(gram: np.ndarray, score: np.ndarray) -> np.ndarray:
+    out = np.zeros(GRAMS, np.float16)
+    out[gram] = score
+    return out
+
+
+def text_features(column: pa.Array, scores: np.ndarray) -> np.ndarray:
+    """The values of FEATURES (rows) of each text: the difference per letter, of the strongest word, of the second, the mean of the first three
+    (below 0 counting as 0), and log(1 + words). All are 0 for a text without words."""
+    out = np.zeros((len(FEATURES), len(column)))
+    for at, end, data, sizes in texts_of(column):
+        grams, n = grams_of(data, sizes), end - at
+        if not len(grams.gram):
             continue
-        n = end - at
-        of_text = np.repeat(np.arange(n), np.diff(words.first))
-        place = np.searchsorted(known, words.hashes.view(np.int64))
-        if not np.array_equal(known[np.minimum(place, len(known) - 1)], words.hashes.view(np.int64)):
-            raise ValueError("a word of a chunk has no score")
-        letters = np.bincount(of_text, weights=words.ends - words.starts + 1, minlength=n)
-        nth = np.arange(len(of_text)) - words.first[of_text]
-        for out, score in zip(outs, scores, strict=True):
-            own = score[place]
-            out[0, at:end] = np.bincount(of_text, weights=own, minlength=n) / np.maximum(1, letters)
-            value = own[np.lexsort((-own, of_text))]  # by text, the strongest first
-            for row, keep in ((1, nth == 0), (2, nth == 1)):
-                out[row, at:end] = np.bincount(of_text[keep], weights=value[keep], minlength=n)
-            keep = nth < 3
-            out[3, at:end] = np.bincount(of_text[keep], weights=np.maximum(value[keep], 0), minlength=n) / 3
-            out[4, at:end] = np.log1p(np.diff(words.first))
-    return outs
-
-
-def features(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, label, held_out, kept, *FEATURES, fit_*) of each row of the result of `chunked`, by the scores `known` (chunk, word, fit,
-    score) of each chunk's words: the difference per letter, of the strongest word, of the second, the mean of the first three (below 0
-    counting as 0), and log(1 + words). All are 0 for a text without words."""
-    own = docs.schema["id"].dataType.simpleString()
-    first = known.selectExpr("chunk", "0 AS kind", "word", "fit", "score", f"CAST(NULL AS {own}) AS id", "CAST(NULL AS INT) AS label", "CAST(NULL AS BOOLEAN) AS held_out", "CAST(NULL AS BOOLEAN) AS kept", "CAST(NULL AS STRING) AS text")
-    then = docs.selectExpr("chunk", "1 AS kind", "0L AS word", "0D AS fit", "0D AS score", "id", "label", "held_out", "kept", "text")
+        upto = np.flatnonzero(grams.end)
+        of = grams.text[upto]
+        first = np.concatenate([[0], upto[:-1] + 1])
+        own = np.add.reduceat(scores[grams.gram].astype(np.float64), first)
+        words = np.bincount(of, minlength=n)
+        letters = np.bincount(of, weights=upto - first + 1, minlength=n)
+        out[0, at:end] = np.bincount(of, weights=own, minlength=n) / np.maximum(1, letters)
+        value = own[np.lexsort((-own, of))]  # by text, the strongest first
+        nth = np.arange(len(of)) - (np.cumsum(words) - words)[of]
+        for row, keep in ((1, nth == 0), (2, nth == 1)):
+            out[row, at:end] = np.bincount(of[keep], weights=value[keep], minlength=n)
+        keep = nth < 3
+        out[3, at:end] = np.bincount(of[keep], weights=np.maximum(value[keep], 0), minlength=n) / 3
+        out[4, at:end] = np.log1p(words)
+    return out
+
+
+def features(rows: DataFrame, scores: Scores) -> DataFrame:
+    """(id, label, *FEATURES) of rows (id, label, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at_chunk = [], None
+        table = None
         for batch in batches:
-            chunk, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero((np.diff(chunk) != 0) | (np.diff(kind) != 0)) + 1), len(chunk)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if chunk[a] != at_chunk:
-                    at_chunk, held = chunk[a], []
-                part = batch.slice(a, b - a)
-                if not kind[a]:
-                    held.append([part.column(i).to_numpy() for i in (2, 3, 4)])
-                    continue
-                words, fit, score = (np.concatenate(x) for x in zip(*held, strict=True)) if held else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
-                all_, fitted = _text_features(part.column(9), words, score, fit)
-                yield pa.RecordBatch.from_arrays([*part.columns[5:9], *map(pa.array, all_), *map(pa.array, fitted)], names=["id", "label", "held_out", "kept", *FEATURES, *(f"fit_{c}" for c in FEATURES)])
-
-    sorted_rows = first.union(then).repartition("chunk").sortWithinPartitions("chunk", "kind", "word")
-    return mapped(sorted_rows, run, f"id {own}, label int, held_out boolean, kept boolean, " + ", ".join(f"{x}{c} double" for x in ("", "fit_") for c in FEATURES))
+            table = scores.table() if table is None else table
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, text_features(batch.column(2), table))], names=["id", "label", *FEATURES])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return mapped(rows.select("id", "label", "text"), run, f"id {kind}, label int, " + ", ".join(f"{c} double" for c in FEATURES))
 
 
 def _weights(examples: DataFrame) -> tuple[tuple[float, ...], float]:
@@ -250,12 +247,52 @@ def _weights(examples: DataFrame) -> tuple[tuple[float, ...], float]:
     return tuple(map(float, model.coefficients)), float(model.intercept)
 
 
+@dataclass
+class Model:
+    scores: Scores
+    weights: tuple[float, ...]
+    constant: float
+
+
+def fold_of(id_):
+    return F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(4))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Model:
+    """The models and the logistic function, from all texts of `docs` and the labels that are not held out (see `toxicity`)."""
+    fold = fold_of(F.col("id"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    joined = source.where(F.col("id").isNotNull() & (fold != 2)).join(known.where(fold != 2), "id")
+    taught = written(joined.select("id", F.coalesce("text", F.lit("")).alias("text"), "label", (fold == 3).alias("kept")), "labelled")
+    grams = written(gram_counts(source, taught), "grams")
+    scores = written(gram_scores(grams, shared_backoff(grams)), "scores")
+    examples = written(features(taught.where("kept"), Scores.sent(scores, "fit")), "examples")
+    fitting = examples.orderBy(F.xxhash64("id"), "id").limit(labelled)
+    return Model(Scores.sent(scores, "score"), *_weights(fitting))
+
+
+def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """`docs` with a column `score_col`, row by row and without a shuffle."""
+    scores, weights, constant = model.scores, np.array(model.weights), model.constant
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for batch in batches:
+            table = scores.table() if table is None else table
+            score = 1 / (1 + np.exp(-np.clip(weights @ text_features(batch.column(at), table) + constant, -500, 500)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, score_col])
+
+    text = [F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(*text)
+    return mapped(rows, run, T.StructType([*rows.schema.fields, T.StructField(score_col, T.DoubleType())]))
+
+
 def toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED,
-    threshold: float = THRESHOLD, row_col: str | None = None,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """(`id_col`, held_out, score, predicted) for every row of `docs`; score: 0 to 1, higher if toxic is likelier. `row_col`, if given, is a
-    column of row numbers that comes out too.
+    """(`id_col`, held_out, score, predicted) for every row of `docs`; score: 0 to 1, higher if toxic is likelier.
 
     Rows whose crc32 of the id as text leaves 2 modulo 4 are held out: their labels are never looked at. Of the other labelled rows,
     remainders 0 and 1 are counted and remainder 3 fits the logistic function; then all three are counted. Null and empty texts, and texts without words, have
@@ -263,22 +300,7 @@ def toxicity(
     of an id the largest counts; the fit takes `labelled` rows at most, the counts take all; without labels of both classes the weights are `UNFITTED`; an empty table gives an empty table. Other
     columns are not read.
     """
-    fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4))
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    known = known.where(fold != 2)
-    row = F.col(row_col) if row_col else F.lit(None).cast("long")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
-    marked = source.where("id IS NOT NULL").join(known, "id", "left").unionByName(source.where("id IS NULL").withColumn("label", F.lit(None).cast("int")))
-    marked = marked.select(F.struct("id", "row").alias("id"), "text", "label", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.coalesce(fold == 3, F.lit(False)).alias("kept"))
-    chunks = chunked(marked)
-    seen = written(chunk_words(chunks), "seen")
-    words = written(seen.groupBy("word").agg(F.first("letters").alias("letters"), *(F.sum(c).alias(c) for c in COUNTS)), "words")
-    grams = written(gram_counts(words), "grams")
-    scores = written(gram_scores(grams, shared_backoff(grams)), "scores")
-    of_word = written(word_scores(words, scores), "word_scores")
-    found = written(features(chunks, seen.select("chunk", "word").join(of_word, "word")), "features")
-    fitting = found.where("kept AND label IS NOT NULL").orderBy(F.xxhash64("id.id"), "id").limit(labelled)
-    weights, constant = _weights(fitting.select("label", *(F.col(f"fit_{c}").alias(c) for c in FEATURES)))
-    score = 1 / (1 + F.exp(-sum((w * F.col(c) for w, c in zip(weights, FEATURES, strict=True)), F.lit(constant))))
-    rows = [F.col("id.row").alias(row_col)] if row_col else []
-    return found.select(F.col("id.id").alias(id_col), *rows, "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = scored(rows, learn(docs, labels, id_col, text_col, label_col, labelled))
+    held_out = F.coalesce(fold_of(F.col("id")) == 2, F.lit(False))
+    return found.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

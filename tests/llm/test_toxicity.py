@@ -88,33 +88,76 @@ def test_each_stage_of_the_pipeline_on_what_is_before_it(spark, tmp_path):
 
 
 def test_every_gram_keeps_its_own_score(spark):
-    from pyspark.sql import functions as F
-
-    docs = spark.createDataFrame([(i, f"word{i} vile{i % 7}x{i} common aaaaaaaaaaaaaaaaaaaaaaaa", i % 3 % 2, False, i % 4 == 3) for i in range(300)] + [(900, None, None, False, False)], "id long, text string, label int, held_out boolean, kept boolean")
-    chunks = toxicity.chunked(docs)
-    seen = toxicity.chunk_words(chunks)
-    words = seen.groupBy("word").agg(F.first("letters").alias("letters"), *(F.sum(c).alias(c) for c in toxicity.COUNTS)).cache()
-    grams = toxicity.gram_counts(words).cache()
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [f"Word{i} vile{i % 7}x{i} - common aaaaaaaaaaaa{chr(0x430 + i % 9)}é" for i in range(300)] + [None, "", "?!", "end"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    taught = spark.createDataFrame([(t or "", i % 3 % 2, i % 4 == 3) for i, t in enumerate(texts)], "text string, label int, kept boolean")
+    grams = toxicity.gram_counts(docs, taught).cache()
+
+    def plain(text):
+        """Grams of a text in order, by word: the letter numbers of up to five letters, the last one first."""
+        words, word = [], []
+        for b in [*(text or "").encode(), 0]:
+            c = int(toxicity._LETTER[b])
+            if c or word:
+                word.append(c)
+            if not c and word:
+                words.append([sum(x << 5 * j for j, x in enumerate(reversed(word[max(0, i - 4) : i + 1]))) for i in range(len(word))])
+                word = []
+        return words
+
+    want = {}
+    for i, t in enumerate(texts):
+        for g in (g for w in plain(t) for g in w):
+            want.setdefault(g, [0, 0, 0, 0])[(0 if i % 3 % 2 else 1) + 2 * (i % 4 == 3)] += 1
+    assert {r["gram"]: list(r)[1:] for r in grams.collect()} == want
     scores = toxicity.gram_scores(grams, toxicity.shared_backoff(grams)).cache()
-    plain = {r["gram"]: (r["fit"], r["score"]) for r in scores.collect()}
-    assert len(plain) == grams.count()
-
-    def grams_of(letters):
-        line = b"\0" * 7 + b" " + letters + b" "
-        return [int.from_bytes(line[i + 1 : i + 9], "big", signed=True) for i in range(len(letters) + 1)]
-
-    letters = {r["word"]: bytes(r["letters"]) for r in words.collect()}
-    got = {letters[r["word"]]: (r["fit"], r["score"]) for r in toxicity.word_scores(words, scores).collect()}
-    assert set(got) == set(letters.values()) and len(got) > 600
-    for w, values in got.items():
-        assert values == pytest.approx([sum(plain[g][k] for g in grams_of(w)) for k in (0, 1)], abs=1e-9)
+    own = {r["gram"]: r["score"] for r in scores.collect()}
+    assert own.keys() == want.keys()
+    sent = toxicity.Scores.sent(scores, "score").table()
+    assert all(sent[g] == np.float16(x) for g, x in own.items())
+    table = toxicity._dense(np.array(list(own)), np.array(list(own.values())))
+    got = toxicity.text_features(pa.array(texts), table)
+    for i, t in enumerate(texts):
+        values = sorted((sum(float(table[g]) for g in w) for w in plain(t)), reverse=True)
+        letters = sum(len(w) for w in plain(t))
+        first = [*values[:3], 0, 0, 0]
+        assert got[:, i] == pytest.approx([sum(values) / max(1, letters), first[0], first[1], sum(max(0, v) for v in first[:3]) / 3, np.log1p(len(values))], abs=1e-9)
+
+
+def test_kneser_ney_by_hand(spark):
+    """Shared backoff and both models against sums over the counts in plain Python."""
+    rows = [(f"ab{c} b{c}a c" * 3, i % 2, False) for i, c in enumerate("abcabdabe")]
+    grams = toxicity.gram_counts(spark.createDataFrame([r[:1] for r in rows], "text string"), spark.createDataFrame(rows, "text string, label int, kept boolean")).cache()
+    counts = {r["gram"]: (r["toxic"], r["ordinary"]) for r in grams.collect()}
+    levels, low = {5: dict.fromkeys(counts, 1)}, None
+    for m in range(4, 0, -1):
+        levels[m] = {}
+        for g in levels[m + 1]:
+            levels[m][g & ((1 << 5 * m) - 1)] = levels[m].get(g & ((1 << 5 * m) - 1), 0) + 1
+
+    def smoothed(n, of, below):
+        same = [x for x in of if x >> 5 == n >> 5]
+        total = sum(of[x] for x in same)
+        return (max(of[n] - 0.75, 0) + 0.75 * sum(of[x] > 0 for x in same) * below) / total if total else below
+
+    for m in range(1, 5):
+        low = {g: smoothed(g, levels[m], 1 / 32 if low is None else low[g & ((1 << 5 * (m - 1)) - 1)]) for g in levels[m]}
+    got = {r["gram"]: r["p"] for r in toxicity.shared_backoff(grams).collect()}
+    assert got == pytest.approx(low)
+    import math
+
+    want = {g: math.log(smoothed(g, {x: c[0] for x, c in counts.items()}, low[g & 0xFFFFF]) / smoothed(g, {x: c[1] for x, c in counts.items()}, low[g & 0xFFFFF])) for g in counts}
+    assert {r["gram"]: r["score"] for r in toxicity.gram_scores(grams, toxicity.shared_backoff(grams)).collect()} == pytest.approx(want)
 
 
 def test_bound_of_the_fit_does_not_bound_the_counts(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"vile{i} words" if i % 2 else f"mill{i} river") for i in range(120)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
     sums, count = [], toxicity.gram_counts
-    monkeypatch.setattr(toxicity, "gram_counts", lambda words: sums.append(words.selectExpr("sum(toxic + toxic_kept)", "sum(ordinary + ordinary_kept)").first()) or count(words))
+    monkeypatch.setattr(toxicity, "gram_counts", lambda rows, taught: sums.append(taught.selectExpr("sum(label)", "sum(1 - label)").first()) or count(rows, taught))
     assert toxicity.toxicity(docs, labels, labelled=10).count() == 120
     learnt = [i for i in range(120) if zlib.crc32(str(i).encode()) % 4 != 2]
-    assert tuple(sums[0]) == (2 * sum(i % 2 for i in learnt), 2 * sum(1 - i % 2 for i in learnt))
+    assert tuple(sums[0]) == (sum(i % 2 for i in learnt), sum(1 - i % 2 for i in learnt))
