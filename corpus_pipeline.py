@@ -1,7 +1,8 @@
 """The corpus pipeline: documents to packed training sequences, one written table per stage.
 
 Every stage takes the documents that its predecessor kept and returns documents with the same columns; only the last returns pieces.
-Filters decide row by row, by a row number that each writes first, so null and repeated doc_ids are decided like any other.
+Filters decide row by row, so null and repeated doc_ids are decided like any other. Columns that no operator reads go through a stage under
+names of its own, so none clashes with a column that an operator makes.
 """
 
 from __future__ import annotations
@@ -9,49 +10,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontaminate, linededup, packing, similar
+from plenum.llm import decontaminate, linededup, packing, simhash
 from plenum.llm import toxicity as toxic
 from plenum.llm.queries import vocabulary
 from plenum.llm.shared import new_folder, table, written
 
+#: Columns that operators read; all others are only carried.
+READ = ("doc_id", "text", "source")
+ROW, SCORE = "pipeline_row", "pipeline_score"
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """`docs` with every column that is not read renamed by its place."""
+    return docs.toDF(*(c if c in READ else f"pipeline_column_{i}" for i, c in enumerate(docs.columns)))
+
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with a column `row`, written, so that a row keeps its number."""
-    return written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    """`docs` with a column `ROW`, written, so that a row keeps its number."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go."""
-    rows = numbered(docs)
-    scored = toxic.toxicity(rows, table(spark, sf_dir, "labels"), row_col="row")
-    rejected = written(scored.where("predicted = 1").select("row"), "rejected")
-    return rows.join(rejected, "row", "left_anti").select(docs.columns)
+    rows = carried(docs)
+    model = toxic.learn(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxic.scored(rows, model, score_col=SCORE).where(F.col(SCORE) < toxic.THRESHOLD).drop(SCORE).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on many sources stay at their first place only; n_chars follows the text."""
-    found = linededup.dedup_lines(docs)
+    rows = carried(docs)
+    found = linededup.dedup_lines(rows).select(rows.columns).toDF(*docs.columns)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(docs.columns)
+    return found
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 5-word shingle similarity of 0.8 or more, the one of the smallest id stays; a null id comes last."""
-    rows = numbered(docs)
-    groups = similar.similar_groups(rows.select("row", F.col("text").cast("string").alias("text")))
-    place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "row").alias("place")
-    placed = groups.join(rows.select("row", place), "row")
-    stay = written(placed.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.row").alias("row")), "first")
-    return rows.join(stay, "row", "left_semi").select(docs.columns)
+    """Of each group of documents linked by fingerprints, the one of the smallest id stays; a null id comes last."""
+    rows = numbered(carried(docs))
+    groups = simhash.near_duplicates(rows.select(ROW, "text"), id_col=ROW, words=4).select(ROW, "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", ROW).alias("place")
+    first = groups.join(rows.select(ROW, place), ROW).groupBy("component_id").agg(F.min("place").alias("place"))
+    stay = written(first.select(F.col(f"place.{ROW}").alias(ROW)), "first")
+    return rows.join(stay, ROW, "left_semi").drop(ROW).select(carried(docs).columns).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
-    rows = numbered(docs)
-    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row")
-    gone = written(found.where("n_hit > 0").select("row"), "contaminated")
-    return rows.join(gone, "row", "left_anti").select(docs.columns)
+    rows = numbered(carried(docs))
+    found = decontaminate.contamination(rows.select(ROW, "text"), table(spark, sf_dir, "benchmark"), id_col=ROW)
+    gone = written(found.where("n_hit > 0").select(ROW), "contaminated")
+    return rows.join(gone, ROW, "left_anti").select(carried(docs).columns).toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
