@@ -22,6 +22,8 @@ from plenum.llm.shared import mapped, written
 from plenum.llm.tokenids import encoder
 
 LENGTH, ROWS = 2048, 64
+#: Ids that a task reads, about.
+PART = 1 << 22
 
 
 def _schema(width: int, length: int) -> pa.Schema:
@@ -152,5 +154,7 @@ def read_tokens(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     kind = index.schema[id_col].dataType.simpleString()
     source = index.select(F.col(id_col).alias("id"), "start", "file", "first", "n_tokens")
-    by_file = source.repartition("file").sortWithinPartitions("file", "first")
+    n = index.agg(F.sum("n_tokens")).first()[0] or 0
+    near = (F.col("first") / PART).cast("long")
+    by_file = source.repartition(1 + n // PART, "file", near).sortWithinPartitions("file", "first")  # by ids in the files, not rows of the index
     return mapped(by_file, run, f"id {kind}, start long, ids binary").select(F.col("id").alias(id_col), "start", "ids")

@@ -162,7 +162,8 @@ def read_warc(index: DataFrame, id_type: str = "long") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
 
     shape = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
-    found = mapped(byte_ranges(index), run, shape)
+    size = index.agg(F.sum("length")).first()[0] or 0
+    found = mapped(byte_ranges(index).repartition(1 + size // RANGE, "file", "start"), run, shape)  # by bytes of the archives, not of the index
     return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 

@@ -18,7 +18,6 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 def token_ids(texts, vocabulary, end_id):
     """Ids of each whole text, by the library alone."""
     tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    tokenizer.encode_special_tokens = True
     return [e.ids + [end_id] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 

@@ -47,7 +47,6 @@ def token_ids_of(text, name):
 
     if name not in _TOKENIZERS:
         _TOKENIZERS[name] = Tokenizer.from_file(queries.vocabulary(name))
-        _TOKENIZERS[name].encode_special_tokens = True
     return _TOKENIZERS[name].encode(text, add_special_tokens=False).ids
 
 
@@ -119,3 +118,26 @@ def test_token_files_hold_equal_sequences_and_masks(spark):
     assert flat == ids
     empty = tokenfiles.write_tokens(spark.createDataFrame([], shape), new_folder(spark, "t"), queries.vocabulary(WORD))
     assert tokenfiles.read_tokens(empty).count() == 0
+
+
+def test_encoder_gives_what_the_library_gives(monkeypatch):
+    """Texts of letters, signs, odd spaces, contractions and the vocabularies' own special strings, against whole texts in the library."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from plenum.llm import tokenids
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenids, "_KEPT", 500)  # ids are forgotten and found again
+    rng = random.Random(1)
+    parts = [*"abcXYZ ÀéßŁİıǅµªº×÷12٣,.;'\"!?-_<|>\n\t\r\x85\xa0 　​́Жя中😀#$%&", "'s", "'re", "'S", "  ", "<|endoftext|>", "<|startoftext|>", " the", "tion"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(8000)]
+    texts += ["two  <|endoftext|>  ends", "<|endoftext|>", "a<|startoftext|>b", "word " * 5000, "x" * 3000]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        own = tokenids.Encoder(path)
+        want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+        for text, got, right in zip(texts, own.encode(texts), want, strict=True):
+            assert np.frombuffer(got, f"<u{own.width}").tolist() == right.ids, text
+    assert 50256 in tokenids.encoder(public_tokenizers.path("byte_bpe_50k.json"))._tokenizer.encode("<|endoftext|>", add_special_tokens=False).ids
