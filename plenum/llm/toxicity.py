@@ -263,7 +263,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     fold = fold_of(F.col("id"))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    joined = source.where(F.col("id").isNotNull() & (fold != 2)).join(known.where(fold != 2), "id")
+    # Labels grow with the corpus: the same join at every size, in which the side of the labels is hashed and no text is sorted.
+    joined = source.where(F.col("id").isNotNull() & (fold != 2)).join(known.where(fold != 2).hint("shuffle_hash"), "id")
     taught = written(joined.select("id", F.coalesce("text", F.lit("")).alias("text"), "label", (fold == 3).alias("kept")), "labelled")
     grams = written(gram_counts(source, taught), "grams")
     scores = written(gram_scores(grams, shared_backoff(grams)), "scores")
