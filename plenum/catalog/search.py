@@ -7,6 +7,8 @@ from plenum.catalog.bits import MEMBERSHIPS, MINISTERS, PERSONS, with_
 from plenum.functions.clean import ellipsize
 from plenum.operators import search as t
 from plenum.operators.aggregate import page_info
+from plenum.sources.scratch import scratch_folder
+from plenum.sources.search_index import open_index, write_index
 
 TOKENS = """
 words AS (
@@ -43,22 +45,88 @@ def _pages(s, d, q, limit, offset):
     return t.search_proposals(b.documents(s, d), _postings(s, d), q, limit, offset)
 
 
-# Occurrences of two words in order; a cover ends where the earlier of both last positions moves on.
-COVERS = """
-occ AS (SELECT doc_id, pos, term FROM words WHERE term IN ('with', 'that')),
-walk AS (
-  SELECT doc_id, pos, row_number() OVER w AS k,
-         least(max(CASE WHEN term = 'with' THEN pos END) OVER w, max(CASE WHEN term = 'that' THEN pos END) OVER w) AS s,
-         max(CASE WHEN term = 'with' THEN 1 END) OVER w + max(CASE WHEN term = 'that' THEN 1 END) OVER w AS seen
-  FROM occ WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-covers AS (
-  SELECT doc_id, s, min(pos) AS e FROM walk WHERE seen = 2 GROUP BY doc_id, s),
+def _stored(s, d):
+    """The index of all documents, written and opened again."""
+    path = scratch_folder(s, "search-index")
+    write_index(_postings(s, d), path)
+    return open_index(s, path)
+
+
+def covers(elements, clauses):
+    """Ranked documents: elements are words or phrases of words that follow each other, clauses the numbers of elements of each alternative.
+
+    At each place where an occurrence ends, the cover's start is the latest start of an alternative, that is the earliest of its elements' last
+    starts; a start has one cover, the shortest.
+    """
+    def occurrences(i, words):
+        joins = " ".join(
+            f"JOIN words w{k} ON w{k}.doc_id = w0.doc_id AND w{k}.pos = w0.pos + {k} AND w{k}.term = '{w}'" for k, w in enumerate(words) if k
+        )
+        return f"SELECT w0.doc_id, w0.pos + {len(words) - 1} AS e, w0.pos AS s, {i} AS i FROM words w0 {joins} WHERE w0.term = '{words[0]}'"
+
+    split = [e.split() for e in elements]
+    terms = ", ".join(f"'{w}'" for w in sorted({w for e in split for w in e}))
+    n = range(len(elements))
+    starts = [f"least({', '.join(f'l{i}' for i in c)})" if len(c) > 1 else f"l{c[0]}" for c in clauses]
+    return f"""
+occ AS ({' UNION ALL '.join(occurrences(i, e) for i, e in enumerate(split))}),
+ends AS (SELECT doc_id, e, {', '.join(f'max(CASE WHEN i = {i} THEN s END) AS s{i}' for i in n)} FROM occ GROUP BY doc_id, e),
+walk AS (SELECT doc_id, e, {', '.join(f'coalesce(max(s{i}) OVER w, -1) AS l{i}' for i in n)}
+         FROM ends WINDOW w AS (PARTITION BY doc_id ORDER BY e)),
+found AS (SELECT doc_id, e, {f"greatest({', '.join(starts)})" if len(starts) > 1 else starts[0]} AS s FROM walk),
+covers AS (SELECT doc_id, s, min(e) AS e FROM found WHERE s > 0 GROUP BY doc_id, s),
+hits AS (SELECT doc_id, pos FROM words WHERE term IN ({terms})),
 scored AS (
-  SELECT c.doc_id, 0.1 / (1 + (c.e - c.s) - (count(*) - 1)) AS score
-  FROM covers c JOIN occ o ON o.doc_id = c.doc_id AND o.pos BETWEEN c.s AND c.e GROUP BY c.doc_id, c.s, c.e),
+  SELECT c.doc_id, 0.1 / (1 + greatest((c.e - c.s) - (count(*) - 1), 0)) AS score
+  FROM covers c JOIN hits o ON o.doc_id = c.doc_id AND o.pos BETWEEN c.s AND c.e GROUP BY c.doc_id, c.s, c.e),
 ranked AS (SELECT doc_id, sum(score) AS rank FROM scored GROUP BY doc_id)"""
 
 
+COVERS = covers(["with", "that"], [[0, 1]])
+
+
+def _rank(q, elements, clauses, index=_postings):
+    return (
+        lambda s, d: t.match_docs(index(s, d), t.parse_query(q)).withColumn("rank", F.round("rank", 6)),
+        with_(TOKENS, covers(elements, clauses)) + "SELECT doc_id, round(rank, 6) AS rank FROM ranked",
+    )
+
+
+def _page(s, d, index):
+    return t.search_proposals(b.documents(s, d), index(s, d), "with that", 10, 10).select(
+        "id", "ptype", "status", F.date_format("date", "yyyy-MM-dd").alias("date"), "title", "content_snippet",
+        F.round("rank", 6).alias("rank"), "total_hits",
+    )
+
+
+def _marked(text):
+    return f"""array_to_string(list_transform(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+'),
+      lambda x: CASE WHEN lower(x) IN ('with', 'that') THEN '<mark>' || x || '</mark>' ELSE x END), '')"""
+
+
+# The stretch of 30 words with the most matches, the first of equal ones, its matches in the middle.
+SNIPPETS = f"""
+split AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents),
+spots AS (SELECT doc_id, text, w, list_filter(range(0, len(w)), lambda i: regexp_matches(
+         lower(w[i + 1]), '(^|[^\\p{{L}}\\p{{N}}])(with|that)($|[^\\p{{L}}\\p{{N}}])')) AS m FROM split),
+counted AS (SELECT doc_id, i, (SELECT count(*) FROM unnest(m) AS u(j) WHERE j >= i AND j < i + 30) AS n,
+                   (SELECT max(j) FROM unnest(m) AS u(j) WHERE j < i + 30) AS last_one
+            FROM (SELECT doc_id, m, unnest(m) AS i FROM spots)),
+best AS (SELECT doc_id, i, last_one FROM counted QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) = 1),
+placed AS (SELECT a.doc_id, a.text, a.w, greatest(0, least(b.i - (30 - (b.last_one - b.i + 1)) // 2, len(a.w) - 30)) AS first
+           FROM spots a JOIN best b USING (doc_id)),
+snippets AS (SELECT doc_id, {_marked("array_to_string(w[first + 1 : first + 30], ' ')")} AS content_snippet,
+                    {_marked("split_part(text, chr(10), 1)")} AS title FROM placed)"""
+PAGE = (
+    with_(TOKENS, COVERS, SNIPPETS)
+    + """SELECT d.doc_id AS id, d.lang AS ptype, d.source AS status, n.title, n.content_snippet,
+    strftime(DATE '2024-01-01' + (d.doc_id % 365)::INT, '%Y-%m-%d') AS date, round(r.rank, 6) AS rank,
+    (SELECT count(*) FROM ranked) AS total_hits
+    FROM ranked r JOIN documents d USING (doc_id) JOIN snippets n USING (doc_id)
+    ORDER BY r.rank DESC, date DESC, d.doc_id LIMIT 10 OFFSET 10"""
+)
+
+
 def _groups(s, d):
     return b.memberships(s, d).select(F.col("pg_id").alias("id"), F.col("pg_id").alias("name")).distinct()
 
@@ -107,7 +175,10 @@ QUERIES = {
         + """SELECT doc_id, term, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos
         FROM words GROUP BY doc_id, term""",
     ),
-    "search_match_and": (_match("with that"), _match_sql(f"{_has('with')} AND {_has('that')}")),
+    "search_match_and": (
+        _match("with that"),
+        with_(TOKENS) + "SELECT doc_id FROM words WHERE term IN ('with', 'that') GROUP BY doc_id HAVING count(DISTINCT term) = 2",
+    ),
     "search_match_or": (_match("queque or that"), _match_sql(f"{_has('queque')} OR {_has('that')}")),
     "search_match_not": (_match("with -that"), _match_sql(f"{_has('with')} AND NOT {_has('that')}")),
     "search_match_only_not": (_match("-the"), _match_sql(f"NOT {_has('the')}")),
@@ -120,22 +191,18 @@ QUERIES = {
         lambda s, d: t.match_docs(_postings(s, d), t.parse_query("with")).withColumn("rank", F.round("rank", 6)),
         with_(TOKENS) + "SELECT doc_id, round(0.1 * count(*), 6) AS rank FROM words WHERE term = 'with' GROUP BY 1",
     ),
-    "search_rank_two_terms": (
-        lambda s, d: t.match_docs(_postings(s, d), t.parse_query("with that")).withColumn("rank", F.round("rank", 6)),
-        with_(TOKENS, COVERS) + "SELECT doc_id, round(rank, 6) AS rank FROM ranked",
-    ),
-    "search_page": (
-        lambda s, d: _pages(s, d, "with that", 10, 10).select(
-            "id", "ptype", "status", F.date_format("date", "yyyy-MM-dd").alias("date"),
-            F.round("rank", 6).alias("rank"), "total_hits",
-        ),
-        with_(TOKENS, COVERS)
-        + """SELECT d.doc_id AS id, d.lang AS ptype, d.source AS status,
-        strftime(DATE '2024-01-01' + (d.doc_id % 365)::INT, '%Y-%m-%d') AS date, round(r.rank, 6) AS rank,
-        (SELECT count(*) FROM ranked) AS total_hits
-        FROM ranked r JOIN documents d USING (doc_id)
-        ORDER BY r.rank DESC, date DESC, d.doc_id LIMIT 10 OFFSET 10""",
+    "search_rank_two_terms": _rank("with that", ["with", "that"], [[0, 1]]),
+    "search_rank_three_terms": _rank("with that by", ["with", "that", "by"], [[0, 1, 2]]),
+    "search_rank_phrase": _rank('"of the" with', ["of the", "with"], [[0, 1]]),
+    "search_rank_or": _rank('"of the" with or by that or der', ["of the", "with", "by", "that", "der"], [[0, 1], [2, 3], [4]]),
+    "search_stored_rank": _rank('"of the" with', ["of the", "with"], [[0, 1]], _stored),
+    "search_stored_terms": (
+        lambda s, d: _stored(s, d).dictionary(["with", "that", "der", "no such word"]),
+        with_(TOKENS) + """SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS hits FROM words
+        WHERE term IN ('with', 'that', 'der', 'no such word') GROUP BY term""",
     ),
+    "search_page": (lambda s, d: _page(s, d, _postings), PAGE),
+    "search_stored_page": (lambda s, d: _page(s, d, _stored), PAGE),
     "search_title_marks": (
         lambda s, d: b.documents(s, d).select("id", t.mark_terms("title", ["the", "la"]).alias("title")),
         """SELECT doc_id AS id, regexp_replace(split_part(text, chr(10), 1),
@@ -149,7 +216,11 @@ QUERIES = {
         lambda s, d: _pages(s, d, "with that", 50, 0).select(
             "id", ellipsize("content_snippet").alias("content_snippet"), "title"
         ),
-        None,
+        with_(TOKENS, COVERS, SNIPPETS)
+        + """SELECT id, title, CASE WHEN regexp_matches(t, '^[a-z]') THEN '...' ELSE '' END || t ||
+        CASE WHEN right(t, 1) IN ('.', ',', '!', '?', ';', ':') THEN '' ELSE '...' END AS content_snippet
+        FROM (SELECT r.doc_id AS id, n.title, n.content_snippet AS t FROM ranked r JOIN documents d USING (doc_id) JOIN snippets n USING (doc_id)
+              ORDER BY r.rank DESC, d.doc_id % 365 DESC, d.doc_id LIMIT 50)""",
     ),
     "snippet_ellipsis": (
         lambda s, d: b.documents(s, d).select("id", ellipsize(F.left("summary", F.lit(60))).alias("snippet")),

@@ -3,7 +3,8 @@
 Text is cut into lower-case runs of letters and digits, numbered from 1. The
 index is a postings table (doc_id, segment, term, positions); a document is one
 segment unless its appended name list is too long for one row, in which case
-the rest of the list forms further segments.
+the rest of the list forms further segments, whose positions go on where the
+segment before ends.
 """
 
 from __future__ import annotations
@@ -12,19 +13,22 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.functions.clean import boost_score, ilike_match, text_concat
 from plenum.operators.aggregate import agg_names, page, with_total
 from plenum.operators.nested import NEST_LIMIT, spread
 from plenum.operators.temporal import latest_interval
+from plenum.sources.search_index import SearchIndex
 
 SEPARATORS = r"[^\p{L}\p{N}]+"
 # Weight of an unlabelled word in the ranking (fixed value).
 WORD_WEIGHT = 0.1
 POSITION = "array<int>"
 SPAN = "array<struct<e:int,s:int>>"
+# Document ids that are broadcast at most.
+FEW = 100_000
 
 
 def tokens(col: str | Column) -> Column:
@@ -116,8 +120,18 @@ def proposal_docs(
 
 
 def build_postings(docs: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
-    """Postings of documents (doc_id, segment, text). Dropped stop words keep their position."""
-    exploded = spread(docs, ["doc_id", "segment"], tokens("text"), "term", "pos")
+    """Postings of documents (doc_id, segment, text). Dropped stop words keep their position.
+
+    Only documents with further segments are joined with the words before these.
+    """
+    later = docs.where(F.col("segment") > 0)
+    sizes = docs.join(later.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "segment", F.size(tokens("text")).alias("_n"))
+    earlier = Window.partitionBy("doc_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("doc_id", "segment", F.sum("_n").over(earlier).alias("_before")).where(F.col("segment") > 0)
+    words = ["doc_id", "segment"], tokens("text"), "term", "pos"
+    first = spread(docs.where(F.col("segment") == 0), *words)
+    rest = spread(later, *words).join(before, ["doc_id", "segment"]).withColumn("pos", F.col("pos") + F.col("_before"))
+    exploded = first.unionByName(rest.select(*first.columns))
     if stop_words:
         exploded = exploded.where(~F.col("term").isin(list(stop_words)))
     return exploded.groupBy("doc_id", "segment", "term").agg(
@@ -128,18 +142,17 @@ def build_postings(docs: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame
 # --- matching and ranking -----------------------------------------------------------------
 
 
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda p: p + F.lit(by))
+
+
 def _spans(element: Element, positions: Callable[[str], Column]) -> Column:
     """Where an element occurs: array of (end, start)."""
-    first, rest = element.words[0][1], element.words[1:]
     last = element.words[-1][0]
-
-    def follows(p: Column) -> Column:
-        ok = F.lit(True)
-        for offset, term in rest:
-            ok = ok & F.array_contains(positions(term), p + F.lit(offset))
-        return ok
-
-    at = F.filter(positions(first), follows) if rest else positions(first)
+    at = positions(element.words[0][1])
+    for offset, term in element.words[1:]:
+        # Lists moved back by the word's place in the phrase meet by hashing.
+        at = F.array_intersect(at, _moved(positions(term), -offset))
     return F.transform(at, lambda p: F.struct((p + F.lit(last)).alias("e"), p.alias("s"))).cast(SPAN)
 
 
@@ -165,8 +178,11 @@ def cover_density(query: Query, spans: Callable[[Element], Column], positions: C
     """Sum over the minimal covers of weight / (1 + words inside that are no match).
 
     A cover is a shortest stretch that holds all wanted elements of some
-    alternative. Occurrences are walked in order of their end, keeping the last
-    start of each element; a cover ends wherever the latest possible start moves.
+    alternative. One sweep over the sorted hits and ends of occurrences counts
+    the hits so far and keeps, for each element, the last start and the hits
+    before it; a cover ends wherever the latest possible start moves. As hits
+    before a place never fall, the hits before that start are found like the
+    start itself.
     """
     wanted = [[e for e in c if not e.negated] for c in query.clauses]
     wanted = [c for c in wanted if c]
@@ -176,36 +192,82 @@ def cover_density(query: Query, spans: Callable[[Element], Column], positions: C
         return F.size(spans(wanted[0][0])) * F.lit(WORD_WEIGHT)
 
     elements = list(dict.fromkeys(e for c in wanted for e in c))
+    terms = list(dict.fromkeys(t for e in elements for _, t in e.words))
+    # Hits of a stretch as long as the longest phrase are remembered, so that an occurrence's own hits can be counted.
+    width = 1 + max(e.words[-1][0] for e in elements)
+    HIT, END, LOOK = 0, 1, 2
 
-    def tagged(i: int) -> Column:
+    def points(places: Column, kind: int, i: int, end, start) -> Column:
         return F.transform(
-            spans(elements[i]), lambda x: F.struct(x["e"].alias("e"), x["s"].alias("s"), F.lit(i).alias("i"))
+            places, lambda x: F.struct(end(x).alias("e"), F.lit(kind).alias("k"), F.lit(i).alias("i"), start(x).alias("s"))
         )
 
-    events = F.array_sort(F.concat(*[tagged(i) for i in range(len(elements))]))
-    hits = F.concat(*[positions(t) for t in dict.fromkeys(t for e in elements for _, t in e.words)])
-    none = F.array(*[F.lit(-1) for _ in elements])
-    start_state = F.struct(none.alias("last"), F.lit(-1).alias("prev"), F.lit(0.0).alias("score"))
+    ends = [points(spans(e), END, i, lambda x: x["e"], lambda x: x["s"]) for i, e in enumerate(elements)]
+    looks = F.array_distinct(F.transform(F.flatten(F.array(*ends)), lambda x: x["e"]))
+    events = F.array_sort(F.concat(
+        *[points(positions(t), HIT, -1, lambda x: x, lambda x: x) for t in terms], *ends,
+        points(looks, LOOK, -1, lambda x: x, lambda x: x),
+    ))
+    start_state = F.struct(
+        F.lit(0).alias("hits"), F.array().cast(POSITION).alias("recent"),
+        F.array(*[F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("n")) for _ in elements]).alias("last"),
+        F.lit(-1).alias("prev"), F.lit(0.0).alias("score"),
+    )
 
-    def step(state: Column, ev: Column) -> Column:
-        last = F.transform(state["last"], lambda x, i: F.when(i == ev["i"], ev["s"]).otherwise(x))
+    def latest(last: Column, field: str) -> Column:
         # -1 in any element keeps the alternative's start at -1.
         starts = []
         for clause in wanted:
-            each = [F.get(last, elements.index(e)) for e in clause]
+            each = [F.get(last, elements.index(e))[field] for e in clause]
             starts.append(F.least(*each) if len(each) > 1 else each[0])
-        start = F.greatest(*starts) if len(starts) > 1 else starts[0]
-        inside = F.size(F.filter(hits, lambda p: (p >= start) & (p <= ev["e"])))
-        noise = F.greatest(ev["e"] - start - (inside - 1), F.lit(0))
-        gain = F.when(start > state["prev"], F.lit(WORD_WEIGHT) / (F.lit(1) + noise)).otherwise(F.lit(0.0))
+        return F.greatest(*starts) if len(starts) > 1 else starts[0]
+
+    def step(state: Column, ev: Column) -> Column:
+        hit, end, look = ev["k"] == HIT, ev["k"] == END, ev["k"] == LOOK
+        recent = F.when(
+            hit, F.concat(F.filter(state["recent"], lambda p: p > ev["e"] - F.lit(width)), F.array(ev["e"]))
+        ).otherwise(state["recent"])
+        before = state["hits"] - F.size(F.filter(state["recent"], lambda p: p >= ev["s"]))
+        last = F.when(end, F.transform(
+            state["last"], lambda x, i: F.when(i == ev["i"], F.struct(ev["s"].alias("s"), before.alias("n"))).otherwise(x)
+        )).otherwise(state["last"])
+        start = latest(state["last"], "s")
+        noise = F.greatest(ev["e"] - start - (state["hits"] - latest(state["last"], "n") - 1), F.lit(0))
+        moved = look & (start > state["prev"])
         return F.struct(
-            last.alias("last"), F.greatest(state["prev"], start).alias("prev"), (state["score"] + gain).alias("score")
+            (state["hits"] + hit.cast("int")).alias("hits"), recent.alias("recent"), last.alias("last"),
+            F.when(moved, start).otherwise(state["prev"]).alias("prev"),
+            (state["score"] + F.when(moved, F.lit(WORD_WEIGHT) / (F.lit(1) + noise)).otherwise(F.lit(0.0))).alias("score"),
         )
 
     return F.aggregate(events, start_state, step, lambda s: s["score"])
 
 
-def match_docs(postings: DataFrame, query: Query | None, docs: DataFrame | None = None) -> DataFrame:
+def _needed(query: Query) -> list[str]:
+    """Terms that every matching document has."""
+    per_clause = [{t for e in c if not e.negated for _, t in e.words} for c in query.clauses]
+    return sorted(set.intersection(*per_clause))
+
+
+def _postings_of(postings: DataFrame | SearchIndex, query: Query) -> DataFrame:
+    """Postings of the query's terms.
+
+    A stored index knows how many documents a term has. If every match must hold a term that few have, other postings are read for those
+    documents only; the list is broadcast, as its size is known to be `FEW` ids at most.
+    """
+    if not isinstance(postings, SearchIndex):
+        return postings.where(F.col("term").isin(query.terms))
+    counts = postings.documents_of(query.terms)
+    rows = postings.postings(query.terms)
+    needed = _needed(query)
+    rarest = min(needed, key=lambda t: (counts[t], t)) if needed else None
+    if rarest is None or counts[rarest] > FEW or len(query.terms) == 1:
+        return rows
+    few = postings.postings([rarest]).select("doc_id").distinct()
+    return rows.join(F.broadcast(few), "doc_id", "left_semi")
+
+
+def match_docs(postings: DataFrame | SearchIndex, query: Query | None, docs: DataFrame | None = None) -> DataFrame:
     """(doc_id, rank) of the matching documents.
 
     Reads the postings of the query's terms only and meets them in one grouping
@@ -213,16 +275,20 @@ def match_docs(postings: DataFrame, query: Query | None, docs: DataFrame | None
     negations.
     """
     if query is None:
-        return postings.select("doc_id", F.lit(0.0).alias("rank")).limit(0)
+        known = postings.postings([]) if isinstance(postings, SearchIndex) else postings
+        return known.select("doc_id", F.lit(0.0).alias("rank")).limit(0)
     terms, elements = query.terms, query.elements
 
     def positions(t: str) -> Column:
-        return F.coalesce(F.col(f"_p{terms.index(t)}"), F.array().cast(POSITION))
+        return F.col(f"_p{terms.index(t)}")
 
     found = (
-        postings.where(F.col("term").isin(terms))
-        .groupBy("doc_id", "segment")
-        .agg(*[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"_p{i}") for i, t in enumerate(terms)])
+        _postings_of(postings, query)
+        .groupBy("doc_id")
+        .agg(*[
+            F.flatten(F.collect_list(F.when(F.col("term") == t, F.col("positions")))).cast(POSITION).alias(f"_p{i}")
+            for i, t in enumerate(terms)
+        ])
     )
     spanned = found.select(
         "doc_id", *[f"_p{i}" for i in range(len(terms))],
@@ -232,13 +298,9 @@ def match_docs(postings: DataFrame, query: Query | None, docs: DataFrame | None
     def spans(e: Element) -> Column:
         return F.col(f"_s{elements.index(e)}")
 
-    per_doc = (
-        spanned.select(
-            "doc_id", cover_density(query, spans, positions).alias("_rank"),
-            *[(F.size(spans(e)) > 0).alias(f"_h{i}") for i, e in enumerate(elements)],
-        )
-        .groupBy("doc_id")
-        .agg(F.sum("_rank").alias("rank"), *[F.max(f"_h{i}").alias(f"_h{i}") for i in range(len(elements))])
+    per_doc = spanned.select(
+        "doc_id", cover_density(query, spans, positions).alias("rank"),
+        *[(F.size(spans(e)) > 0).alias(f"_h{i}") for i, e in enumerate(elements)],
     )
     if query.needs_all_docs:
         if docs is None:
@@ -317,7 +379,7 @@ def with_headline(df: DataFrame, col: str, terms: Sequence[str], out: str, max_w
 
 
 def search_proposals(
-    proposals: DataFrame, postings: DataFrame, q: str | None, limit: int = 50, offset: int = 0,
+    proposals: DataFrame, postings: DataFrame | SearchIndex, q: str | None, limit: int = 50, offset: int = 0,
     stop_words: Sequence[str] = (),
 ) -> DataFrame:
     """A page of matching proposals by rank and date, with marked title and snippet and the total.

@@ -1,10 +1,10 @@
-"""Sinks: typed tables, documents routed by type, the search index."""
+"""Sinks: typed tables, documents routed by type. The search index has a module of its own."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions.clean import doc_type
@@ -42,23 +42,3 @@ def route_by_type(
         .partitionBy("doctype")
         .parquet(path)
     )
-
-
-def term_bucket(term: str | Column, buckets: int = 64) -> Column:
-    return F.pmod(F.crc32(F.encode(F.col(term) if isinstance(term, str) else term, "UTF-8")), F.lit(buckets))
-
-
-def write_postings(postings: DataFrame, path: str, buckets: int = 64, salts: int = 8) -> None:
-    """Search index on disk: partitioned by term bucket, sorted by term inside a file.
-
-    A query reads only its terms' buckets and, by file statistics, row groups. A
-    salt by document keeps a very common term from landing in one task.
-    """
-    (
-        postings.withColumn("bucket", term_bucket("term", buckets))
-        .repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-        .sortWithinPartitions("bucket", "term", "doc_id")
-        .write.mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(path)
-    )

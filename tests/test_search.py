@@ -1,6 +1,8 @@
 """Search on a small corpus, checked by brute force."""
 
+import random
 import re
+import time
 from datetime import date
 
 import pytest
@@ -90,6 +92,63 @@ def test_postings_filter_is_applied_before_grouping(postings, spark):
     assert plan.index("Aggregate [doc_id#") < plan.rindex("Filter")
 
 
+def brute_covers(text, clauses):
+    """Sum over the minimal covers of alternatives, each a list of phrases."""
+    w = words(text)
+    terms = {t for c in clauses for p in c for t in words(p)}
+    places = {p: [(i, i + len(words(p)) - 1) for i in range(len(w)) if w[i:i + len(words(p))] == words(p)] for c in clauses for p in c}
+    stretches = [
+        (i, j) for i in range(len(w)) for j in range(i, len(w))
+        if any(all(any(i <= a and z <= j for a, z in places[p]) for p in c) for c in clauses)
+    ]
+    minimal = [x for x in stretches if not any(y != x and x[0] <= y[0] and y[1] <= x[1] for y in stretches)]
+    return sum(0.1 / (1 + (j - i) - (sum(t in terms for t in w[i:j + 1]) - 1)) for i, j in minimal)
+
+
+RANKED = {
+    '"a b" c': [["a b", "c"]], "a b c": [["a", "b", "c"]], '"a b" or c d': [["a b"], ["c", "d"]], '"a a" b': [["a a", "b"]],
+    '"a b" "b c"': [["a b", "b c"]], 'a or "b a" c or d': [["a"], ["b a", "c"], ["d"]], '"a b a" a': [["a b a", "a"]],
+}
+
+
+@pytest.mark.parametrize("q", list(RANKED))
+def test_rank_of_phrases_and_alternatives(spark, q):
+    rng = random.Random(q)
+    texts = {i: " ".join(rng.choice("aabbccde") for _ in range(rng.randint(0, 25))) for i in range(60)}
+    df = spark.createDataFrame([(k, 0, v) for k, v in texts.items()], "doc_id int, segment bigint, text string")
+    got = {r.doc_id: round(r["rank"], 9) for r in s.match_docs(s.build_postings(df), s.parse_query(q)).collect()}
+    want = {k: round(brute_covers(t, RANKED[q]), 9) for k, t in texts.items()}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_phrases_and_covers_go_across_parts(spark):
+    rows = [(1, 0, "a b c"), (1, 1, "d e a"), (1, 2, "b x"), (2, 0, "e"), (2, 1, "a b")]
+    split = s.build_postings(spark.createDataFrame(rows, "doc_id int, segment bigint, text string"))
+    whole = s.build_postings(spark.createDataFrame([(1, 0, "a b c d e a b x"), (2, 0, "e a b")], "doc_id int, segment bigint, text string"))
+    for q in ['"c d"', '"e a b"', '"a b"', "c d", "a e x", '"a b x" or "e a"']:
+        found = [sorted((r.doc_id, round(r["rank"], 9)) for r in s.match_docs(p, s.parse_query(q)).collect()) for p in (split, whole)]
+        assert found[0] == found[1] and found[0], q
+
+
+def test_phrase_of_very_many_hits_takes_linear_time(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, 0, "of the " * n)], "doc_id int, segment bigint, text string")
+        postings = s.build_postings(df).cache()
+        postings.count()
+        began = time.time()
+        assert s.match_docs(postings, s.parse_query('"of the" the')).first()["rank"] > 0
+        return time.time() - began
+
+    seconds(100)
+    small, large = min(seconds(10_000) for _ in range(2)), min(seconds(40_000) for _ in range(2))
+    assert large < 8 * small + 1
+
+
+def test_one_segment_documents_meet_no_join(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id int, text string").select("doc_id", F.lit(0).cast("long").alias("segment"), "text")
+    assert "Join" not in s.build_postings(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def proposals(spark):
     filler = " ".join(f"w{i}" for i in range(60))
     return spark.createDataFrame(

@@ -1,6 +1,7 @@
 """Readers and writers on small files; builders on hand-written register and minutes documents."""
 
 import json
+import re
 from datetime import date
 
 import pytest
@@ -11,6 +12,7 @@ from plenum.functions.clean import parse_money
 from plenum.operators.search import build_postings, match_docs, parse_query
 from plenum.plans import chamber, disclosure, documents, minutes, people
 from plenum.sources import readers, writers
+from plenum.sources.search_index import open_index, write_index
 
 
 def test_tsv_with_quoted_multiline_cells(spark, tmp_path):
@@ -100,11 +102,26 @@ def test_routing_and_tables(spark, tmp_path):
 
 
 def test_index_on_disk(spark, tmp_path):
-    df = spark.createDataFrame([(i, 0, f"w{i} common") for i in range(50)], "doc_id int, segment bigint, text string")
-    writers.write_postings(build_postings(df), str(tmp_path / "p"), buckets=4, salts=2)
-    index = readers.load(spark, str(tmp_path / "p"))
+    df = spark.createDataFrame([(i, 0, f"w{i} common" + " both" * (i % 2)) for i in range(50)], "doc_id int, segment bigint, text string")
+    write_index(build_postings(df), str(tmp_path / "p"), buckets=4)
+    index = open_index(spark, str(tmp_path / "p"))
     assert match_docs(index, parse_query("w3")).first().doc_id == 3
     assert match_docs(index, parse_query("common -w3")).count() == 49
+    assert match_docs(index, parse_query("nowhere")).count() == 0 and match_docs(index, None).count() == 0
+    assert index.documents_of(["common", "both", "w7", "nowhere"]) == {"common": 50, "both": 25, "w7": 1, "nowhere": 0}
+    assert {r.doc_id for r in match_docs(index, parse_query("w3 common or both w4")).collect()} == {3}
+
+
+def test_index_reads_wanted_buckets_and_terms_only(spark, tmp_path):
+    df = spark.createDataFrame([(i, 0, f"w{i} common") for i in range(50)], "doc_id int, segment bigint, text string")
+    index = write_index(build_postings(df), str(tmp_path / "p"), buckets=16)
+    plan = index.postings(["common"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ (IN|=|INSET)", plan)
+    assert "EqualTo(term,common)" in plan
+    # The rare word's documents are broadcast, so the common word's postings are cut before they are grouped.
+    both = match_docs(index, parse_query("common w3"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in both and "LeftSemi" in both
+    assert len(list((tmp_path / "p" / "postings").glob("bucket=*"))) > 8
 
 
 MEMBER = """<Henkilo><HenkiloNro>5</HenkiloNro><a>Anna</a><b>Berg</b><c/><d/><e/><f>09</f><g/><h/><i>Juristi</i><j>1970</j>
