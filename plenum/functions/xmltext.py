@@ -4,6 +4,12 @@ Documents are many and large, their schema is open, and most jobs need a few
 small pieces: those are cut with one regular expression each, inside the scan
 stage, with no DOM per expression. Prefixes are ignored; an element must not
 contain another of its own name (none of those cut here does).
+
+What is cut must be in canonical form: attributes in double quotes without a
+``>`` inside, no comments, CDATA sections, processing instructions or numeric
+references. ``canonical`` brings any well-formed document into it; the builders
+do that first. Documents of a known shape are parsed by a schema instead
+(``sources.readers.parse_xml``).
 """
 
 from __future__ import annotations
@@ -18,6 +24,62 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# A tag with quoted values that may hold any sign, and what else a document is made of.
+_TAG = r"""<[^<>"'!?](?:[^<>"']|"[^"]*+"|'[^']*+')*+>"""
+_PIECES = rf"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>\[]*(?:\[.*?\])?\s*>|{_TAG}|[^<]+|<"
+_NEEDED = r"""=\s*'|\s=|=\s+"|<!|<\?|&#|="[^"]*>"""
+_SIGNS = {34: "&quot;", 38: "&amp;", 39: "&apos;", 60: "&lt;", 62: "&gt;"}
+
+
+def _replaced(c: Column, signs: str) -> Column:
+    named = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;"}
+    for sign in signs:
+        c = F.replace(c, F.lit(sign), F.lit(named[sign]))
+    return c
+
+
+def _canonical_piece(t: Column) -> Column:
+    def quoted(v: Column) -> Column:
+        inner = F.substring(v, F.lit(2), F.length(v) - 2)
+        return (
+            F.when(v.startswith('"'), F.concat(F.lit('"'), _replaced(inner, "<>"), F.lit('"')))
+            .when(v.startswith("'"), F.concat(F.lit('"'), _replaced(inner, '<>"'), F.lit('"')))
+            .otherwise(F.regexp_replace(v, r"\s*=\s*", "="))
+        )
+
+    values = F.regexp_extract_all(t, F.lit(r"""(?s)"[^"]*+"|'[^']*+'|[^"']++"""), 0)
+    return (
+        F.when(t.startswith("<![CDATA["), _replaced(F.substring(t, F.lit(10), F.length(t) - 12), "&<>"))
+        .when(t.startswith("<!") | t.startswith("<?"), "")
+        .when(t.startswith("<") & (F.contains(t, F.lit("'")) | F.contains(t, F.lit('"'))), F.array_join(F.transform(values, quoted), ""))
+        .otherwise(t)
+    )
+
+
+def _numbered(c: Column) -> Column:
+    """Numeric references as the characters they stand for; those of signs that matter as named ones, impossible ones as they are."""
+
+    def one(t: Column) -> Column:
+        hexadecimal = t.startswith("&#x") | t.startswith("&#X")
+        code = F.when(hexadecimal, F.conv(F.regexp_extract(t, "([0-9a-fA-F]+);$", 1), 16, 10)).otherwise(
+            F.regexp_extract(t, "([0-9]+);$", 1)
+        ).try_cast("int")
+        possible = ((code >= 32) & (code < 0xD800)) | ((code >= 0xE000) & (code < 0x110000)) | code.isin(9, 10, 13)
+        named = F.try_element_at(F.create_map(*[F.lit(x) for pair in _SIGNS.items() for x in pair]), code)
+        sign = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(t.startswith("&#") & possible, F.coalesce(named, sign)).otherwise(t)
+
+    pieces = F.regexp_extract_all(c, F.lit(r"&#[0-9]+;|&#[xX][0-9a-fA-F]+;|[^&]+|&"), 0)
+    return F.when(F.contains(c, F.lit("&#")), F.array_join(F.transform(pieces, one), "")).otherwise(c)
+
+
+def canonical(col: str | Column) -> Column:
+    """The same document in the form that this module cuts; one that is in it already is only looked at."""
+    c = _c(col)
+    pieces = F.transform(F.regexp_extract_all(c, F.lit(_PIECES), 0), _canonical_piece)
+    return F.when(c.rlike(_NEEDED), F.transform(F.array(F.array_join(pieces, "")), _numbered)[0]).otherwise(c)
+
+
 def element_pattern(*tags: str) -> str:
     one = [rf"<{PREFIX}{t}(?=[\s/>])(?:[^>]*/>|[^>]*>.*?</{PREFIX}{t}\s*>)" for t in tags]
     return "(?s)" + "|".join(one)
@@ -53,7 +115,7 @@ def attribute(col: str | Column, name: str) -> Column:
 
 
 def unescape(col: str | Column) -> Column:
-    """The predefined entities; numeric ones stay, they are good Markdown."""
+    """The predefined entities; numeric ones are gone from canonical XML, and in HTML they are good Markdown."""
     c = _c(col)
     named = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
     for entity, char in named.items():

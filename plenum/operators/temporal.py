@@ -70,7 +70,7 @@ def distinct_values(df: DataFrame, *cols: str) -> DataFrame:
 def thread_roots(
     df: DataFrame,
     part: Sequence[str],
-    pos: str,
+    pos: str | Sequence[str],
     is_root: Column,
     id_col: str,
     out: str = "response_to",
@@ -78,23 +78,26 @@ def thread_roots(
 ) -> DataFrame:
     """Carry the id of the last root in document order to the rows after it.
 
-    A document is cut into blocks of ``block`` positions: the last root of each
+    ``pos`` is the place, or several columns of which the last counts within the
+    others. A document is cut into blocks of ``block`` positions of the last: the last root of each
     block is found with a combinable aggregate, carried over the (far fewer)
     blocks, and only then filled in row by row inside a block. A document that
     holds a third of all rows is thus spread over many tasks. A row with no root
     before it becomes its own root.
     """
-    rows = df.withColumn("_blk", F.floor(F.col(pos) / F.lit(block))).withColumn(
+    *outer, inner = [pos] if isinstance(pos, str) else pos
+    block_key = [*outer, "_blk"]
+    rows = df.withColumn("_blk", F.floor(F.col(inner) / F.lit(block))).withColumn(
         "_root", F.when(is_root, F.col(id_col))
     )
-    blocks = rows.groupBy(*part, "_blk").agg(
-        F.max_by("_root", F.when(F.col("_root").isNotNull(), F.col(pos))).alias("_last")
+    blocks = rows.groupBy(*part, *block_key).agg(
+        F.max_by("_root", F.when(F.col("_root").isNotNull(), F.col(inner))).alias("_last")
     )
-    before = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(*part, "_blk", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    inside = Window.partitionBy(*part, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*part).orderBy(*block_key).rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(*part, *block_key, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    inside = Window.partitionBy(*part, *block_key).orderBy(inner).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.join(carried, [*part, "_blk"], "left")
+        rows.join(carried, [*part, *block_key], "left")
         .withColumn(
             out,
             F.coalesce(F.last("_root", ignorenulls=True).over(inside), F.col("_carried"), F.col(id_col)),

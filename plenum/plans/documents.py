@@ -10,7 +10,7 @@ from plenum.functions.clean import (
     blank_to_null, date_prefix, lonely_empties, lower_id, map_status, numeric_id,
 )
 from plenum.functions.markup import law_changes, sections_to_markdown
-from plenum.functions.xmltext import attribute, child_text, subtree, subtrees, text_of
+from plenum.functions.xmltext import attribute, canonical, child_text, subtree, subtrees, text_of
 from plenum.operators.nested import spread
 from plenum.operators.resolve import assign_key, exists_flag, lookup_first, resolve_signers
 from plenum.plans.minutes import metadata
@@ -43,11 +43,13 @@ def with_body(raw: DataFrame, kind: str, xml: str = "XmlData") -> DataFrame:
     ``id`` is the printed ``doc_id`` in lower case. The body is cut once, with
     no filter that the optimizer could push below it and compute again.
     """
+    raw = raw.withColumn(xml, canonical(xml))
     return spread(raw, _identified(raw, xml), _bodies(kind, xml), "body").withColumn("id", lower_id("doc_id"))
 
 
 def without_twin(raw: DataFrame, kind: str, xml: str = "XmlData") -> DataFrame:
     """Ids of documents that exist only without a body: faults of the source."""
+    raw = raw.withColumn(xml, canonical(xml))
     rows = raw.select(*_identified(raw, xml), F.get(_bodies(kind, xml), 0).alias("body"))
     return lonely_empties(rows.withColumn("id", lower_id("doc_id")), "id", "body")
 
@@ -116,7 +118,7 @@ def extract_participants(df: DataFrame, xml: str = "xml") -> DataFrame:
 
 def status_of(handling: DataFrame, xml: str = "XmlData") -> DataFrame:
     """(doc_id, code, seq): status code of each handling document; none means open."""
-    return handling.select(
+    return handling.withColumn(xml, canonical(xml)).select(
         F.col("Eduskuntatunnus").alias("doc_id"),
         attribute(subtree(xml, "EduskuntakasittelyPaatosKuvaus"), "eduskuntakasittelyPaatosKoodi").alias("code"),
         F.col("Id").alias("seq"),

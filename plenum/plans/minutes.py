@@ -10,13 +10,11 @@ from plenum.functions.clean import (
     assemble_bodies, assembly_code, blank_to_null, clean_title, date_prefix, has_note, helsinki_ts, lower_id,
     numeric_id, speech_id,
 )
-from plenum.functions.xmltext import attribute, child_text, own_text, subtree, subtrees
+from plenum.functions.xmltext import attribute, canonical, child_text, own_text, subtree, subtrees
 from plenum.operators.nested import spread
 from plenum.operators.temporal import thread_roots
 
 KEY = ["record_assembly_code", "record_number", "record_year"]
-# Positions inside a document: item * STRIDE + speech.
-STRIDE = 1_000_000
 
 
 def metadata(xml: str | Column, name: str) -> Column:
@@ -32,6 +30,7 @@ def rollcall_link(xml: str) -> Column:
 
 def keyed(raw: DataFrame, xml: str = "XmlData") -> DataFrame:
     """Add the record's key: assembly, number, year."""
+    raw = raw.withColumn(xml, canonical(xml))
     ident = subtree(xml, "EduskuntaTunniste")
     kind = F.coalesce(child_text(ident, "AsiakirjaTyyppiTeksti"), child_text(ident, "AsiakirjatyyppiKoodi"))
     return raw.select(
@@ -99,7 +98,7 @@ def build_speeches(raw: DataFrame, xml: str = "XmlData") -> DataFrame:
     started = attribute("speech", "puheenvuoroAloitusHetki")
     rows = spoken.select(
         *KEY, "agenda_item_parliament_id",
-        (F.col("item_pos").cast("long") * STRIDE + F.col("speech_pos")).alias("pos"),
+        "item_pos", "speech_pos",
         speech_id(started, attribute(subtree("speech", "PuheenvuoroOsa"), "muuTunnus")).alias("id"),
         numeric_id(attribute(subtree("speech", "Henkilo"), "muuTunnus")).alias("person_id"),
         role.alias("role"),
@@ -109,7 +108,7 @@ def build_speeches(raw: DataFrame, xml: str = "XmlData") -> DataFrame:
         child_text("speech", "TarkenneTeksti").alias("note"),
     ).where(F.col("person_id").isNotNull() & (F.col("role").isNull() | F.contains("role", F.lit("ministeri"))))
     is_root = ~F.col("note").eqNullSafe(schemas.RESPONSE_NOTE)
-    return thread_roots(rows, KEY, "pos", is_root, "id").select(
+    return thread_roots(rows, KEY, ["item_pos", "speech_pos"], is_root, "id").select(
         "id", "person_id", *KEY, "agenda_item_parliament_id", "start_time", "speech", "speech_type", "response_to"
     )
 
@@ -117,7 +116,7 @@ def build_speeches(raw: DataFrame, xml: str = "XmlData") -> DataFrame:
 def extract_absentees(raw: DataFrame, id_col: str = "Eduskuntatunnus", xml: str = "XmlData") -> DataFrame:
     """(id, person_id, work_related) per person named in a roll-call report."""
     people = F.flatten(F.transform(subtrees(xml, "Toimija"), lambda t: subtrees(t, "Henkilo")))
-    return spread(raw, [F.col(id_col).alias("id")], people, "p").select(
+    return spread(raw.withColumn(xml, canonical(xml)), [F.col(id_col).alias("id")], people, "p").select(
         "id",
         numeric_id(attribute("p", "muuTunnus")).alias("person_id"),
         has_note(F.transform(subtrees("p", "LisatietoTeksti"), own_text)).alias("work_related"),

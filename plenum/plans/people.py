@@ -1,7 +1,8 @@
 """The member register (one XML document per person) -> typed tables.
 
 Input: one row per person with person_id, first name, last name and the XML.
-Repeated elements are cut as arrays, so one child or many read the same.
+Documents are parsed by an explicit schema, of which Spark reads the fields that
+a builder needs; repeated elements are arrays, so one child or many read the same.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 
 from plenum import schemas
 from plenum.functions.clean import blank_to_null, complete_date, drop_sentinels, harmonize, map_role, parse_dmy
-from plenum.functions.xmltext import child_or_blank, cut, raw_attribute, subtrees
+from plenum.functions.xmltext import canonical, subtree
 from plenum.operators.aggregate import union_fill
-from plenum.operators.nested import concat_lists, spread
+from plenum.operators.nested import concat_lists
 from plenum.operators.resolve import assign_key, lookup_values, not_in
 from plenum.operators.temporal import distinct_values
+from plenum.sources.readers import parse_xml
 
 MEMBER_RAW = (
     "personId int, lastname string, firstname string, party string, minister string, phone string, email string, "
@@ -28,18 +30,36 @@ CHILDREN = {
 }
 
 
-def _children(col: str | Column, tag: str, fields: tuple[str, ...]) -> Column:
-    """Repeated elements as array<struct> of their children's texts, '' for a missing one."""
-    return F.transform(
-        subtrees(col, tag), lambda x: F.struct(*[child_or_blank(x, f).alias(f) for f in fields])
-    )
+# The parts of a member's document that are read by name (fixed values).
+_PERIODS = "Jasenyys: array<struct<AlkuPvm: string, LoppuPvm: string, Rooli: string>>"
+_SEATS = f"struct<Toimielin: array<struct<_OnkoValiokunta: string, Nimi: string, {_PERIODS}>>>"
+POSTS = "Jasenyys array<struct<Ministeriys: string, Nimi: string, Hallitus: string, AlkuPvm: string, LoppuPvm: string>>"
+RETIRED = "KansanedustajuusPaattynytPvm string"
+INTERESTS = "Sidonnaisuudet struct<Sidonnaisuus: array<struct<RyhmaOtsikko: string, Sidonta: string>>>"
+GROUPS = (
+    "Eduskuntaryhmat struct<NykyinenEduskuntaryhma: array<struct<Nimi: string, AlkuPvm: string>>, "
+    f"EdellisetEduskuntaryhmat: struct<Eduskuntaryhma: array<struct<Nimi: string, {_PERIODS}>>>>"
+)
+COMMITTEES = f"{RETIRED}, NykyisetToimielinjasenyydet {_SEATS}, AiemmatToimielinjasenyydet {_SEATS}"
+
+
+def _parsed(raw: DataFrame, xml: str, schema: str) -> DataFrame:
+    """(personId, doc): the fields of a schema."""
+    return parse_xml(raw.select("personId", xml), xml, schema).select("personId", "doc")
 
 
-PERIOD = ("AlkuPvm", "LoppuPvm", "Rooli")
+def _text(c: str) -> Column:
+    """Text of a field, '' without one."""
+    return _plain(F.col(c))
 
 
-def _retired(xml: str) -> Column:
-    return complete_date(F.regexp_extract(xml, r"<KansanedustajuusPaattynytPvm>([^<]*)<", 1), "start")
+def _plain(c: Column) -> Column:
+    """A parsed text has no markup left; what looks like it was written so."""
+    return F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))
+
+
+def _list(docs: DataFrame, path: str) -> Column:
+    return F.coalesce(F.col(path), F.array().cast(docs.select(path).schema[0].dataType))
 
 
 def build_persons(raw: DataFrame, photos: DataFrame | None = None, xml: str = "XmlDataFi") -> DataFrame:
@@ -66,30 +86,25 @@ def build_persons(raw: DataFrame, photos: DataFrame | None = None, xml: str = "X
 
 
 def build_ministers(raw: DataFrame, xml: str = "XmlDataFi") -> tuple[DataFrame, DataFrame]:
-    """(ministers, minister_positions); only posts with a ministry."""
-    posts = spread(
-        raw, ["personId"],
-        _children(
-            cut(xml, "ValtioneuvostonJasenyydet"), "Jasenyys", ("Ministeriys", "Nimi", "Hallitus", "AlkuPvm", "LoppuPvm")
-        ),
-        "p",
-    )
-    ministers = posts.where(F.col("p.Ministeriys") != "").select(
+    """(ministers, minister_positions); only posts with a ministry. Their list may stand anywhere, so it is cut out before it is parsed."""
+    posts_of = subtree(canonical(xml), "ValtioneuvostonJasenyydet")
+    docs = _parsed(raw.select("personId", posts_of.alias(xml)), xml, POSTS)
+    posts = docs.select("personId", F.explode("doc.Jasenyys").alias("p"))
+    ministers = posts.where(_text("p.Ministeriys") != "").select(
         F.col("personId").cast("int").alias("person_id"),
-        blank_to_null("p.Nimi").alias("minister_position"),
-        blank_to_null("p.Hallitus").alias("cabinet_id"),
-        complete_date("p.AlkuPvm", "start").alias("start_date"),
-        complete_date("p.LoppuPvm", "end").alias("end_date"),
+        blank_to_null(_text("p.Nimi")).alias("minister_position"),
+        blank_to_null(_text("p.Hallitus")).alias("cabinet_id"),
+        complete_date(_text("p.AlkuPvm"), "start").alias("start_date"),
+        complete_date(_text("p.LoppuPvm"), "end").alias("end_date"),
     )
     return ministers, distinct_values(ministers.withColumnRenamed("minister_position", "title"), "title")
 
 
 def build_interests(raw: DataFrame, xml: str = "XmlDataFi") -> DataFrame:
-    rows = spread(
-        raw, ["personId"], _children(cut(xml, "Sidonnaisuudet"), "Sidonnaisuus", ("RyhmaOtsikko", "Sidonta")), "s", "pos"
-    ).select(
+    docs = _parsed(raw, xml, INTERESTS)
+    rows = docs.select("personId", F.posexplode("doc.Sidonnaisuudet.Sidonnaisuus").alias("pos", "s")).select(
         F.col("personId").cast("int").alias("person_id"), "pos",
-        blank_to_null("s.RyhmaOtsikko").alias("category"), blank_to_null("s.Sidonta").alias("interest"),
+        blank_to_null(_text("s.RyhmaOtsikko")).alias("category"), blank_to_null(_text("s.Sidonta")).alias("interest"),
     )
     kept = drop_sentinels(rows, "interest", schemas.NOTHING_TO_DECLARE)
     return assign_key(kept, ["person_id", "pos"]).select("id", "person_id", "category", "interest")
@@ -97,26 +112,22 @@ def build_interests(raw: DataFrame, xml: str = "XmlDataFi") -> DataFrame:
 
 def _groups(raw: DataFrame, xml: str) -> DataFrame:
     """(person_id, name, periods): the current group and the former ones."""
-    groups = cut(xml, "Eduskuntaryhmat")
-
-    def named(tag: str, periods) -> Column:
-        return F.transform(
-            subtrees(groups, tag),
-            lambda g: F.struct(child_or_blank(g, "Nimi").alias("name"), periods(g).alias("periods")),
-        )
+    docs = _parsed(raw, xml, GROUPS)
+    now, before = "doc.Eduskuntaryhmat.NykyinenEduskuntaryhma", "doc.Eduskuntaryhmat.EdellisetEduskuntaryhmat.Eduskuntaryhma"
+    periods = docs.select(before).schema[0].dataType.elementType["Jasenyys"].dataType
+    none = F.array().cast(periods)
+    nothing = F.lit(None).cast("string")
 
     # The current group has its start next to the name, a former one has periods.
-    current = named(
-        "NykyinenEduskuntaryhma",
-        lambda g: F.array(
-            F.struct(
-                child_or_blank(g, "AlkuPvm").alias("AlkuPvm"), F.lit("").alias("LoppuPvm"), F.lit("").alias("Rooli")
-            )
-        ),
-    )
-    former = named("Eduskuntaryhma", lambda g: _children(g, "Jasenyys", PERIOD))
+    current = F.transform(_list(docs, now), lambda g: F.struct(
+        _plain(g["Nimi"]).alias("name"),
+        F.array(F.struct(g["AlkuPvm"].alias("AlkuPvm"), nothing.alias("LoppuPvm"), nothing.alias("Rooli"))).cast(periods).alias("periods"),
+    ))
+    former = F.transform(_list(docs, before), lambda g: F.struct(
+        _plain(g["Nimi"]).alias("name"), F.coalesce(g["Jasenyys"], none).alias("periods"),
+    ))
     return (
-        spread(raw, [F.col("personId").cast("int").alias("person_id")], concat_lists(current, former), "x")
+        docs.select(F.col("personId").cast("int").alias("person_id"), F.explode(concat_lists(current, former)).alias("x"))
         .select("person_id", "x.name", "x.periods")
         .where("name <> ''")
     )
@@ -131,29 +142,22 @@ def build_parliamentary_groups(raw: DataFrame, xml: str = "XmlDataFi", parity: b
 def build_group_memberships(raw: DataFrame, xml: str = "XmlDataFi") -> DataFrame:
     return _groups(raw, xml).select("person_id", "name", F.explode("periods").alias("m")).select(
         harmonize("name").alias("pg_id"), "person_id",
-        parse_dmy("m.AlkuPvm").alias("start_date"), parse_dmy("m.LoppuPvm").alias("end_date"),
+        parse_dmy(_text("m.AlkuPvm")).alias("start_date"), parse_dmy(_text("m.LoppuPvm")).alias("end_date"),
     )
 
 
-def _committees(raw: DataFrame, xml: str, members: Column) -> DataFrame:
-    """(person_id, name, periods): current and former seats in real committees.
-
-    The documents of other persons than ``members`` are not looked into.
-    """
-
-    def seats(tag: str) -> Column:
-        return F.transform(
-            subtrees(cut(xml, tag), "Toimielin"),
-            lambda c: F.struct(
-                raw_attribute(c, "OnkoValiokunta").alias("real"), child_or_blank(c, "Nimi").alias("name"),
-                _children(c, "Jasenyys", PERIOD).alias("periods"),
-            ),
+def _committees(raw: DataFrame, xml: str) -> DataFrame:
+    """(person_id, retired, name, periods): current and former seats in real committees."""
+    docs = _parsed(raw, xml, COMMITTEES)
+    seats = F.concat(_list(docs, "doc.NykyisetToimielinjasenyydet.Toimielin"), _list(docs, "doc.AiemmatToimielinjasenyydet.Toimielin"))
+    return (
+        docs.select(
+            F.col("personId").cast("int").alias("person_id"),
+            complete_date(_text("doc.KansanedustajuusPaattynytPvm"), "start").alias("retired"),
+            F.explode(seats).alias("c"),
         )
-
-    both = F.concat(seats("NykyisetToimielinjasenyydet"), seats("AiemmatToimielinjasenyydet"))
-    keep = [F.col("personId").cast("int").alias("person_id")]
-    return spread(raw, keep, F.when(members, both), "c").where("c.name <> '' AND c.real = 'true'").select(
-        "person_id", "c.name", "c.periods"
+        .select("person_id", "retired", _text("c.Nimi").alias("name"), F.col("c._OnkoValiokunta").alias("real"), F.col("c.Jasenyys").alias("periods"))
+        .where("name <> '' AND real = 'true'").drop("real")
     )
 
 
@@ -161,19 +165,19 @@ def build_assemblies(spark: SparkSession, raw: DataFrame, xml: str = "XmlDataFi"
     """The assemblies that keep records, and the committees of members who retired since the cut-off."""
     fixed = spark.createDataFrame(schemas.ASSEMBLIES, "code string, name string")
     cutoff = F.lit(schemas.ASSEMBLY_RETIREMENT_CUTOFF).cast("date")
-    seen = _committees(raw, xml, _retired(xml) >= cutoff)
+    seen = _committees(raw, xml).where(F.col("retired") >= cutoff)
     found = distinct_values(seen, "name")
     return union_fill(fixed, not_in(found, fixed, ["name"]))
 
 
 def build_committee_memberships(raw: DataFrame, xml: str = "XmlDataFi") -> DataFrame:
     cutoff = F.lit(schemas.COMMITTEE_RETIREMENT_CUTOFF).cast("date")
-    seats = _committees(raw, xml, F.coalesce(_retired(xml) >= cutoff, F.lit(True)))
+    seats = _committees(raw, xml).where(F.coalesce(F.col("retired") >= cutoff, F.lit(True)))
     return (
         seats.select("person_id", F.col("name").alias("committee_name"), F.explode("periods").alias("m"))
-        .where(F.col("m.AlkuPvm") != "")
+        .where(_text("m.AlkuPvm") != "")
         .select(
-            "person_id", "committee_name", complete_date("m.AlkuPvm", "start").alias("start_date"),
-            complete_date("m.LoppuPvm", "end").alias("end_date"), map_role("m.Rooli").alias("role"),
+            "person_id", "committee_name", complete_date(_text("m.AlkuPvm"), "start").alias("start_date"),
+            complete_date(_text("m.LoppuPvm"), "end").alias("end_date"), map_role(_text("m.Rooli")).alias("role"),
         )
     )

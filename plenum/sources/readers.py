@@ -59,8 +59,12 @@ def json_column(col: str | Column, schema: str) -> Column:
 
 
 def parse_xml(df: DataFrame, col: str, schema: str | StructType, out: str = "doc") -> DataFrame:
-    """Parse an XML column; repeated children are arrays whether they occur once or often."""
-    return df.withColumn(out, F.from_xml(F.col(col), schema))
+    """Parse an XML column; repeated children are arrays whether they occur once or often.
+
+    Prefixes do not matter; attributes are fields with a leading ``_``. A document
+    that is not well-formed has NULL fields.
+    """
+    return df.withColumn(out, F.from_xml(F.col(col), schema, {"ignoreNamespace": "true"}))
 
 
 def xml_path(col: str | Column, path: str) -> Column:
