@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
+_passing: list[list[str]] = []
 
 
 def mapped(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
@@ -47,11 +49,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/plenum/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """`df` as a Parquet table in the shared folder: computed once, and kept when executors are lost."""
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that `written` makes inside are removed at the end, but for those it is told to keep: what comes out must not read the others."""
+    own: list[str] = []
+    _passing.append(own)
+    try:
+        yield
+    finally:
+        _passing.pop()
+        for path in own:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: computed once, and kept when executors are lost. With `keep` it outlives `passing`."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", compression).parquet(path)
+    if _passing and not keep:
+        _passing[-1].append(path)
     return spark.read.schema(T.StructType.fromJson(df.schema.jsonValue())).parquet(path)
 
 

@@ -28,7 +28,7 @@ _WORDS = re.compile(f"{_RUN}|[^{_SPACE}]+")
 _LETTERS = re.compile(f" ?[{_LATIN}]+")
 
 #: Pieces a task keeps ids of (twice that for a while), and the longest that is kept.
-_KEPT, _LONGEST = 400_000, 64
+_KEPT, _LONGEST = 200_000, 64
 
 
 def _byte_signs() -> dict[int, str]:

@@ -22,18 +22,18 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plenum.llm.shared import mapped, written
+from plenum.llm.shared import mapped, passing, written
 
 ORDER, BITS, DISCOUNT = 5, 5, 0.75
 GRAMS = 1 << BITS * ORDER
 #: Labelled rows that the logistic function is fitted on, at most; the rows of the smallest hashes of their ids. Counts use all.
 LABELLED = 200_000
 #: Bytes of texts handled together, and grams a task holds before it counts them.
-GROUP, HELD = 1 << 21, 1 << 23
+GROUP, HELD = 1 << 19, 1 << 21
 THRESHOLD = 0.3
 #: What a text is judged by, and the weights and the constant where no labels are there to fit them.
 FEATURES = ("normalised", "strongest", "second", "three", "size")
@@ -54,7 +54,7 @@ class Grams:
 
 
 def texts_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, end text, their bytes, their sizes) for groups of texts of about 2 MB; a null text is empty."""
+    """(first text, end text, their bytes, their sizes) for groups of texts of about `GROUP` bytes; a null text is empty."""
     column = column.cast(pa.large_string()).fill_null("")
     bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
@@ -265,6 +265,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # Labels grow with the corpus: the same join at every size, in which the side of the labels is hashed and no text is sorted.
     joined = source.where(F.col("id").isNotNull() & (fold != 2)).join(known.where(fold != 2).hint("shuffle_hash"), "id")
+    with passing(docs.sparkSession):  # the model goes to the tasks; no table is read after it is made
+        return _learnt(source, joined, fold, labelled)
+
+
+def _learnt(source: DataFrame, joined: DataFrame, fold: Column, labelled: int) -> Model:
     taught = written(joined.select("id", F.coalesce("text", F.lit("")).alias("text"), "label", (fold == 3).alias("kept")), "labelled")
     grams = written(gram_counts(source, taught), "grams")
     scores = written(gram_scores(grams, shared_backoff(grams)), "scores")
