@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plenum.llm import decontaminate, linededup, packing, simhash
 from plenum.llm import toxicity as toxic
 from plenum.llm.queries import vocabulary
-from plenum.llm.shared import new_folder, table, written
+from plenum.llm.shared import new_folder, passing, table, written
 
 #: Columns that operators read; all others are only carried.
 READ = ("doc_id", "text", "source")
@@ -30,6 +30,13 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
+def decided(docs: DataFrame, rows: DataFrame, marked: DataFrame, how: str) -> DataFrame:
+    """The numbered `rows` that are (left_semi) or are not (left_anti) in `marked`, as rows of `docs`. Both grow with the corpus: the same join at
+    every size, with the numbers hashed and no text sorted."""
+    left = rows.join(marked.hint("shuffle_hash"), ROW, how)
+    return left.select([c for c in rows.columns if c != ROW]).toDF(*docs.columns)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go."""
     rows = carried(docs)
@@ -49,19 +56,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by fingerprints, the one of the smallest id stays; a null id comes last."""
     rows = numbered(carried(docs))
-    groups = simhash.near_duplicates(rows.select(ROW, "text"), id_col=ROW, words=4).select(ROW, "component_id")
-    place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", ROW).alias("place")
-    first = groups.join(rows.select(ROW, place), ROW).groupBy("component_id").agg(F.min("place").alias("place"))
-    stay = written(first.select(F.col(f"place.{ROW}").alias(ROW)), "first")
-    return rows.join(stay, ROW, "left_semi").drop(ROW).select(carried(docs).columns).toDF(*docs.columns)
+    with passing(spark):
+        groups = simhash.near_duplicates(rows.select(ROW, "text"), id_col=ROW, words=4).select(ROW, "component_id")
+        place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", ROW).alias("place")
+        first = groups.join(rows.select(ROW, place), ROW).groupBy("component_id").agg(F.min("place").alias("place"))
+        stay = written(first.select(F.col(f"place.{ROW}").alias(ROW)), "first", keep=True)
+    return decided(docs, rows, stay, "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
     rows = numbered(carried(docs))
-    found = decontaminate.contamination(rows.select(ROW, "text"), table(spark, sf_dir, "benchmark"), id_col=ROW)
-    gone = written(found.where("n_hit > 0").select(ROW), "contaminated")
-    return rows.join(gone, ROW, "left_anti").select(carried(docs).columns).toDF(*docs.columns)
+    with passing(spark):
+        found = decontaminate.contamination(rows.select(ROW, "text"), table(spark, sf_dir, "benchmark"), id_col=ROW)
+        gone = written(found.where("n_hit > 0").select(ROW), "contaminated", keep=True)
+    return decided(docs, rows, gone, "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
