@@ -1,7 +1,7 @@
 """Markup -> Markdown as one fold over the tokens of a document.
 
 A document is cut into tags and texts with a regular expression and walked once
-with ``aggregate``; the state is a few counters. Nothing leaves the row, so a
+with ``aggregate``, run by run; the state is a few counters. Nothing leaves the row, so a
 whole corpus converts in the scan stage with no shuffle and no Python. What a
 tag means is a table of rules, one for the parliament's XML and one for HTML.
 A tag the rules do not know is reported in an error column; its text is kept.
@@ -112,6 +112,8 @@ MARKS = {"italic": "*", "bold": "**", "bolditalic": "***"}
 (NOTHING, TEXT, HEADING, HEADING_END, BLOCK, BLOCK_END, LIST, LIST_END, ITEM, TABLE, TABLE_END, ROW, ROW_END, CELL,
  CELL_END, MARK, MARK_END, WRAP, WRAP_END, LINK, LINK_END, ASIDE, ASIDE_END, BREAK, GAP, IMAGE, CHAPTER, CHAPTER_END,
  SKIP) = range(29)
+# Tokens that are folded together at least.
+RUN = 64
 STRINGS, LISTS = "array<string>", "array<struct<kind:string,n:int,depth:int>>"
 
 
@@ -233,8 +235,7 @@ def _step(s: Column, t: Column, rules: Rules) -> Column:
     def then(piece: Column | str | None = None, **changed: Column) -> Column:
         out = s.withField("depth", depth)
         if piece is not None:
-            text = F.lit(piece) if isinstance(piece, str) else piece
-            out = out.withField("out", F.concat(s["out"], F.array(text)))
+            out = _put(out, s, F.lit(piece) if isinstance(piece, str) else piece)
         for name, value in changed.items():
             out = out.withField(name, value)
         return out
@@ -272,7 +273,7 @@ def _step(s: Column, t: Column, rules: Rules) -> Column:
     header_rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.greatest(s["width"], s["cols"])))
     pad = F.repeat(F.lit("  |"), F.greatest(s["width"] - s["cols"], F.lit(0)))
     pushed = F.struct(arg.alias("kind"), F.lit(0).alias("n"), s["depth"].alias("depth"))
-    out, lists = _bullet(s)
+    begun = _bullet(s)
 
     branches = [
         (TEXT, text),
@@ -283,7 +284,7 @@ def _step(s: Column, t: Column, rules: Rules) -> Column:
         (MARK_END, then(F.concat(arg, F.lit(" ")), mark=F.lit(""))),
         (LINK, then("[", url=arg)),
         (LINK_END, then(F.concat(F.lit("]("), s["url"], F.lit(")")))),
-        (ITEM, F.when(in_list, s.withField("out", out).withField("lists", lists)).otherwise(then("\n\n"))),
+        (ITEM, F.when(in_list, begun).otherwise(then("\n\n"))),
         (LIST, then(lists=F.concat(s["lists"], F.array(pushed)))),
         (LIST_END, F.when(in_list, then("\n\n", lists=F.slice(s["lists"], 1, F.size(s["lists"]) - 1))).otherwise(then())),
         (SKIP, then(skip=F.lit(1), skipped=t["tag"])),
@@ -312,25 +313,27 @@ def _step(s: Column, t: Column, rules: Rules) -> Column:
     return chosen.otherwise(s)
 
 
-def _bullet(s: Column) -> tuple[Column, Column]:
-    """Output and list stack once an item of the innermost list begins."""
+def _put(out: Column, s: Column, text: Column) -> Column:
+    """``text`` written after what the state ``s`` has."""
+    return out.withField("cur", F.concat(s["cur"], text))
+
+
+def _bullet(s: Column) -> Column:
+    """The state once an item of the innermost list begins."""
     top = F.try_element_at(s["lists"], F.lit(-1))
     bullet = F.when(top["kind"] == "1", F.concat((top["n"] + 1).cast("string"), F.lit(". "))).otherwise("- ")
     indent = F.repeat(F.lit("  "), F.size(s["lists"]) - 1)
     counted = F.struct(top["kind"].alias("kind"), (top["n"] + 1).alias("n"), top["depth"].alias("depth"))
-    return (
-        F.concat(s["out"], F.array(F.concat(F.lit("\n"), indent, bullet))),
-        F.concat(F.slice(s["lists"], 1, F.size(s["lists"]) - 1), F.array(counted)),
-    )
+    lists = F.concat(F.slice(s["lists"], 1, F.size(s["lists"]) - 1), F.array(counted))
+    return _put(s, s, F.concat(F.lit("\n"), indent, bullet)).withField("lists", lists)
 
 
 def _begin_item(s: Column, t: Column) -> Column:
     """In the XML every direct child of a list is an item, whatever its name."""
-    out, lists = _bullet(s)
     item = (t["d"] == 1) & (F.size(s["lists"]) > 0) & (s["skip"] == 0) & (
         F.coalesce(F.try_element_at(s["lists"], F.lit(-1))["depth"], F.lit(-9)) + 1 == s["depth"]
     )
-    return F.when(item, s.withField("out", out).withField("lists", lists)).otherwise(s)
+    return F.when(item, _bullet(s)).otherwise(s)
 
 
 def _pick(key: Column, mapping: Mapping[str, str]) -> Column:
@@ -359,7 +362,7 @@ def sections_to_markdown(
         return _token_structs(_drop_empty_marks(text, rules), rules)
 
     start = F.struct(
-        F.array().cast(STRINGS).alias("out"), F.array().cast(STRINGS).alias("notes"), F.lit(0).alias("notes_made"),
+        F.lit("").alias("cur"), F.array().cast(STRINGS).alias("notes"), F.lit(0).alias("notes_made"),
         F.lit(0).alias("depth"), F.lit(0).alias("skip"), F.lit("").alias("skipped"), F.lit(0).alias("chapters"),
         F.array().cast(LISTS).alias("lists"), F.lit("").alias("mark"), F.lit(False).alias("heading"),
         F.lit("").alias("url"), *[F.lit(0).alias(f) for f in ("rows", "cols", "width", "blocks")],
@@ -371,7 +374,23 @@ def sections_to_markdown(
         return _step(s, t, rules)
 
     def fold(tokens: Column) -> Column:
-        return _tidy(F.aggregate(tokens, start, step, lambda s: F.array_join(s["out"], "")))
+        """Spark copies the whole state at every step. So runs of tokens are folded with what they write in the state, about as many runs as
+        tokens in a run, and the runs' texts are carried from run to run only."""
+        run = F.greatest(F.lit(RUN), F.ceil(F.sqrt(F.size(tokens))).cast("int"))
+
+        def whole(size: Column) -> Column:
+            begin = F.struct(start.alias("state"), F.array().cast(STRINGS).alias("out"))
+            runs = F.sequence(F.lit(0), F.floor(F.size(tokens) / size).cast("int"))
+
+            def one(acc: Column, i: Column) -> Column:
+                own = F.aggregate(F.slice(tokens, i * size + 1, size), acc["state"].withField("cur", F.lit("")), step)
+                return let(own, lambda s: F.struct(
+                    s.withField("cur", F.lit("")).alias("state"), F.concat(acc["out"], F.array(s["cur"])).alias("out")
+                ))
+
+            return F.aggregate(runs, begin, one, lambda acc: F.array_join(acc["out"], ""))
+
+        return _tidy(let(run, whole))
 
     keep = [c for c in df.columns if c not in (*names, error)]
     df = df.withColumn("_markup", F.array(*sections.values()))
