@@ -1,8 +1,10 @@
 """The main text of HTML pages, with site templates removed.
 
-A page is read once into blocks of text and the subtrees that hold them. What is never main text by its element or its class, id or role is
-left out while reading. Each other container is hashed with all it holds; Spark counts on how many different pages of a host a hash occurs,
-and subtrees that recur on many of them are deleted wherever they occur on that host.
+A page is read once into blocks of text and the subtrees that hold them. What is never main text by its element is left out while reading, and
+so are containers that name themselves: inside an article or main part only those whose class or role is exactly a word for reader comments or
+adverts, elsewhere those whose class, id or role has a word for menus, notices and the like in it. Headings, paragraphs, lists' items and
+other elements that hold content themselves are never left out by a name. Each other container is hashed with all it holds; Spark counts on how
+many different pages of a host a hash occurs, and subtrees that recur on many of them are deleted wherever they occur on that host.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ DROP_WORDS = set(
     "respond share sharing social related recommended recommendations widget masthead pagination pager toolbar search skip complementary contentinfo "
     "dialog alert".split()
 )
-COMMENT_WORDS = set("comment comments reply replies ad ads advert advertisement sponsored promo related".split())
+COMMENT_WORDS = set("comment comments replies ad ads advert adverts advertisement sponsored".split())
+#: Elements that may be left out by a name.
+CONTAINERS = set("div section ul ol table article span center fieldset details figure".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"},
@@ -66,10 +70,13 @@ def _unwanted(name: str, attributes: dict[str, str], main: bool) -> bool:
         return False
     if "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    words = set(re.split(r"[^a-z0-9]+", " ".join(attributes.get(a, "") for a in ("class", "id", "role")).lower()))
-    if name == "article":
-        return bool(words & COMMENT_WORDS)
-    return bool(words & DROP_WORDS) or (not main and bool(words & {"header", "banner"}))
+    if name not in CONTAINERS and not (name == "header" and not main):
+        return False
+    given = [attributes.get(a, "").lower() for a in ("class", "role")]
+    if main or name == "article":
+        return bool(set(" ".join(given).split()) & COMMENT_WORDS)
+    words = set(re.split(r"[^a-z0-9]+", " ".join([*given, attributes.get("id", "").lower()])))
+    return bool(words & DROP_WORDS) or bool(words & {"header", "banner"})
 
 
 def read_page(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:

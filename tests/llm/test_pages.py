@@ -25,7 +25,7 @@ def pages(spark, rows):
         ("a < b <!-- c --> d", ["a < b d"]),
         ("", []),
         ("<p", ["<p"]),
-        ("<article><aside>s</aside><p>x&nbsp;y</p><div id='comments'><p>c</p></div></article><article class=comment>z</article>", ["x y"]),
+        ("<article><aside>s</aside><p>x&nbsp;y</p><div class='comments'><p>c</p></div></article><article class=comment>z</article>", ["x y"]),
     ],
 )
 def test_pages_are_read_as_blocks(page, blocks):
@@ -79,3 +79,96 @@ def test_shared_items_of_a_large_host_stay(spark):
         own = ["Rated good"] if i % 5 == 0 else []
         blocks = [f"Dish {i}", "Salt", f"Item {i}", "Yes No", "Time", "10 min", "Photo", *own, f"How to make dish number {i} in some longer words."]
         assert out[i]["text"].split("\n\n") == blocks and out[i]["n_template"] == 1
+
+
+def plain_article(page):
+    """Text of a page's article by the standard library's parser: blocks, without what is dropped by element or by a class of its own."""
+    from html.parser import HTMLParser
+
+    blocks, gone = {"p", "div", "article", "h1", "h2", "ul", "li", "section", "body"}, {"nav", "footer", "script", "style", "aside", "form", "head", "title"}
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.out, self.held = [], [], []
+
+        def flush(self):
+            text = " ".join("".join(self.held).split())
+            self.held = []
+            if text:
+                self.out.append(text)
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.handle_data(" ")
+            if tag in ("br", "meta"):
+                return
+            if tag in blocks:
+                self.flush()
+            self.stack.append((tag, tag in gone or dict(attrs).get("class") in ("ad", "comments")))
+
+        def handle_endtag(self, tag):
+            if tag in [t for t, _ in self.stack]:
+                if tag in blocks:
+                    self.flush()
+                while self.stack.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            tags = [t for t, _ in self.stack]
+            if "article" in tags and not any(g for _, g in self.stack):
+                self.held.append(data)
+
+    reader = Reader()
+    reader.feed(page or "")
+    reader.flush()
+    return "\n\n".join(reader.out)
+
+
+def test_all_pages_with_planted_templates(spark):
+    """Boxes that recur on most pages of a host go, inside articles too; the same box on few pages stays; all else is as the plain reader has it."""
+    from plenum.llm import pagetext
+
+    folder = "/root/testdata/sf0.01"
+    pages = [(r["page_id"], r["html"]) for r in spark.read.parquet(f"{folder}/pages.parquet").orderBy("page_id").collect()]
+    box, once = '<div class="box"><div>Follow this site</div><div>every day</div></div>', '<section id="search"><h2 id="related-work">Search</h2><div class="notice-board">Found {}</div></section>'
+    rows, want = [], {}
+    for n, (page, text) in enumerate(pages):
+        end = (text or "").rfind("</article>")
+        if end < 0:
+            rows.append((page, f"http://odd.example/{page}", text))
+            continue
+        often, host = n % 3 != 0, "many" if n % 2 else "few"
+        planted = (often and host == "many") or (host == "few" and n < 12)
+        own = (box if planted else "") + once.format(n)
+        rows.append((page, f"https://{host}.example/{page}", text[:end] + own + text[end:] + (box if planted else "")))
+        want[page] = "\n\n".join(x for x in (plain_article(text), "Follow this site\n\nevery day" if planted and host == "few" else "", f"Search\n\nFound {n}") if x)
+    assert len(want) > 200 and sum("Follow" in t for t in want.values()) > 3
+    out = {r["page_id"]: r for r in pagetext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == len(rows)
+    for page, text in want.items():
+        assert out[page]["text"] == text and out[page]["n_chars"] == len(text)
+    assert sum(r["n_template"] for r in out.values()) > 100
+
+
+def test_whole_table_is_the_plain_readers(spark):
+    from plenum.llm import queries
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in queries.op5_page_text(spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == pages.keys()
+    wrong = [p for p, text in pages.items() if "<article" in (text or "") and got[p] != plain_article(text)]
+    assert not wrong
+
+
+def test_an_articles_own_blocks_are_not_dropped_by_names(spark):
+    from plenum.llm import pagetext
+
+    page = (
+        '<article><h2 id="related-work">Related work</h2><p>x y</p><section id="search"><h2>Search</h2><p>How search works.</p></section>'
+        '<p class="notice-board">text</p><div class="promo-code">kept</div><div class="comments">gone</div><div role="advert">gone</div></article>'
+    )
+    out = pagetext.main_text(spark.createDataFrame([(1, "http://a", page), (2, "http://a", f"<body><p class='menu'>stays</p><div class='site-menu'>gone</div></body>"), (3, "http://a", "<p>" + "long " * 200_000 + "</p>")], "page_id long, url string, html string"))
+    got = {r["page_id"]: r["text"] for r in out.collect()}
+    assert got[1] == "Related work\n\nx y\n\nSearch\n\nHow search works.\n\ntext\n\nkept"
+    assert got[2] == "stays" and got[3] == ("long " * 200_000).strip()
