@@ -36,7 +36,7 @@ ministers AS (
   SELECT o_custkey AS person_id, 'Minister ' || substr(o_orderpriority, 1, 1) AS minister_position,
          o_orderdate::DATE AS start_date,
          CASE WHEN o_orderstatus <> 'O' THEN o_orderdate::DATE + 365 END AS end_date, o_orderkey AS seq
-  FROM orders WHERE o_totalprice > 400000)"""
+  FROM orders)"""
 
 PROPOSALS = """
 proposals AS (

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from plenum import bindings as b
 from plenum import schemas
 from plenum.catalog.bits import SPEECHES, with_
-from plenum.operators.nested import nest_sorted
 from plenum.operators.resolve import resolve_signers
 from plenum.plans import documents as doc
 from plenum.plans import minutes, people
@@ -76,7 +75,7 @@ def member_xml(s, d):
 DAY = "strftime(o_orderdate, '%Y-%m-%d')"
 
 
-# --- minutes: one document per conversation ---------------------------------------------------
+# --- minutes: one document per conversation and thousand turns, the thousands being years -----------
 
 
 def minutes_xml(s, d):
@@ -100,21 +99,22 @@ def minutes_xml(s, d):
             "<sis:KappaleKooste>Kiitos!</sis:KappaleKooste></vsk:PuheenjohtajaRepliikki>")),
         F.lit("</vsk:PuheenvuoroOsa></vsk:PuheenvuoroToimenpide>"),
     )
-    docs = nest_sorted(t.select("conv_id", "turn", speech.alias("speech")), ["conv_id"], [F.col("turn")], ["speech"], "xs")
-    number = F.concat(F.col("conv_id").cast("string"), F.when(F.col("part") > 0, F.concat(F.lit("0000"), F.col("part"))).otherwise(""))
+    docs = t.select("conv_id", F.floor(turn / 1000).alias("block"), F.struct("turn", speech.alias("speech")).alias("x")).groupBy(
+        "conv_id", "block").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    number, year = conv.cast("string"), lambda first: (F.lit(first) + F.col("block")).cast("string")
     xml = F.concat(
         F.lit('<ns11:Siirto><jme:JulkaisuMetatieto met1:laadintaPvm="2024-01-16" met1:eduskuntaTunnus="PTK '), number,
-        F.lit('/2024 vp"/><asi:EduskuntaTunniste><met1:AsiakirjatyyppiKoodi>'),
+        F.lit("/"), year(2024), F.lit(' vp"/><asi:EduskuntaTunniste><met1:AsiakirjatyyppiKoodi>'),
         F.when(F.col("conv_id") % 5 == 0, "HaVP").otherwise("PTK"),
         F.lit("</met1:AsiakirjatyyppiKoodi><asi1:AsiakirjaNroTeksti>"), number,
-        F.lit("</asi1:AsiakirjaNroTeksti><asi1:ValtiopaivavuosiTeksti>2024</asi1:ValtiopaivavuosiTeksti>"
+        F.lit("</asi1:AsiakirjaNroTeksti><asi1:ValtiopaivavuosiTeksti>"), year(2024), F.lit("</asi1:ValtiopaivavuosiTeksti>"
               "</asi:EduskuntaTunniste><ptk:Poytakirja "),
         _if(F.col("conv_id") % 3 != 0, F.lit('vsk1:kokousAloitusHetki="2024-01-15T10:00:00" ')),
         F.lit('tila="x"><vsk:MuuAsiakohta><vsk:KohtaAsiakirja vsk1:hyperlinkkiKoodi="EDK-'), number,
         F.lit('"><met1:AsiakirjatyyppiNimi>Nimenhuutoraportti 1</met1:AsiakirjatyyppiNimi></vsk:KohtaAsiakirja>'
               '</vsk:MuuAsiakohta><vsk:Asiakohta '),
         F.when(F.col("conv_id") % 2 == 0, F.lit("met1:eduskuntaTunnus")).otherwise(F.lit("met1:muuTunnus")),
-        F.lit('="HE '), number, F.lit('/2023 vp"><vsk:KohtaNimeke><met1:NimekeTeksti>Asia  -— '), number,
+        F.lit('="HE '), number, F.lit("/"), year(2023), F.lit(' vp"><vsk:KohtaNimeke><met1:NimekeTeksti>Asia  -— '), number,
         F.lit("\n </met1:NimekeTeksti></vsk:KohtaNimeke>"),
         F.array_join(F.transform("xs", lambda x: x["speech"]), ""),
         F.lit("</vsk:Asiakohta></ptk:Poytakirja></ns11:Siirto>"),
@@ -125,13 +125,13 @@ def minutes_xml(s, d):
 THREADED = SPEECHES + """,
 threaded AS (
   SELECT *, coalesce(last_value(CASE WHEN is_root THEN turn_id END IGNORE NULLS) OVER (
-      PARTITION BY item_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), turn_id) AS response_to
+      PARTITION BY item_id, pos // 1000 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), turn_id) AS response_to
   FROM (SELECT *, '2024/' || item_id || '.' || pos AS turn_id FROM speeches WHERE role <> 'system'))"""
 
 STRIP = "regexp_replace(x, '^[\\s\\p{Z}\\x{0b}\\x{85}]+|[\\s\\p{Z}\\x{0b}\\x{85}]+$', '', 'g')"
 
 
-# --- proposals: one document per order, signed by its lines --------------------------------------
+# --- proposals: one document per order and thousand line numbers (years), signed by these lines ------
 
 
 def proposal_xml(s, d, body="eka:EduskuntaAloite"):
@@ -152,12 +152,11 @@ def proposal_xml(s, d, body="eka:EduskuntaAloite"):
         _if(n == 1, F.lit(f' asi1:allekirjoitusLuokitusKoodi="{schemas.FIRST_SIGNER_CLASS}"')),
         F.lit(">"), who, F.lit("</asi:Allekirjoittaja>"),
     )
-    signed = nest_sorted(
-        li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", signer.alias("signer")), ["l_orderkey"],
-        [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], ["signer"], "xs",
-    )
+    signed = li.select(
+        "l_orderkey", F.floor(n / 1000).alias("block"), F.struct("l_linenumber", "l_partkey", "l_suppkey", signer.alias("signer")).alias("x")
+    ).groupBy("l_orderkey", "block").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     o = b.table(s, d, "orders").join(signed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    number = F.col("o_orderkey").cast("string")
+    number, year = F.col("o_orderkey").cast("string"), (F.lit(2024) + F.coalesce("block", F.lit(0))).cast("string")
     whole = F.concat(
         F.lit(f"<{body}><met:Nimeke><met1:NimekeTeksti>Aloite "), number, F.lit("</met1:NimekeTeksti></met:Nimeke>"
               "<asi:AsiaKuvaus><sis:KappaleKooste>Tiivis "), F.col("o_orderpriority"),
@@ -172,14 +171,14 @@ def proposal_xml(s, d, body="eka:EduskuntaAloite"):
         F.lit(" §</saa:PykalaTunnusKooste><saa:MomenttiKooste>Momentti.</saa:MomenttiKooste><saa:KohdatMomentti>"
               "<saa:MomenttiJohdantoKooste>Ovat:</saa:MomenttiJohdantoKooste><saa:MomenttiKohtaKooste>1) yksi"
               "</saa:MomenttiKohtaKooste></saa:KohdatMomentti></saa:Pykala></saa:Saados></saa:SaadosOsa>"),
-        F.array_join(F.transform(F.coalesce("xs", F.array().cast("array<struct<signer:string>>")), lambda x: x["signer"]), ""),
+        F.coalesce(F.array_join(F.transform("xs", lambda x: x["signer"]), ""), F.lit("")),
         F.lit(f"</{body}>"),
     )
     return o.select(
         F.col("o_orderkey").alias("seq"),
         F.concat(
             F.lit('<ns11:Siirto><jme:JulkaisuMetatieto met1:laadintaPvm="'), F.date_format("o_orderdate", "yyyy-MM-dd"),
-            F.lit('" met1:eduskuntaTunnus="LA '), number, F.lit('/2024 vp"/>'), _if(F.col("o_orderkey") % 9 != 0, whole),
+            F.lit('" met1:eduskuntaTunnus="LA '), number, F.lit("/"), year, F.lit(' vp"/>'), _if(F.col("o_orderkey") % 9 != 0, whole),
             F.lit("</ns11:Siirto>"),
         ).alias("XmlData"),
     )
@@ -188,8 +187,11 @@ def proposal_xml(s, d, body="eka:EduskuntaAloite"):
 def handling_xml(s, d):
     number = F.col("o_orderkey").cast("string")
     code = F.when(F.col("o_orderstatus") == "F", "PassedUrgent").when(F.col("o_orderstatus") == "P", "Resting")
-    return widen(b.table(s, d, "orders")).select(
-        number.alias("Id"), F.concat(F.lit("LA "), number, F.lit("/2024 vp")).alias("Eduskuntatunnus"),
+    blocks = b.table(s, d, "lineitem").select("l_orderkey", F.floor(F.col("l_linenumber") / 1000).alias("block")).distinct()
+    docs = b.table(s, d, "orders").join(blocks, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    year = (F.lit(2024) + F.coalesce("block", F.lit(0))).cast("string")
+    return widen(docs).select(
+        number.alias("Id"), F.concat(F.lit("LA "), number, F.lit("/"), year, F.lit(" vp")).alias("Eduskuntatunnus"),
         F.concat(
             F.lit("<x>"),
             F.when(code.isNotNull(), F.concat(
@@ -204,7 +206,10 @@ LAW_TEXT = (
     "'# Laki asiasta' || chr(10) || chr(10) || chr(10) || 'muutetaan' || chr(10) || chr(10) || '**' || o_orderkey || ' §**' "
     "|| chr(10) || chr(10) || 'Momentti.' || chr(10) || chr(10) || 'Ovat:' || chr(10) || chr(10) || '- 1) yksi'"
 )
-SIGNED = """SELECT 'la ' || l_orderkey || '/2024 vp' AS {key}, l_suppkey AS person_id, max((l_linenumber = 1)::INT) AS first
+DOCS = """docs AS (
+  SELECT o.*, coalesce(block, 0) AS block, o_orderkey || '/' || (2024 + coalesce(block, 0)) || ' vp' AS tail
+  FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber // 1000 AS block FROM lineitem) ON l_orderkey = o_orderkey)"""
+SIGNED = """SELECT 'la ' || l_orderkey || '/' || (2024 + l_linenumber // 1000) || ' vp' AS {key}, l_suppkey AS person_id, max((l_linenumber = 1)::INT) AS first
 FROM lineitem WHERE l_linenumber NOT IN (2, 3, 6) AND l_orderkey % 9 <> 0 GROUP BY 1, 2"""
 
 
@@ -314,15 +319,15 @@ QUERIES = {
             "assembly_code", "number", "year", _iso("meeting_date").alias("meeting_date"),
             _iso("creation_date").alias("creation_date"), "rollcall_id"),
         """SELECT DISTINCT CASE WHEN conv_id % 5 = 0 THEN 'HaV' ELSE 'EK' END AS assembly_code, conv_id::INT AS number,
-        2024 AS year, CASE WHEN conv_id % 3 <> 0 THEN '2024-01-15' ELSE '2024-01-16' END AS meeting_date,
+        (2024 + turn // 1000)::INT AS year, CASE WHEN conv_id % 3 <> 0 THEN '2024-01-15' ELSE '2024-01-16' END AS meeting_date,
         '2024-01-16' AS creation_date, CASE WHEN conv_id % 5 <> 0 THEN 'EDK-' || conv_id END AS rollcall_id
         FROM conversations""",
     ),
     "xml_agenda_items": (
         lambda s, d: minutes.build_agenda_items(minutes_xml(s, d)),
-        """SELECT DISTINCT 'he ' || conv_id || '/2023 vp' AS parliament_id,
+        """SELECT DISTINCT 'he ' || conv_id || '/' || (2023 + turn // 1000) || ' vp' AS parliament_id,
         CASE WHEN conv_id % 5 = 0 THEN 'HaV' ELSE 'EK' END AS record_assembly_code, conv_id::INT AS record_number,
-        2024 AS record_year, 'Asia - ' || conv_id AS title FROM conversations""",
+        (2024 + turn // 1000)::INT AS record_year, 'Asia - ' || conv_id AS title FROM conversations""",
     ),
     "xml_speeches": (
         lambda s, d: minutes.build_speeches(minutes_xml(s, d)).select(
@@ -330,7 +335,7 @@ QUERIES = {
             F.unix_seconds("start_time").alias("epoch")),
         with_(THREADED)
         + f"""SELECT turn_id AS id, person_id::INT AS person_id, item_id::INT AS record_number,
-        'he ' || item_id || '/2023 vp' AS agenda_item_parliament_id,
+        'he ' || item_id || '/' || (2023 + pos // 1000) || ' vp' AS agenda_item_parliament_id,
         array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: {STRIP}), lambda x: x <> '')
           || CASE WHEN pos % 2 = 0 THEN ['**Puhemies**: Kiitos!'] ELSE [] END, chr(10) || chr(10)) AS speech,
         'T' AS speech_type, response_to,
@@ -352,12 +357,12 @@ QUERIES = {
     "xml_law_proposals": (
         lambda s, d: doc.build_law_proposals(proposal_xml(s, d), handling_xml(s, d), b.supplier_persons(s, d))[0]
         .withColumn("date", _iso("date")),
-        f"""SELECT 'la ' || o_orderkey || '/2024 vp' AS id, 'mp_law' AS ptype, {DAY} AS date, 'Aloite ' || o_orderkey AS title,
+        with_(DOCS) + f"""SELECT 'la ' || tail AS id, 'mp_law' AS ptype, {DAY} AS date, 'Aloite ' || o_orderkey AS title,
         'Tiivis ' || o_orderpriority AS summary,
         '## Yleistä' || chr(10) || chr(10) || 'Summa **' || o_orderstatus || '** on' AS reasoning,
         {LAW_TEXT} AS law_changes,
         CASE o_orderstatus WHEN 'F' THEN 'passed_urgent' WHEN 'P' THEN 'resting' ELSE 'open' END AS status
-        FROM orders WHERE o_orderkey % 9 <> 0""",
+        FROM docs WHERE o_orderkey % 9 <> 0""",
     ),
     "xml_law_proposal_signatures": (
         lambda s, d: doc.build_law_proposals(proposal_xml(s, d), handling_xml(s, d), b.supplier_persons(s, d))[1]
@@ -369,29 +374,31 @@ QUERIES = {
             proposal_xml(s, d).withColumn("XmlData", F.replace("XmlData", F.lit('Tunnus="LA'), F.lit('Tunnus="TPA'))),
             b.table(s, d, "orders").where("o_orderstatus = 'F'").select(
                 F.concat(F.lit("tpa "), F.col("o_orderkey").cast("string"), F.lit("/2024 vp")).alias("parliament_id")),
-            b.supplier_persons(s, d))[0].select("id", "ptype", "status"),
-        """SELECT 'tpa ' || o_orderkey || '/2024 vp' AS id, 'mp_petition' AS ptype,
-        CASE WHEN o_orderstatus = 'F' THEN 'handled' ELSE 'open' END AS status FROM orders WHERE o_orderkey % 9 <> 0""",
+            b.supplier_persons(s, d))[0].withColumn("date", _iso("date")),
+        with_(DOCS) + f"""SELECT 'tpa ' || tail AS id, 'mp_petition' AS ptype, {DAY} AS date, 'Aloite ' || o_orderkey AS title, 'Tiivis ' || o_orderpriority AS summary,
+        '## Yleistä' || chr(10) || chr(10) || 'Summa **' || o_orderstatus || '** on' AS reasoning, {LAW_TEXT} AS law_changes,
+        CASE WHEN o_orderstatus = 'F' AND block = 0 THEN 'handled' ELSE 'open' END AS status FROM docs WHERE o_orderkey % 9 <> 0""",
     ),
     "xml_government_proposals": (
         lambda s, d: doc.build_government_proposals(
             proposal_xml(s, d, "he:HallituksenEsitys").withColumn("XmlData", F.when(
                 F.col("seq") % 4 == 0, F.replace("XmlData", F.lit('Tunnus="LA'), F.lit('Tunnus="RP'))
             ).otherwise(F.col("XmlData"))),
-            handling_xml(s, d), b.supplier_persons(s, d))[0].select("id", "ptype", "title", "status"),
-        """SELECT 'la ' || o_orderkey || '/2024 vp' AS id, 'government' AS ptype, 'Aloite ' || o_orderkey AS title,
+            handling_xml(s, d), b.supplier_persons(s, d))[0].withColumn("date", _iso("date")),
+        with_(DOCS) + f"""SELECT 'la ' || tail AS id, 'government' AS ptype, {DAY} AS date, 'Aloite ' || o_orderkey AS title, 'Tiivis ' || o_orderpriority AS summary,
+        '## Yleistä' || chr(10) || chr(10) || 'Summa **' || o_orderstatus || '** on' AS reasoning, {LAW_TEXT} AS law_changes,
         CASE o_orderstatus WHEN 'F' THEN 'passed_urgent' WHEN 'P' THEN 'resting' ELSE 'open' END AS status
-        FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey % 4 <> 0""",
+        FROM docs WHERE o_orderkey % 9 <> 0 AND o_orderkey % 4 <> 0""",
     ),
     "xml_interpellations": (
         lambda s, d: doc.build_interpellations(
             proposal_xml(s, d, "kys:Kysymys"), handling_xml(s, d), b.supplier_persons(s, d))[0]
         .withColumn("date", _iso("date")),
-        f"""SELECT 'la ' || o_orderkey || '/2024 vp' AS id, {DAY} AS date, 'Aloite ' || o_orderkey AS title,
+        with_(DOCS) + f"""SELECT 'la ' || tail AS id, {DAY} AS date, 'Aloite ' || o_orderkey AS title,
         '## Yleistä' || chr(10) || chr(10) || 'Summa **' || o_orderstatus || '** on' AS reasoning,
         '- ponsi ' || o_orderkey AS motion,
         CASE o_orderstatus WHEN 'F' THEN 'passed_urgent' WHEN 'P' THEN 'resting' ELSE 'open' END AS status
-        FROM orders WHERE o_orderkey % 9 <> 0""",
+        FROM docs WHERE o_orderkey % 9 <> 0""",
     ),
     "xml_interpellation_signatures": (
         lambda s, d: doc.build_interpellations(
@@ -401,7 +408,7 @@ QUERIES = {
     ),
     "xml_without_twin": (
         lambda s, d: doc.without_twin(proposal_xml(s, d), "mp_law"),
-        "SELECT 'la ' || o_orderkey || '/2024 vp' AS id FROM orders WHERE o_orderkey % 9 = 0",
+        with_(DOCS) + "SELECT 'la ' || tail AS id FROM docs WHERE o_orderkey % 9 = 0",
     ),
     "xml_unresolved_signers": (
         lambda s, d: resolve_signers(

@@ -115,14 +115,11 @@ QUERIES = {
     ),
     "most_rebellious": (
         lambda s, d: _scores(v.contra_vote_scores(b.memberships(s, d), b.votes(s, d)))
-        .join(b.persons(s, d).select(F.col("id").alias("person_id"), "first_name", "last_name"), "person_id")
-        .orderBy(F.col("contra_vote_score").desc_nulls_last(), "person_id")
-        .limit(20),
+        .join(b.persons(s, d).select(F.col("id").alias("person_id"), "first_name", "last_name"), "person_id"),
         with_(VOTES, MEMBERSHIPS, PERSONS, COUNTS)
         + f"""SELECT m.person_id, {SCORE}, any_value(p.first_name) AS first_name, any_value(p.last_name) AS last_name
         FROM modes k JOIN memberships m USING (pg_id)
         JOIN votes v ON v.ballot_id = k.ballot_id AND v.person_id = m.person_id
-        JOIN persons p ON p.id = m.person_id GROUP BY m.person_id
-        ORDER BY contra_vote_score DESC NULLS LAST, person_id LIMIT 20""",
+        JOIN persons p ON p.id = m.person_id GROUP BY m.person_id""",
     ),
 }

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from plenum.operators.temporal import latest_per_key
 from plenum.schemas import VOTES
 
+# Parts of a group's votes in a ballot, a power of two.
+SALTS = 32
+
 
 def vote_ordinal(col: str | Column) -> Column:
     c = F.col(col) if isinstance(col, str) else col
@@ -76,15 +79,23 @@ def contra_vote_scores(memberships: DataFrame, votes: DataFrame, ballots: DataFr
     An absent vote is never contra but stays in the denominator; a NULL vote is
     contra and does not.
     """
-    cast_votes = votes_by_group(memberships, votes, ballots)
-    modes = group_mode(
-        cast_votes.groupBy("pg_id", "ballot_id", "vote").agg(F.sum("n").alias("count"))
-    ).drop("count")
+    # Votes meet the memberships once: both uses below read one exchange, of which a group's ballot is SALTS parts, never one.
+    cast_votes = (
+        votes_by_group(memberships, votes, ballots)
+        .select("person_id", "pg_id", "ballot_id", "vote", "n")
+        .withColumn("_salt", F.xxhash64("person_id").bitwiseAND(F.lit(SALTS - 1).cast("long")))
+        .repartition("pg_id", "ballot_id", "_salt")
+    )
+    # Counted with the voters, so that the exchange has the same columns for both.
+    parts = cast_votes.groupBy("pg_id", "ballot_id", "_salt", "vote").agg(F.sum(F.when(F.col("person_id").isNotNull(), F.col("n"))).alias("n"))
+    modes = group_mode(parts.groupBy("pg_id", "ballot_id", "vote").agg(F.sum("n").alias("count"))).select(
+        "pg_id", "ballot_id", "mode_vote", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("_salt")
+    )
     loyal = (F.col("vote") == F.col("mode_vote")) | (F.col("vote") == F.lit("absent"))
     contra = F.sum(F.when(loyal, F.lit(0)).otherwise(F.col("n"))).cast("double")
     counted = F.sum(F.when(F.col("vote").isNotNull(), F.col("n")).otherwise(0)).cast("double")
     return (
-        cast_votes.join(modes, ["pg_id", "ballot_id"])
+        cast_votes.join(modes, ["pg_id", "ballot_id", "_salt"])
         .groupBy("person_id")
         .agg((contra / F.nullif(counted, F.lit(0.0))).alias("contra_vote_score"))
     )

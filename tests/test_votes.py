@@ -93,3 +93,16 @@ def test_as_of_counts_only_memberships_in_force(spark):
     )
     got = {(r.pg_id, r.ballot_id) for r in v.group_vote_counts(m, x, b).collect()}
     assert got == {("old", 1), ("new", 2)}
+
+
+def test_votes_meet_memberships_once(spark):
+    from pyspark.sql import functions as F
+
+    members = spark.range(400).select((F.col("id") % 50).alias("person_id"), (F.col("id") % 7).cast("string").alias("pg_id"))
+    votes = spark.range(2000).select((F.col("id") % 40).alias("ballot_id"), (F.col("id") % 50).alias("person_id"), F.element_at(F.array(*map(F.lit, ["yes", "no", "absent"])), (F.col("id") % 3 + 1).cast("int")).alias("vote"))
+    df = v.contra_vote_scores(members, votes)
+    assert len(df.collect()) == 50
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")]
+    # The salted exchange that both the counts and the scores read is computed once.
+    assert any("ReusedExchange" in line and "_salt" in line for line in final.split("\n"))
