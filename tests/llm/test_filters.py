@@ -100,3 +100,52 @@ def test_licence_rules_follow_the_order_of_sentences(spark):
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs(spark, rows)).collect()}
     assert got == {1: ["MIT"], 2: ["MIT"], 3: [], 4: [], 5: [], 6: ["All-rights-reserved", "MIT"], 7: ["CC-BY-NC-4.0"], 8: ["Apache-2.0"], None: []}
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
+
+
+def test_robust_estimates_have_the_least_determinant(spark):
+    """Concentration from four starts against very many random starts in numpy, on groups with a far cluster, and against all subsets of a tiny group."""
+    from itertools import combinations
+
+    import numpy as np
+    from plenum.llm import quality as q
+
+    rng = np.random.default_rng(8)
+    groups = {}
+    for g in range(4):
+        mixing = rng.normal(size=(4, 4)) + 2 * np.eye(4)
+        core = rng.normal(size=(160, 4)) @ mixing + g
+        groups[f"s{g}"] = np.vstack([core, rng.normal(size=(40, 4)) * 0.3 + 15 + g])
+    groups["tiny"] = rng.normal(size=(9, 4))
+    rows = [("en", s, int(i % q.SALTS), *map(float, x)) for s, points in groups.items() for i, x in enumerate(points)]
+    frame = spark.createDataFrame(rows, "_lang string, _source string, _salt int, x0 double, x1 double, x2 double, x3 double")
+    found = {r["_source"]: r for r in q.estimates(frame).collect()}
+    assert found.keys() == groups.keys()
+
+    # The shares of all texts that small groups lean on are the operator's own: they follow from the subsets that it chose.
+    def distances(r, x):
+        w = np.zeros((4, 4))
+        for i in range(4):
+            for j in range(i + 1):
+                w[i, j] = r[f"w{i}{j}"]
+        return (((x - [r[f"m{i}"] for i in range(4)]) @ w.T) ** 2).sum(axis=1)
+
+    for s in list(groups)[:4]:
+        x = groups[s]
+        d = distances(found[s], x)
+        assert d[160:].min() > q.CUTOFF > np.quantile(d[:160], 0.95)
+        subset = x[np.argsort(d)[:150]]
+        best = np.inf
+        for _ in range(200):
+            own = x[rng.choice(200, 5, replace=False)]
+            for _ in range(15):
+                m, c = own.mean(axis=0), np.cov(own.T, bias=True) + 1e-6 * np.eye(4)
+                own = x[np.argsort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m))[:150]]
+            best = min(best, np.linalg.slogdet(np.cov(own.T, bias=True))[1])
+        assert np.linalg.slogdet(np.cov(subset.T, bias=True))[1] < best + 0.05
+
+    x = groups["tiny"]
+    # All texts' share dominates nine texts; with a covariance like it added, the chosen seven are among the best of all subsets.
+    chosen = np.argsort(distances(found["tiny"], x))[:7]
+    every = sorted(np.linalg.slogdet(np.cov(x[list(c)].T, bias=True) + 5 * np.eye(4))[1] for c in combinations(range(9), 7))
+    own = np.linalg.slogdet(np.cov(x[chosen].T, bias=True) + 5 * np.eye(4))[1]
+    assert own <= every[len(every) // 4]
