@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from plenum import bindings as b
 from plenum import schemas
-from plenum.catalog.bits import MEMBERSHIPS, ROLLCALLS, VOTES, with_
+from plenum.catalog.bits import BALLOTS, MEMBERSHIPS, MINISTERS, PERSONS, PROPOSALS, ROLLCALLS, SIGNATURES, VOTES, with_
 from plenum.functions import clean as c
 from plenum.operators import aggregate as a
 from plenum.operators import audits as q
@@ -41,7 +41,77 @@ def _new_documents(s, d):
     )
 
 
+def _model(s, d):
+    """The given tables as the model's, every seventh person and every fifth record gone and some titles cut off, so that each audit finds something."""
+    k = F.col("id")
+    return {
+        "persons": b.persons(s, d).where(k % 7 != 0),
+        "ballots": b.ballots(s, d).where(k % 6 != 0),
+        "votes": b.votes(s, d).withColumn("vote", F.when(F.col("ballot_id") == 9, "maybe").otherwise(F.col("vote"))),
+        "mp_parliamentary_group_memberships": b.memberships(s, d).drop("seq"),
+        "ministers": b.minister_posts(s, d).drop("seq"),
+        "proposals": b.proposals(s, d).select(
+            k.cast("string").alias("id"), F.when(k % 4 != 0, F.col("ptype")).otherwise("else").alias("ptype"),
+            F.when(k % 5 == 0, F.repeat("title", F.lit(100))).otherwise(F.col("title")).alias("title")),
+        "proposal_signatures": b.signatures(s, d).withColumn("proposal_id", F.when(F.col("person_id") % 9 != 0, F.col("proposal_id").cast("string"))),
+        "records": b.records(s, d).where("number % 5 <> 0"),
+        "absences": _absences(s, d)[0].withColumn("record_year", F.when(F.col("person_id") % 3 != 0, F.col("record_year"))),
+    }
+
+
+MODEL = """
+m_persons AS (SELECT * FROM persons WHERE id % 7 <> 0),
+m_ballots AS (SELECT * FROM ballots WHERE id % 6 <> 0),
+m_votes AS (SELECT ballot_id, person_id, CASE WHEN ballot_id = 9 THEN 'maybe' ELSE vote END AS vote FROM votes),
+m_mp_parliamentary_group_memberships AS (SELECT * FROM memberships),
+m_ministers AS (SELECT * FROM ministers),
+m_proposals AS (SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 4 <> 0 THEN ptype ELSE 'else' END AS ptype,
+                CASE WHEN id % 5 = 0 THEN repeat(title, 100) ELSE title END AS title FROM proposals),
+m_proposal_signatures AS (SELECT CASE WHEN person_id % 9 <> 0 THEN CAST(proposal_id AS VARCHAR) END AS proposal_id, person_id FROM signatures),
+m_records AS (SELECT * FROM records WHERE number % 5 <> 0),
+m_absences AS (SELECT person_id, record_assembly_code, record_number, CASE WHEN person_id % 3 <> 0 THEN record_year END AS record_year FROM resolved)"""
+# What the tables above have of the model's columns.
+MODEL_COLUMNS = {
+    "persons": "id first_name last_name photo", "ballots": "id title session_item_title parliament_id minutes_url results_url",
+    "votes": "ballot_id person_id vote", "mp_parliamentary_group_memberships": "pg_id person_id start_date end_date",
+    "ministers": "person_id minister_position start_date end_date", "proposals": "id ptype title", "proposal_signatures": "proposal_id person_id first",
+    "records": "assembly_code number year rollcall_id", "absences": "person_id record_assembly_code record_number record_year work_related",
+}
+
+
+def _model_sql():
+    """Each audit of the declared model as a count of its own."""
+    columns = {t: c.split() for t, c in MODEL_COLUMNS.items()}
+    rows = []
+
+    def add(table, audit, subject, count):
+        rows.append(f"SELECT '{table}' AS \"table\", '{audit}' AS audit, '{subject}' AS subject, ({count}) AS n")
+
+    for t, there in columns.items():
+        key = schemas.TABLES[t][1]
+        if set(key) <= set(there):
+            add(t, "key", ",".join(key), f"SELECT count(*) FROM (SELECT 1 FROM m_{t} GROUP BY {', '.join(key)} HAVING count(*) > 1)")
+        for c in key:
+            if c in there:
+                add(t, "null", c, f"SELECT count(*) FROM m_{t} WHERE {c} IS NULL")
+        for c, values in schemas.DOMAINS.get(t, {}).items():
+            if c in there:
+                add(t, "domain", c, f"SELECT count(*) FROM m_{t} WHERE {c} NOT IN ({', '.join(repr(v) for v in values)})")
+        for c, limit in schemas.LENGTHS.get(t, {}).items():
+            if c in there:
+                add(t, "length", c, f"SELECT count(*) FROM m_{t} WHERE length({c}) > {limit}")
+    for child, cols, parent, keys in schemas.REFERENCES:
+        if child in columns and parent in columns and set(cols) <= set(columns[child]):
+            same = " AND ".join(f"p.{k} = c.{c}" for c, k in zip(cols, keys))
+            given = " AND ".join(f"c.{c} IS NOT NULL" for c in cols)
+            add(child, "reference", f"{','.join(cols)} -> {parent}",
+                f"SELECT count(*) FROM m_{child} c WHERE {given} AND NOT EXISTS (SELECT 1 FROM m_{parent} p WHERE {same})")
+    return with_(VOTES, BALLOTS, MEMBERSHIPS, PERSONS, MINISTERS, PROPOSALS, SIGNATURES, ROLLCALLS, RESOLVED, MODEL) + (
+        "SELECT * FROM (" + " UNION ALL ".join(rows) + ") WHERE n > 0")
+
+
 QUERIES = {
+    "audit_model": (lambda s, d: q.audit_model(_model(s, d)), _model_sql()),
     "rollcall_resolution": (
         lambda s, d: _absences(s, d)[0].select(
             "person_id", "record_assembly_code", "record_number", "record_year",
