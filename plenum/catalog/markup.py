@@ -7,6 +7,21 @@ from plenum.functions import markup as m
 from plenum.sources.readers import widen
 from plenum.functions.xmltext import child_text, text_of
 
+# The tags that the given pages have, one after the other; a heading's and a mark's texts are trimmed.
+MARKDOWN = """
+WITH bare AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)\\s*>', '', 'g'),
+    '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?is)<head(\\s[^>]*)?>.*?</head\\s*>|<nav(\\s[^>]*)?>.*?</nav\\s*>', '', 'g') AS x FROM pages),
+spaced AS (SELECT page_id, regexp_replace(regexp_replace(x, '\\s+', ' ', 'g'), '(?i)<b>\\s*</b>', '', 'g') AS x FROM bare),
+marked AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?i)<b>\\s*', '**', 'g'), '(?i)\\s*</b>', '** ', 'g'),
+    '(?i)<h1(\\s[^>]*)?>', chr(10) || chr(10) || '# ', 'g'), '(?i)<br\\s*/?>', '  ' || chr(10), 'g'),
+    '(?i)</?(p|div|article|footer|section|main|h1)(\\s[^>]*)?>', chr(10) || chr(10), 'g') AS x FROM spaced),
+plain AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS x FROM marked),
+blocks AS (SELECT page_id, regexp_replace(x, '[ \\t]*\\n[ \\t]*\\n\\s*', chr(10) || chr(10), 'g') AS x FROM plain),
+single AS (SELECT page_id, regexp_replace(regexp_replace(x, '([^\\s|]) {2,}([^\\s|])', '\\1 \\2', 'g'), '([^\\s|]) {2,}([^\\s|])', '\\1 \\2', 'g') AS x FROM blocks)
+SELECT page_id, regexp_replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '(?m)([^ ]) $', '\\1', 'g') AS markdown, NULL AS error FROM single"""
+
 QUERIES = {
     "markup_sections": (
         lambda s, d: m.page_sections(b.table(s, d, "pages").select("page_id", "html"), "html").drop("html"),
@@ -26,7 +41,7 @@ QUERIES = {
     ),
     "markup_to_markdown": (
         lambda s, d: m.to_markdown(widen(b.table(s, d, "pages").select("page_id", "html")), "html", rules=m.HTML).drop("html"),
-        None,
+        MARKDOWN,
     ),
     "markup_plain_text": (
         lambda s, d: m.to_markdown(

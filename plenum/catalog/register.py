@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from plenum import bindings as b
 from plenum import schemas
 from plenum.catalog.bits import SPEECHES, with_
+from plenum.functions.markup import law_changes
 from plenum.operators.resolve import resolve_signers
 from plenum.plans import documents as doc
 from plenum.plans import minutes, people
@@ -259,7 +260,33 @@ def absence_xml(s, d):
     )
 
 
+def statute_xml(s, d):
+    """A statute per order with a table in its moment and, in every third, another between its moments."""
+    number = F.col("o_orderkey").cast("string")
+
+    def row(*cells):
+        return _el("tau:row", *[_el("tau:entry", _el("sis:KappaleKooste", c)) for c in cells])
+
+    def grid(*cells):
+        return _el("tau:table", _el("tau:tgroup", "<tau:colspec/><tau:colspec/>", _el("tau:tbody", row("Vuosi", "Määrä"), row(*cells))))
+
+    return widen(b.table(s, d, "orders")).select(F.col("o_orderkey").alias("id"), _el(
+        "saa:SaadosOsa", _el("saa:Saados", _el("saa:SaadosNimekeKooste", "Laki ", number), _el(
+            "saa:Pykala", _el("saa:PykalaTunnusKooste", "1 §"),
+            _el("saa:MomenttiKooste", "Luku on.", grid(F.year("o_orderdate").cast("string"), F.col("o_orderpriority"))),
+            _if(F.col("o_orderkey") % 3 == 0, grid("x | y", number)),
+            _el("saa:KohdatMomentti", _el("saa:MomenttiJohdantoKooste", "Ovat:"), _el("saa:MomenttiKohtaKooste", "1) yksi")),
+        ))).alias("xml"))
+
+
+_NL = "chr(10)"
+STATUTE = f"""SELECT o_orderkey AS id, '# Laki ' || o_orderkey || repeat({_NL}, 3) || '**1 §**' || repeat({_NL}, 2) || 'Luku on.' || repeat({_NL}, 2)
+  || '| Vuosi | Määrä |' || {_NL} || '| --- | --- |' || {_NL} || '| ' || year(o_orderdate) || ' | ' || o_orderpriority || ' |'
+  || CASE WHEN o_orderkey % 3 = 0 THEN repeat({_NL}, 2) || '| Vuosi | Määrä |' || {_NL} || '| --- | --- |' || {_NL} || '| x \\| y | ' || o_orderkey || ' |' ELSE '' END
+  || repeat({_NL}, 2) || 'Ovat:' || repeat({_NL}, 2) || '- 1) yksi' AS law_changes FROM orders"""
+
 QUERIES = {
+    "xml_statute_tables": (lambda s, d: statute_xml(s, d).select("id", law_changes("xml").alias("law_changes")), STATUTE),
     "xml_persons": (
         lambda s, d: people.build_persons(member_xml(s, d)).drop("photo"),
         """SELECT o_orderkey::INT AS id, 'F' || o_orderkey AS first_name, o_orderpriority AS last_name,

@@ -346,56 +346,59 @@ def _tidy(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\A\s+|\s+\z", ""), r"(?m)(?<! ) $", "")
 
 
-def sections_to_markdown(
-    df: DataFrame, sections: Mapping[str, Column], rules: Rules = XML, error: str | None = "error"
-) -> DataFrame:
-    """Add the Markdown of several markup columns, all converted by one fold expression.
+def _tokens_of(markup: Column, rules: Rules) -> Column:
+    text = F.coalesce(markup, F.lit(""))
+    if rules.any_child_is_item:
+        text = _drop_title_blocks(text)
+    return _token_structs(_drop_empty_marks(text, rules), rules)
 
-    ``error`` names a column with the unknown tags (NULL when all are known).
-    """
-    names = list(sections)
 
-    def source(markup: Column) -> Column:
-        text = F.coalesce(markup, F.lit(""))
-        if rules.any_child_is_item:
-            text = _drop_title_blocks(text)
-        return _token_structs(_drop_empty_marks(text, rules), rules)
+def _fold(tokens: Column, rules: Rules) -> Column:
+    """The Markdown of a document's tokens.
 
+    Spark copies the whole state at every step. So runs of tokens are folded with what they write in the state, about as many runs as
+    tokens in a run, and the runs' texts are carried from run to run only.
+    """
     start = F.struct(
         F.lit("").alias("cur"), F.array().cast(STRINGS).alias("notes"), F.lit(0).alias("notes_made"),
         F.lit(0).alias("depth"), F.lit(0).alias("skip"), F.lit("").alias("skipped"), F.lit(0).alias("chapters"),
         F.array().cast(LISTS).alias("lists"), F.lit("").alias("mark"), F.lit(False).alias("heading"),
         F.lit("").alias("url"), *[F.lit(0).alias(f) for f in ("rows", "cols", "width", "blocks")],
     )
+    run = F.greatest(F.lit(RUN), F.ceil(F.sqrt(F.size(tokens))).cast("int"))
 
     def step(s: Column, t: Column) -> Column:
         if rules.any_child_is_item:
             return let(_begin_item(s, t), lambda x: _step(x, t, rules))
         return _step(s, t, rules)
 
-    def fold(tokens: Column) -> Column:
-        """Spark copies the whole state at every step. So runs of tokens are folded with what they write in the state, about as many runs as
-        tokens in a run, and the runs' texts are carried from run to run only."""
-        run = F.greatest(F.lit(RUN), F.ceil(F.sqrt(F.size(tokens))).cast("int"))
+    def whole(size: Column) -> Column:
+        begin = F.struct(start.alias("state"), F.array().cast(STRINGS).alias("out"))
+        runs = F.sequence(F.lit(0), F.floor(F.size(tokens) / size).cast("int"))
 
-        def whole(size: Column) -> Column:
-            begin = F.struct(start.alias("state"), F.array().cast(STRINGS).alias("out"))
-            runs = F.sequence(F.lit(0), F.floor(F.size(tokens) / size).cast("int"))
+        def one(acc: Column, i: Column) -> Column:
+            own = F.aggregate(F.slice(tokens, i * size + 1, size), acc["state"].withField("cur", F.lit("")), step)
+            return let(own, lambda s: F.struct(
+                s.withField("cur", F.lit("")).alias("state"), F.concat(acc["out"], F.array(s["cur"])).alias("out")
+            ))
 
-            def one(acc: Column, i: Column) -> Column:
-                own = F.aggregate(F.slice(tokens, i * size + 1, size), acc["state"].withField("cur", F.lit("")), step)
-                return let(own, lambda s: F.struct(
-                    s.withField("cur", F.lit("")).alias("state"), F.concat(acc["out"], F.array(s["cur"])).alias("out")
-                ))
+        return F.aggregate(runs, begin, one, lambda acc: F.array_join(acc["out"], ""))
 
-            return F.aggregate(runs, begin, one, lambda acc: F.array_join(acc["out"], ""))
+    return _tidy(let(run, whole))
 
-        return _tidy(let(run, whole))
 
+def sections_to_markdown(
+    df: DataFrame, sections: Mapping[str, Column], rules: Rules = XML, error: str | None = "error"
+) -> DataFrame:
+    """Add the Markdown of several markup columns, all converted by one fold expression.
+
+    ``error`` names a column with the unknown tags (NULL when all are known).
+    """
+    names = list(sections)
     keep = [c for c in df.columns if c not in (*names, error)]
     df = df.withColumn("_markup", F.array(*sections.values()))
-    df = df.withColumn("_tokens", F.transform("_markup", source))
-    df = df.withColumn("_markdown", F.transform("_tokens", fold))
+    df = df.withColumn("_tokens", F.transform("_markup", lambda m: _tokens_of(m, rules)))
+    df = df.withColumn("_markdown", F.transform("_tokens", lambda t: _fold(t, rules)))
     cols = [F.when(F.get("_markup", i).isNotNull(), F.get("_markdown", i)).alias(n) for i, n in enumerate(names)]
     if error:
         unknown = F.array_sort(
@@ -419,45 +422,61 @@ def _spaced(c: Column, *tags: str) -> Column:
     return F.array_join(F.filter(F.array(*[child_or_blank(c, t) for t in tags]), lambda x: x != ""), " ")
 
 
-def statute_to_markdown(col: str | Column) -> Column:
-    """One statute: header, preamble, then per section a bold head, its moments and its item lists."""
+_TABLE = rf"^<{PREFIX}table[\s>]"
+
+
+def _with_tables(x: Column) -> Column:
+    """The text of an element and, as markup, the tables in it."""
+    return F.concat(F.array(text_of(without(x, "table"))), subtrees(x, "table"))
+
+
+def statute_blocks(col: str | Column) -> Column:
+    """One statute as a list of blocks: header, preamble, then per section a bold head and in their order its moments, item lists and tables. Tables are
+    markup still."""
     c = F.col(col) if isinstance(col, str) else col
     header = _spaced(c, "LakiehdotusNumeroKooste", "SaadostyyppiKooste", "SaadosNimekeKooste")
-    preamble = F.transform(
-        F.flatten(F.transform(subtrees(c, "Johtolause"), lambda j: subtrees(j, "SaadosKappaleKooste"))), text_of
-    )
+    preamble = F.flatten(F.transform(
+        F.flatten(F.transform(subtrees(c, "Johtolause"), lambda j: subtrees(j, "SaadosKappaleKooste", "table"))), _with_tables
+    ))
+
+    def part(x: Column) -> Column:
+        items = F.flatten(F.transform(
+            subtrees(x, "MomenttiJohdantoKooste", "MomenttiKohtaKooste", "table"),
+            lambda y: F.when(y.rlike(_TABLE), F.array(y))
+            .when(y.rlike(rf"^<{PREFIX}MomenttiKohtaKooste"), let(
+                _with_tables(y), lambda b: F.concat(F.array(F.concat(F.lit("- "), F.get(b, 0))), F.slice(b, 2, F.size(b)))))
+            .otherwise(_with_tables(y)),
+        ))
+        return F.when(x.rlike(_TABLE), F.array(x)).when(x.rlike(rf"^<{PREFIX}KohdatMomentti"), items).otherwise(_with_tables(x))
 
     def section(p: Column) -> Column:
         head = _spaced(p, "PykalaTunnusKooste", "SaadosOtsikkoKooste")
-        moments = F.transform(subtrees(p, "MomenttiKooste"), text_of)
-        lists = F.flatten(
-            F.transform(
-                subtrees(p, "KohdatMomentti"),
-                lambda m: F.transform(
-                    subtrees(m, "MomenttiJohdantoKooste", "MomenttiKohtaKooste"),
-                    lambda x: F.when(
-                        x.rlike(rf"^<{PREFIX}MomenttiKohtaKooste"), F.concat(F.lit("- "), text_of(x))
-                    ).otherwise(text_of(x)),
-                ),
-            )
-        )
         bold = F.transform(
             F.array(head), lambda h: F.when(h != "", F.concat(F.lit("**"), h, F.lit("**"))).otherwise(F.lit(""))
         )
-        return F.concat(bold, moments, lists)
+        return F.concat(bold, F.flatten(F.transform(subtrees(p, "MomenttiKooste", "KohdatMomentti", "table"), part)))
 
     sections = F.flatten(F.transform(subtrees(c, "Pykala"), section))
     title = F.transform(
         F.array(header), lambda h: F.when(h != "", F.concat(F.lit("# "), h, F.lit("\n"))).otherwise(F.lit(""))
     )
-    blocks = F.filter(F.concat(title, preamble, sections), lambda b: ~b.isin("", "- "))
-    return F.array_join(blocks, "\n\n")
+    return F.filter(F.concat(title, preamble, sections), lambda b: ~b.isin("", "- "))
+
+
+def _shown(blocks: Column) -> Column:
+    """Blocks as Markdown, their tables converted."""
+    each = F.transform(blocks, lambda b: F.when(b.rlike(_TABLE), let(_tokens_of(b, XML), lambda t: _fold(t, XML))).otherwise(b))
+    return F.array_join(F.filter(each, lambda b: b != ""), "\n\n")
+
+
+def statute_to_markdown(col: str | Column) -> Column:
+    return _shown(statute_blocks(col))
 
 
 def law_changes(col: str | Column) -> Column:
     """All statutes of a document, divided by rules; NULL without any."""
     statutes = F.flatten(F.transform(subtrees(col, "SaadosOsa"), lambda x: subtrees(x, "Saados")))
-    texts = F.filter(F.transform(statutes, statute_to_markdown), lambda x: x != "")
+    texts = F.filter(F.transform(F.transform(statutes, statute_blocks), _shown), lambda x: x != "")
     return F.nullif(F.array_join(texts, "\n\n---\n\n"), F.lit(""))
 
 

@@ -107,3 +107,43 @@ def test_cutting(spark):
     ).first()
     assert row["all"] == ['<p:A x:id="1&amp;2">a <B>b</B></p:A>', "<A/>", '<A id="">c</A>']
     assert (row.id, row.own, row.text, row.none, row.rest, row.empty) == ("1&2", "a", "a b", None, "no", None)
+
+
+TABLE = (
+    '<tau:table><tau:tgroup cols="2"><tau:colspec/><tau:colspec/><tau:tbody><tau:row><tau:entry><sis:KappaleKooste>A</sis:KappaleKooste></tau:entry>'
+    "<tau:entry><sis:KappaleKooste>B</sis:KappaleKooste></tau:entry></tau:row><tau:row><tau:entry><sis:KappaleKooste>{0}</sis:KappaleKooste></tau:entry>"
+    "<tau:entry><sis:KappaleKooste>2</sis:KappaleKooste></tau:entry></tau:row></tau:tbody></tau:tgroup></tau:table>"
+)
+
+
+def test_tables_in_statutes_keep_their_place(spark):
+    from plenum.functions.markup import law_changes
+
+    xml = (
+        "<saa:SaadosOsa><saa:Saados><saa:SaadosNimekeKooste>Laki</saa:SaadosNimekeKooste><saa:Johtolause><saa:SaadosKappaleKooste>muutetaan"
+        + TABLE.format(0) + "</saa:SaadosKappaleKooste></saa:Johtolause><saa:Pykala><saa:PykalaTunnusKooste>1 §</saa:PykalaTunnusKooste>"
+        "<saa:MomenttiKooste>Eka." + TABLE.format(1) + "</saa:MomenttiKooste>" + TABLE.format(3)
+        + "<saa:KohdatMomentti><saa:MomenttiJohdantoKooste>Ovat:</saa:MomenttiJohdantoKooste><saa:MomenttiKohtaKooste>1) yksi" + TABLE.format(4)
+        + "</saa:MomenttiKohtaKooste><saa:MomenttiKohtaKooste>2) kaksi</saa:MomenttiKohtaKooste></saa:KohdatMomentti><saa:MomenttiKooste>Loppu."
+        "</saa:MomenttiKooste></saa:Pykala></saa:Saados></saa:SaadosOsa>"
+    )
+    got = spark.createDataFrame([(xml,)], "x string").select(law_changes("x")).first()[0]
+
+    def table(n):
+        return f"| A | B |\n| --- | --- |\n| {n} | 2 |"
+
+    assert got == "\n\n".join(["# Laki\n", "muutetaan", table(0), "**1 §**", "Eka.", table(1), table(3), "Ovat:", "- 1) yksi", table(4), "- 2) kaksi", "Loppu."])
+
+
+def test_time_follows_the_length_of_a_page(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("<p>some <b>bold</b> words &amp; more</p><ul><li>x</li></ul>" * n,)], "t string")
+        began = time.time()
+        assert len(m.to_markdown(df, "t", rules=m.HTML).first()["markdown"]) > 20 * n
+        return time.time() - began
+
+    seconds(10)
+    small, large = min(seconds(4000) for _ in range(2)), min(seconds(16_000) for _ in range(2))
+    assert large < 4 * small + 4
