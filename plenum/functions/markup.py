@@ -388,15 +388,18 @@ def _fold(tokens: Column, rules: Rules) -> Column:
 
 
 def sections_to_markdown(
-    df: DataFrame, sections: Mapping[str, Column], rules: Rules = XML, error: str | None = "error"
+    df: DataFrame, sections: Mapping[str, Column], rules: Rules = XML, error: str | None = "error",
+    more: Column | None = None, more_out: str = "_more",
 ) -> DataFrame:
     """Add the Markdown of several markup columns, all converted by one fold expression.
 
-    ``error`` names a column with the unknown tags (NULL when all are known).
+    ``error`` names a column with the unknown tags (NULL when all are known); ``more`` is a list of
+    further pieces, whose Markdown comes as a list of the same order.
     """
     names = list(sections)
     keep = [c for c in df.columns if c not in (*names, error)]
-    df = df.withColumn("_markup", F.array(*sections.values()))
+    pieces = F.array(*sections.values())
+    df = df.withColumn("_markup", pieces if more is None else F.concat(pieces, more))
     df = df.withColumn("_tokens", F.transform("_markup", lambda m: _tokens_of(m, rules)))
     df = df.withColumn("_markdown", F.transform("_tokens", lambda t: _fold(t, rules)))
     cols = [F.when(F.get("_markup", i).isNotNull(), F.get("_markdown", i)).alias(n) for i, n in enumerate(names)]
@@ -409,6 +412,8 @@ def sections_to_markdown(
             )
         )
         cols.append(F.nullif(F.array_join(unknown, ","), F.lit("")).alias(error))
+    if more is not None:
+        cols.append(F.slice("_markdown", len(names) + 1, F.size("_markdown")).alias(more_out))
     return df.select(*keep, *cols)
 
 
@@ -463,21 +468,38 @@ def statute_blocks(col: str | Column) -> Column:
     return F.filter(F.concat(title, preamble, sections), lambda b: ~b.isin("", "- "))
 
 
-def _shown(blocks: Column) -> Column:
-    """Blocks as Markdown, their tables converted."""
-    each = F.transform(blocks, lambda b: F.when(b.rlike(_TABLE), let(_tokens_of(b, XML), lambda t: _fold(t, XML))).otherwise(b))
+def is_table(block: Column) -> Column:
+    return block.rlike(_TABLE)
+
+
+def statutes_of(col: str | Column) -> Column:
+    """The blocks of all statutes of a document."""
+    return F.transform(F.flatten(F.transform(subtrees(col, "SaadosOsa"), lambda x: subtrees(x, "Saados"))), statute_blocks)
+
+
+def joined_blocks(blocks: Column, table: Callable[[Column], Column]) -> Column:
+    """Blocks as Markdown; ``table`` gives that of a table's markup."""
+    each = F.transform(blocks, lambda b: F.when(is_table(b), table(b)).otherwise(b))
     return F.array_join(F.filter(each, lambda b: b != ""), "\n\n")
 
 
+def joined_statutes(statutes: str | Column, table: Callable[[Column], Column]) -> Column:
+    """All statutes of a document, divided by rules; NULL without any."""
+    texts = F.filter(F.transform(statutes, lambda s: joined_blocks(s, table)), lambda x: x != "")
+    return F.nullif(F.array_join(texts, "\n\n---\n\n"), F.lit(""))
+
+
+def _table_to_markdown(markup: Column) -> Column:
+    return let(_tokens_of(markup, XML), lambda t: _fold(t, XML))
+
+
 def statute_to_markdown(col: str | Column) -> Column:
-    return _shown(statute_blocks(col))
+    return joined_blocks(statute_blocks(col), _table_to_markdown)
 
 
 def law_changes(col: str | Column) -> Column:
     """All statutes of a document, divided by rules; NULL without any."""
-    statutes = F.flatten(F.transform(subtrees(col, "SaadosOsa"), lambda x: subtrees(x, "Saados")))
-    texts = F.filter(F.transform(F.transform(statutes, statute_blocks), _shown), lambda x: x != "")
-    return F.nullif(F.array_join(texts, "\n\n---\n\n"), F.lit(""))
+    return joined_statutes(statutes_of(col), _table_to_markdown)
 
 
 def page_sections(df: DataFrame, col: str) -> DataFrame:
@@ -488,6 +510,6 @@ def page_sections(df: DataFrame, col: str) -> DataFrame:
 
 
 __all__ = [
-    "HTML", "XML", "Rules", "law_changes", "page_sections", "sections_to_markdown", "statute_to_markdown",
-    "subtree", "to_markdown", "without",
+    "HTML", "XML", "Rules", "is_table", "joined_statutes", "law_changes", "page_sections", "sections_to_markdown",
+    "statute_to_markdown", "statutes_of", "subtree", "to_markdown", "without",
 ]

@@ -9,7 +9,7 @@ from plenum import schemas
 from plenum.functions.clean import (
     blank_to_null, date_prefix, lonely_empties, lower_id, map_status, numeric_id,
 )
-from plenum.functions.markup import law_changes, sections_to_markdown
+from plenum.functions.markup import is_table, joined_statutes, sections_to_markdown, statutes_of
 from plenum.functions.xmltext import attribute, canonical, child_text, subtree, subtrees, text_of
 from plenum.operators.nested import spread
 from plenum.operators.resolve import assign_key, exists_flag, lookup_first, resolve_signers
@@ -71,14 +71,19 @@ def extract_sections(
     titles = F.transform(
         F.flatten(F.transform(subtrees(body, "Nimeke"), lambda n: subtrees(n, "NimekeTeksti"))), text_of
     )
-    df = sections_to_markdown(df, {n: parts[n] for n in wanted}, error="markup_error")
+    # Tables of statutes are converted together with the sections.
+    df = df.withColumn("_statutes", statutes_of(whole or body))
+    df = df.withColumn("_tables", F.filter(F.flatten("_statutes"), is_table))
+    df = sections_to_markdown(df, {n: parts[n] for n in wanted}, error="markup_error", more=F.col("_tables"), more_out="_shown")
     return df.withColumns(
         {
             "title": blank_to_null(F.array_join(titles, "\n\n")),
-            "law_changes": law_changes(whole or body),
+            "law_changes": joined_statutes(
+                "_statutes", lambda t: F.get("_shown", F.array_position(F.col("_tables"), t).cast("int") - 1)
+            ),
             **{n: blank_to_null(n) for n in wanted},
         }
-    )
+    ).drop("_statutes", "_tables", "_shown")
 
 
 def extract_signers(df: DataFrame, body: str = "body", keys: tuple[str, ...] = ("id",)) -> DataFrame:

@@ -121,3 +121,16 @@ def test_schema_reads_wanted_fields_only(spark):
 def test_long_documents(spark, text):
     got = spark.createDataFrame([(text,)], "t string").select(x.canonical("t").alias("c")).first()["c"]
     assert tree(got) == tree(text)
+
+
+def test_tables_of_statutes_in_a_proposal(spark):
+    grid = "<t:table><t:tgroup><t:colspec/><t:colspec/><t:row><t:entry>A</t:entry><t:entry>B</t:entry></t:row><t:row><t:entry>{0}</t:entry><t:entry>2</t:entry></t:row></t:tgroup></t:table>"
+    law = "<s:SaadosOsa><s:Saados><s:Pykala><s:PykalaTunnusKooste>{0} §</s:PykalaTunnusKooste><s:MomenttiKooste>Eka." + grid + "</s:MomenttiKooste>" + grid.format("x") + "</s:Pykala></s:Saados></s:SaadosOsa>"
+    body = "<e:EduskuntaAloite><a:AsiaKuvaus><k:KappaleKooste>T</k:KappaleKooste></a:AsiaKuvaus>" + law.format(1) + law.format(2) + "</e:EduskuntaAloite>"
+    raw = spark.createDataFrame([("<s:Siirto><j:JulkaisuMetatieto m:eduskuntaTunnus='LA 1/2024 vp'/>" + body + "</s:Siirto>",)], "XmlData string")
+    row = documents.extract_sections(documents.with_body(raw, "mp_law")).first()
+
+    def shown(n):
+        return f"**{n} §**\n\nEka.\n\n| A | B |\n| --- | --- |\n| {n} | 2 |\n\n| A | B |\n| --- | --- |\n| x | 2 |"
+
+    assert row.law_changes == shown(1) + "\n\n---\n\n" + shown(2) and row.summary == "T" and row.markup_error is None
