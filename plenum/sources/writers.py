@@ -30,15 +30,7 @@ def with_doc_type(df: DataFrame, xml_col: str, suffix: str = "_fi", out: str = "
     return df.withColumn(out, kind).where(F.endswith(F.col(out), F.lit(suffix)))
 
 
-def route_by_type(
-    df: DataFrame, xml_col: str, path: str, suffix: str = "_fi", files_per_type: int = 8, mode: str = "overwrite"
-) -> None:
-    """One folder per document type. A salt spreads a dominant type over several files and tasks."""
-    salt = F.pmod(F.xxhash64(xml_col), F.lit(files_per_type))
-    (
-        with_doc_type(df, xml_col, suffix)
-        .repartition("doctype", salt)
-        .write.mode(mode)
-        .partitionBy("doctype")
-        .parquet(path)
-    )
+def route_by_type(df: DataFrame, xml_col: str, path: str, suffix: str = "_fi", mode: str = "overwrite") -> None:
+    """One folder per document type. Files follow the size of the data: a rebalance joins small types' rows in a task and splits a dominant type over
+    several."""
+    with_doc_type(df, xml_col, suffix).hint("rebalance", "doctype").write.mode(mode).partitionBy("doctype").parquet(path)

@@ -229,3 +229,17 @@ def test_documents(spark):
         ("he 1/2024 vp", "Nimi", "open", None), ("he 2/2024 vp", "Nimi", "open", None)]
     assert sorted((r.proposal_id, r.person_id, r.first) for r in signed.collect()) == [
         ("he 1/2024 vp", 5, True), ("he 2/2024 vp", 5, True)]
+
+
+def test_files_of_a_type_follow_its_size(spark, tmp_path):
+    rows = spark.range(60_000).select(
+        F.concat(F.lit("<x>VASKI_JULKVP_"), F.when(F.col("id") % 100 != 0, "Record").otherwise("Law"), F.lit("_fi "), F.sha2(F.col("id").cast("string"), 512), F.lit("</x>")).alias("xml"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        writers.route_by_type(rows, "xml", str(tmp_path / "docs"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "docs").glob("doctype=*")}
+    assert files["doctype=Law_fi"] == 1 < 4 < files["doctype=Record_fi"]
+    assert readers.load(spark, str(tmp_path / "docs")).count() == 60_000
