@@ -165,7 +165,25 @@ def _person_cols(df):
     )
 
 
+def _signed(s, d):
+    """Proposals of the orders with the names of their signers."""
+    nothing = F.lit(None).cast("string")
+    docs = b.proposals(s, d).select("id", "title", nothing.alias("summary"), nothing.alias("reasoning"), nothing.alias("law_changes"))
+    return t.build_postings(t.proposal_docs(docs, b.signatures(s, d), b.supplier_persons(s, d)), ["of"])
+
+
+def _stemmed(s, d):
+    """Postings of all documents by Finnish stem, without Finnish stop words."""
+    return finnish.stemmed_postings(t.build_postings(t.proposal_docs(b.documents(s, d)), finnish.stop_words(s)))
+
+
 QUERIES = {
+    "search_signers": (
+        lambda s, d: t.match_docs(_signed(s, d), t.parse_query('"given0 supplier 000000007" -urgent', ["of"])).withColumn("rank", F.round("rank", 6)),
+        # Who signed twice is named twice.
+        """SELECT l_orderkey AS doc_id, round(0.1 * count(*), 6) AS rank FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+        WHERE l_suppkey = 7 AND o_orderpriority NOT LIKE '%URGENT%' GROUP BY 1""",
+    ),
     "search_postings": (
         lambda s, d: _postings(s, d).select(
             "doc_id", "term", F.size("positions").alias("n"), F.get("positions", 0).alias("first_pos"),
