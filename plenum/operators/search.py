@@ -193,6 +193,8 @@ def cover_density(query: Query, spans: Callable[[Element], Column], positions: C
 
     elements = list(dict.fromkeys(e for c in wanted for e in c))
     terms = list(dict.fromkeys(t for e in elements for _, t in e.words))
+    if all(len(e.words) == 1 for e in elements):
+        return _word_covers(wanted, elements, spans)
     # Hits of a stretch as long as the longest phrase are remembered, so that an occurrence's own hits can be counted.
     width = 1 + max(e.words[-1][0] for e in elements)
     HIT, END, LOOK = 0, 1, 2
@@ -267,6 +269,37 @@ def _postings_of(postings: DataFrame | SearchIndex, query: Query) -> DataFrame:
     return rows.join(F.broadcast(few), "doc_id", "left_semi")
 
 
+def _word_covers(wanted: list[list[Element]], elements: list[Element], spans: Callable[[Element], Column]) -> Column:
+    """`cover_density` of words only: every occurrence is a hit of its own, so its number is the hits so far."""
+    events = F.array_sort(F.concat(*[_tagged(spans(e), i) for i, e in enumerate(elements)]))
+    fields = [f"{f}{i}" for i in range(len(elements)) for f in ("s", "n")]
+    begin = F.struct(F.lit(0).alias("hits"), F.lit(-1).alias("prev"), F.lit(0.0).alias("score"), *[F.lit(-1).alias(f) for f in fields])
+
+    def latest(of: dict[str, Column], field: str) -> Column:
+        starts = [F.least(*[of[f"{field}{elements.index(e)}"] for e in c]) if len(c) > 1 else of[f"{field}{elements.index(c[0])}"] for c in wanted]
+        return F.greatest(*starts) if len(starts) > 1 else starts[0]
+
+    def step(state: Column, ev: Column) -> Column:
+        own = {}
+        for i in range(len(elements)):
+            own[f"s{i}"] = F.when(ev["i"] == i, ev["s"]).otherwise(state[f"s{i}"])
+            own[f"n{i}"] = F.when(ev["i"] == i, state["hits"]).otherwise(state[f"n{i}"])
+        start = latest(own, "s")
+        noise = F.greatest(ev["s"] - start - (state["hits"] - latest(own, "n")), F.lit(0))
+        moved = start > state["prev"]
+        return F.struct(
+            (state["hits"] + 1).alias("hits"), F.when(moved, start).otherwise(state["prev"]).alias("prev"),
+            (state["score"] + F.when(moved, F.lit(WORD_WEIGHT) / (F.lit(1) + noise)).otherwise(F.lit(0.0))).alias("score"),
+            *[own[f].alias(f) for f in fields],
+        )
+
+    return F.aggregate(events, begin, step, lambda s: s["score"])
+
+
+def _tagged(places: Column, i: int) -> Column:
+    return F.transform(places, lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("i")))
+
+
 def match_docs(postings: DataFrame | SearchIndex, query: Query | None, docs: DataFrame | None = None) -> DataFrame:
     """(doc_id, rank) of the matching documents.
 
