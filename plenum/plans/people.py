@@ -7,6 +7,8 @@ a builder needs; repeated elements are arrays, so one child or many read the sam
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from plenum import schemas
 from plenum.functions.clean import blank_to_null, complete_date, drop_sentinels, harmonize, map_role, parse_dmy
 from plenum.functions.xmltext import canonical, subtree
 from plenum.operators.aggregate import union_fill
-from plenum.operators.nested import concat_lists
+from plenum.operators.nested import concat_lists, spread
 from plenum.operators.resolve import assign_key, lookup_values, not_in
 from plenum.operators.temporal import distinct_values
 from plenum.sources.readers import parse_xml
@@ -89,7 +91,7 @@ def build_ministers(raw: DataFrame, xml: str = "XmlDataFi") -> tuple[DataFrame,
     """(ministers, minister_positions); only posts with a ministry. Their list may stand anywhere, so it is cut out before it is parsed."""
     posts_of = subtree(canonical(xml), "ValtioneuvostonJasenyydet")
     docs = _parsed(raw.select("personId", posts_of.alias(xml)), xml, POSTS)
-    posts = docs.select("personId", F.explode("doc.Jasenyys").alias("p"))
+    posts = spread(docs, ["personId"], F.col("doc.Jasenyys"), "p")
     ministers = posts.where(_text("p.Ministeriys") != "").select(
         F.col("personId").cast("int").alias("person_id"),
         blank_to_null(_text("p.Nimi")).alias("minister_position"),
@@ -102,7 +104,7 @@ def build_ministers(raw: DataFrame, xml: str = "XmlDataFi") -> tuple[DataFrame,
 
 def build_interests(raw: DataFrame, xml: str = "XmlDataFi") -> DataFrame:
     docs = _parsed(raw, xml, INTERESTS)
-    rows = docs.select("personId", F.posexplode("doc.Sidonnaisuudet.Sidonnaisuus").alias("pos", "s")).select(
+    rows = spread(docs, ["personId"], F.col("doc.Sidonnaisuudet.Sidonnaisuus"), "s", "pos").select(
         F.col("personId").cast("int").alias("person_id"), "pos",
         blank_to_null(_text("s.RyhmaOtsikko")).alias("category"), blank_to_null(_text("s.Sidonta")).alias("interest"),
     )
@@ -127,7 +129,7 @@ def _groups(raw: DataFrame, xml: str) -> DataFrame:
         _plain(g["Nimi"]).alias("name"), F.coalesce(g["Jasenyys"], none).alias("periods"),
     ))
     return (
-        docs.select(F.col("personId").cast("int").alias("person_id"), F.explode(concat_lists(current, former)).alias("x"))
+        spread(docs, [F.col("personId").cast("int").alias("person_id")], concat_lists(current, former), "x")
         .select("person_id", "x.name", "x.periods")
         .where("name <> ''")
     )
@@ -140,23 +142,24 @@ def build_parliamentary_groups(raw: DataFrame, xml: str = "XmlDataFi", parity: b
 
 
 def build_group_memberships(raw: DataFrame, xml: str = "XmlDataFi") -> DataFrame:
-    return _groups(raw, xml).select("person_id", "name", F.explode("periods").alias("m")).select(
+    return spread(_groups(raw, xml), ["person_id", "name"], F.col("periods"), "m").select(
         harmonize("name").alias("pg_id"), "person_id",
         parse_dmy(_text("m.AlkuPvm")).alias("start_date"), parse_dmy(_text("m.LoppuPvm")).alias("end_date"),
     )
 
 
-def _committees(raw: DataFrame, xml: str) -> DataFrame:
-    """(person_id, retired, name, periods): current and former seats in real committees."""
+def _committees(raw: DataFrame, xml: str, serving: Callable[[Column], Column]) -> DataFrame:
+    """(person_id, name, periods): current and former seats in real committees of those whose day of retirement passes.
+
+    The day decides inside the list of seats: a filter on it would be pushed below the parsing, also below the shuffle that spreads the documents, and
+    parse them there once more.
+    """
     docs = _parsed(raw, xml, COMMITTEES)
     seats = F.concat(_list(docs, "doc.NykyisetToimielinjasenyydet.Toimielin"), _list(docs, "doc.AiemmatToimielinjasenyydet.Toimielin"))
+    retired = complete_date(_text("doc.KansanedustajuusPaattynytPvm"), "start")
     return (
-        docs.select(
-            F.col("personId").cast("int").alias("person_id"),
-            complete_date(_text("doc.KansanedustajuusPaattynytPvm"), "start").alias("retired"),
-            F.explode(seats).alias("c"),
-        )
-        .select("person_id", "retired", _text("c.Nimi").alias("name"), F.col("c._OnkoValiokunta").alias("real"), F.col("c.Jasenyys").alias("periods"))
+        spread(docs, [F.col("personId").cast("int").alias("person_id")], F.when(serving(retired), seats), "c")
+        .select("person_id", _text("c.Nimi").alias("name"), F.col("c._OnkoValiokunta").alias("real"), F.col("c.Jasenyys").alias("periods"))
         .where("name <> '' AND real = 'true'").drop("real")
     )
 
@@ -165,16 +168,16 @@ def build_assemblies(spark: SparkSession, raw: DataFrame, xml: str = "XmlDataFi"
     """The assemblies that keep records, and the committees of members who retired since the cut-off."""
     fixed = spark.createDataFrame(schemas.ASSEMBLIES, "code string, name string")
     cutoff = F.lit(schemas.ASSEMBLY_RETIREMENT_CUTOFF).cast("date")
-    seen = _committees(raw, xml).where(F.col("retired") >= cutoff)
+    seen = _committees(raw, xml, lambda retired: retired >= cutoff)
     found = distinct_values(seen, "name")
     return union_fill(fixed, not_in(found, fixed, ["name"]))
 
 
 def build_committee_memberships(raw: DataFrame, xml: str = "XmlDataFi") -> DataFrame:
     cutoff = F.lit(schemas.COMMITTEE_RETIREMENT_CUTOFF).cast("date")
-    seats = _committees(raw, xml).where(F.coalesce(F.col("retired") >= cutoff, F.lit(True)))
+    seats = _committees(raw, xml, lambda retired: F.coalesce(retired >= cutoff, F.lit(True)))
     return (
-        seats.select("person_id", F.col("name").alias("committee_name"), F.explode("periods").alias("m"))
+        spread(seats, ["person_id", F.col("name").alias("committee_name")], F.col("periods"), "m")
         .where(_text("m.AlkuPvm") != "")
         .select(
             "person_id", "committee_name", complete_date(_text("m.AlkuPvm"), "start").alias("start_date"),

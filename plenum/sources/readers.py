@@ -39,14 +39,18 @@ def read_quoted_csv(spark: SparkSession, path: str, columns: Mapping[str, str],
     return df.select(*[F.btrim(F.col(c), F.lit("'")).alias(c) for c in columns.values()])
 
 
-def widen(df: DataFrame) -> DataFrame:
+def widen(df: DataFrame, times: int = 1) -> DataFrame:
     """Spread a scan over all cores when it has fewer splits than that.
 
     For costly work per row (parsing, tokenising) on a small or badly split
     file. A large input has splits enough and is left alone, unshuffled.
+    Narrow rows that become long documents are many in a split: those are
+    spread over several tasks (``times``) for each split and core.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if times > 1:
+        return df.repartition(max(cores, splits) * times)
+    return df if splits >= cores else df.repartition(cores)
 
 
 def read_json(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
