@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.functions.clean import boost_score, ilike_match, text_concat
+from plenum.functions.markup import let
 from plenum.operators.aggregate import agg_names, page, with_total
 from plenum.operators.nested import NEST_LIMIT, spread
 from plenum.operators.temporal import latest_interval
@@ -119,24 +120,51 @@ def proposal_docs(
     return main.unionByName(rest)
 
 
+def _grouped_words(texts: Column, stop_words: Sequence[str]) -> Column:
+    """(term, positions) of the words of a document: sorted pairs are cut where the term changes."""
+    pairs = F.flatten(F.transform(texts, lambda t: F.transform(
+        tokens(t), lambda w, i: F.struct(w.alias("term"), (i + 1).cast("int").alias("pos"))
+    )))
+    if stop_words:
+        pairs = F.filter(pairs, lambda p: ~p["term"].isin(list(stop_words)))
+
+    def cut(sorted_pairs: Column) -> Column:
+        n = F.size(sorted_pairs)
+        starts = F.filter(
+            F.sequence(F.lit(0), n),
+            lambda i: (i == 0) | (i == n) | (F.get(sorted_pairs, i)["term"] != F.get(sorted_pairs, i - 1)["term"]),
+        )
+        return let(starts, lambda at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda a, i: F.struct(
+            F.get(sorted_pairs, a)["term"].alias("term"),
+            F.transform(F.slice(sorted_pairs, a + 1, F.get(at, i + 1) - a), lambda p: p["pos"]).alias("positions"),
+        )))
+
+    return let(F.array_sort(pairs), lambda p: F.when(F.size(p) > 0, cut(p)))
+
+
 def build_postings(docs: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
     """Postings of documents (doc_id, segment, text). Dropped stop words keep their position.
 
-    Only documents with further segments are joined with the words before these.
+    Texts meet by document, so that words are grouped inside a row and no word is shuffled. The words of further segments, which must be joined with the
+    words before these, and those of documents without an id, which are all one document, are grouped one by one.
     """
     later = docs.where(F.col("segment") > 0)
     sizes = docs.join(later.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "segment", F.size(tokens("text")).alias("_n"))
     earlier = Window.partitionBy("doc_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("doc_id", "segment", F.sum("_n").over(earlier).alias("_before")).where(F.col("segment") > 0)
     words = ["doc_id", "segment"], tokens("text"), "term", "pos"
-    first = spread(docs.where(F.col("segment") == 0), *words)
     rest = spread(later, *words).join(before, ["doc_id", "segment"]).withColumn("pos", F.col("pos") + F.col("_before"))
-    exploded = first.unionByName(rest.select(*first.columns))
+    nameless = spread(docs.where((F.col("segment") == 0) & F.col("doc_id").isNull()), *words)
+    exploded = nameless.unionByName(rest.select(*nameless.columns))
     if stop_words:
         exploded = exploded.where(~F.col("term").isin(list(stop_words)))
-    return exploded.groupBy("doc_id", "segment", "term").agg(
+    singly = exploded.groupBy("doc_id", "segment", "term").agg(
         F.array_sort(F.collect_list((F.col("pos") + 1).cast("int"))).alias("positions")
     )
+    texts = docs.where((F.col("segment") == 0) & F.col("doc_id").isNotNull()).groupBy("doc_id", "segment").agg(F.collect_list("text").alias("_texts"))
+    return spread(texts, ["doc_id", "segment"], _grouped_words(F.col("_texts"), stop_words), "_w").select(
+        "doc_id", "segment", "_w.term", "_w.positions"
+    ).unionByName(singly)
 
 
 # --- matching and ranking -----------------------------------------------------------------

@@ -57,14 +57,19 @@ def write_index(postings: DataFrame, path: str, buckets: int = BUCKETS) -> Searc
     are sorted by term inside a file.
     """
     spark = postings.sparkSession
-    placed = postings.withColumn("bucket", term_bucket("term", buckets))
+    # Positions travel as text: lists of one or two numbers would be headers mostly.
+    placed = postings.withColumn("bucket", term_bucket("term", buckets)).withColumn("positions", F.array_join("positions", " "))
+    lists = F.when(F.col("positions") == "", F.array().cast("array<int>")).otherwise(F.split("positions", " ").cast("array<int>"))
     (
-        placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id", "segment")
+        placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id", "segment").withColumn("positions", lists)
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     )
     stored = spark.read.parquet(f"{path}/postings")
+    # A term has one posting in a segment, so postings are documents where all of these have one segment.
+    several = not stored.where(F.col("segment") > 0).isEmpty()
+    documents = F.countDistinct("doc_id") if several else F.count("doc_id")
     (
-        stored.groupBy("bucket", "term").agg(F.countDistinct("doc_id").alias("documents"), F.sum(F.size("positions")).alias("hits"))
+        stored.groupBy("bucket", "term").agg(documents.alias("documents"), F.sum(F.size("positions")).alias("hits"))
         .hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     )
