@@ -17,8 +17,8 @@ words AS (
                                                      '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents))"""
 
 
-def _postings(s, d):
-    return t.build_postings(t.proposal_docs(b.documents(s, d)))
+def _postings(s, d, whole=False):
+    return t.build_postings(t.proposal_docs(b.documents(s, d)), whole=whole)
 
 
 def _match(q):
@@ -48,7 +48,7 @@ def _pages(s, d, q, limit, offset):
 def _stored(s, d):
     """The index of all documents, written and opened again."""
     path = scratch_folder(s, "search-index")
-    write_index(_postings(s, d), path)
+    write_index(_postings(s, d, whole=True), path)
     return open_index(s, path)
 
 
@@ -169,7 +169,7 @@ def _signed(s, d):
     """Proposals of the orders with the names of their signers."""
     nothing = F.lit(None).cast("string")
     docs = b.proposals(s, d).select("id", "title", nothing.alias("summary"), nothing.alias("reasoning"), nothing.alias("law_changes"))
-    return t.build_postings(t.proposal_docs(docs, b.signatures(s, d), b.supplier_persons(s, d)), ["of"])
+    return t.build_postings(t.proposal_docs(docs, b.signatures(s, d), b.supplier_persons(s, d)), ["of"], whole=True)
 
 
 def _stemmed(s, d):
@@ -185,7 +185,7 @@ QUERIES = {
         WHERE l_suppkey = 7 AND o_orderpriority NOT LIKE '%URGENT%' GROUP BY 1""",
     ),
     "search_postings": (
-        lambda s, d: _postings(s, d).select(
+        lambda s, d: _postings(s, d, whole=True).select(
             "doc_id", "term", F.size("positions").alias("n"), F.get("positions", 0).alias("first_pos"),
             F.try_element_at("positions", F.lit(-1)).alias("last_pos"),
         ),

@@ -142,10 +142,11 @@ def _grouped_words(texts: Column, stop_words: Sequence[str]) -> Column:
     return let(F.array_sort(pairs), lambda p: F.when(F.size(p) > 0, cut(p)))
 
 
-def build_postings(docs: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
+def build_postings(docs: DataFrame, stop_words: Sequence[str] = (), whole: bool = False) -> DataFrame:
     """Postings of documents (doc_id, segment, text). Dropped stop words keep their position.
 
-    Texts meet by document, so that words are grouped inside a row and no word is shuffled. The words of further segments, which must be joined with the
+    A filter on terms goes before the grouping of words. Where most postings are wanted (``whole``), as for an index, texts meet by document instead, so
+    that words are grouped inside a row and no word is shuffled. The words of further segments, which must be joined with the
     words before these, and those of documents without an id, which are all one document, are grouped one by one.
     """
     later = docs.where(F.col("segment") > 0)
@@ -154,14 +155,17 @@ def build_postings(docs: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame
     before = sizes.select("doc_id", "segment", F.sum("_n").over(earlier).alias("_before")).where(F.col("segment") > 0)
     words = ["doc_id", "segment"], tokens("text"), "term", "pos"
     rest = spread(later, *words).join(before, ["doc_id", "segment"]).withColumn("pos", F.col("pos") + F.col("_before"))
-    nameless = spread(docs.where((F.col("segment") == 0) & F.col("doc_id").isNull()), *words)
-    exploded = nameless.unionByName(rest.select(*nameless.columns))
+    first = docs.where(F.col("segment") == 0)
+    exploded = spread(first.where(F.col("doc_id").isNull()) if whole else first, *words)
+    exploded = exploded.unionByName(rest.select(*exploded.columns))
     if stop_words:
         exploded = exploded.where(~F.col("term").isin(list(stop_words)))
     singly = exploded.groupBy("doc_id", "segment", "term").agg(
         F.array_sort(F.collect_list((F.col("pos") + 1).cast("int"))).alias("positions")
     )
-    texts = docs.where((F.col("segment") == 0) & F.col("doc_id").isNotNull()).groupBy("doc_id", "segment").agg(F.collect_list("text").alias("_texts"))
+    if not whole:
+        return singly
+    texts = first.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "segment").agg(F.collect_list("text").alias("_texts"))
     return spread(texts, ["doc_id", "segment"], _grouped_words(F.col("_texts"), stop_words), "_w").select(
         "doc_id", "segment", "_w.term", "_w.positions"
     ).unionByName(singly)
