@@ -134,3 +134,16 @@ def test_tables_of_statutes_in_a_proposal(spark):
         return f"**{n} §**\n\nEka.\n\n| A | B |\n| --- | --- |\n| {n} | 2 |\n\n| A | B |\n| --- | --- |\n| x | 2 |"
 
     assert row.law_changes == shown(1) + "\n\n---\n\n" + shown(2) and row.summary == "T" and row.markup_error is None
+
+
+def test_proposals_are_made_in_many_tasks(spark, tmp_path):
+    """Adaptive execution joined the narrow rows in a few tasks, each of which then made and cut long documents."""
+    from plenum.catalog import register
+
+    d = str(tmp_path)
+    spark.range(50).selectExpr("id o_orderkey", "id o_custkey", "DATE '2024-01-02' o_orderdate", "'1-URGENT' o_orderpriority", "'F' o_orderstatus").write.parquet(f"{d}/orders.parquet")
+    spark.range(90).selectExpr("id % 45 l_orderkey", "cast(1 + id % 2 as int) l_linenumber", "id l_partkey", "id % 5 l_suppkey").write.parquet(f"{d}/lineitem.parquet")
+    spark.range(5).selectExpr("id s_suppkey", "concat('S', id) s_name").write.parquet(f"{d}/supplier.parquet")
+    docs = register.proposal_xml(spark, d)
+    assert docs.rdd.getNumPartitions() >= 8 * register.TASKS and docs.count() == 50
+    assert sorted(r.seq for r in docs.where("XmlData LIKE '%Allekirjoittaja%'").collect()) == [i for i in range(45) if i % 9]
