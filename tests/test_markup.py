@@ -147,3 +147,13 @@ def test_time_follows_the_length_of_a_page(spark):
     seconds(10)
     small, large = min(seconds(4000) for _ in range(2)), min(seconds(16_000) for _ in range(2))
     assert large < 4 * small + 4
+
+
+def test_a_token_is_decided_by_few_comparisons(spark):
+    """A fold's step copies the state once and finds its branch by halving; it was written out in 29 comparisons and two copies."""
+    df = spark.createDataFrame([("<KappaleKooste>a</KappaleKooste>",)], "t string")
+    plan = m.to_markdown(df, "t")._jdf.queryExecution().analyzed().toString()
+    assert ".op = " in plan and plan.count(".op = ") < 10
+
+    nested = '<Lista n:ulkoasuKoodi="Viiva"><Alkio>a<SuppeaLista n:ulkoasuKoodi="Numeropiste"><KappaleKooste>b</KappaleKooste></SuppeaLista></Alkio></Lista>'
+    assert md(spark, nested + "<KappaleKooste >c<YleinenViite>d</YleinenViite></KappaleKooste>") == [("- a\n  1. b\n\nc[d]()", None)]
